@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from sonority.llm import exact_dedup, simhash, token_store
+from sonority.llm import decontaminate, exact_dedup, mixing, quality, simhash, token_store, toxicity
 
 QUERIES = {
+    "op1_quality_classifier": quality.query,
+    "op3_source_mixing": mixing.query,
     "op4_token_store": token_store.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_toxic_spans": toxicity.query,
+    "op7_benchmark_decontamination": decontaminate.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
 SQL = {
+    "op3_source_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_benchmark_decontamination": decontaminate.SQL,
 }
