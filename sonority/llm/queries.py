@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from sonority.llm import decontaminate, exact_dedup, mixing, quality, simhash, token_store, toxicity
+from sonority.llm import decontaminate, exact_dedup, mixing, pii, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
+    "op2_secret_scan": secrets.query,
     "op3_source_mixing": mixing.query,
     "op4_token_store": token_store.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_toxic_spans": toxicity.query,
     "op7_benchmark_decontamination": decontaminate.query,
+    "op8_pii_bootstrap": pii.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
