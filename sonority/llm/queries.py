@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonority.llm import decontaminate, exact_dedup, mixing, pii, quality, secrets, simhash, token_store, toxicity
+from sonority.llm import decontaminate, exact_dedup, html_extract, mixing, pii, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxic_spans": toxicity.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op8_pii_bootstrap": pii.query,
+    "op9_html_extraction": html_extract.query,
     "op10_simhash_near_dedup": simhash.query,
 }
 
