@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from sonority.jobs import corpus, grammars
+
+QUERIES: dict = corpus.QUERIES | grammars.QUERIES
+SQL: dict = corpus.SQL | grammars.SQL
