@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -64,6 +63,11 @@ class Grammar:
             m = product(m, counter(r.initial, r.final, r.sets(table), len(table.segments)))
         return m
 
+    def unknown_features(self, table: FeatureTable) -> list[str]:
+        """Features that rules name and the table lacks; such features are ignored, so their classes widen."""
+        named = {f for r in self.rules for p in r.parts for _, f in p.literals}
+        return sorted(named - set(table.features))
+
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, float(w), str(r)) for i, (w, r) in enumerate(zip(self.weights, self.rules))]
         return spark.createDataFrame(rows, "ordinal int, weight double, glob string")
@@ -223,6 +227,3 @@ def sampled_frame(spark: SparkSession, grammar: Grammar, table: FeatureTable, n:
 
     return spark.range(n).select(F.col("id").alias("row_id"), length.alias("len")).mapInPandas(draw, "row_id long, word array<int>")
 
-
-def log_factor(z: float) -> float:
-    return math.log(z)

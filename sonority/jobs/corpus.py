@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonority.functions import segments as S
-from sonority.functions import stats
+from sonority.functions import stats, vectors
 from sonority.functions.classes import by_generality, membership, bigrams
 from sonority.functions.features import LATIN
 from sonority.functions.globs import body, parse_glob
@@ -262,7 +262,23 @@ def _q_subsequences(spark, d):
 _SUBSEQUENCES = f"""with {WORDS}, w as (select word[1:5] as w, freq from lex)
 select w[i] || ' ' || w[j] || ' ' || w[k] as ids, sum(freq)::bigint as n from w, range(1, 6) a(i), range(1, 6) b(j), range(1, 6) c(k) where i < j and j < k and k <= len(w) group by all"""
 
+def _q_vectors(spark, d):
+    """Norms and products of the embeddings, and the expectation of two of their entries taken as weights."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    pair = vectors.times(vectors.expectation(F.abs(v[0]), F.slice(v, 1, 2)), vectors.plus(vectors.expectation(F.abs(v[1]), F.slice(v, 2, 2)), vectors.expectation(F.lit(1.0), F.slice(v, 3, 1))))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(
+        "vec_id", F.round(vectors.norm(v), 6).alias("l2"), F.round(vectors.absolute(v), 6).alias("l1"), F.aggregate(vectors.signs(v), F.lit(0.0), lambda s, x: s + x).cast("int").alias("signs"),
+        F.round(vectors.inner(vectors.normalised(v), F.reverse(v)), 6).alias("turned"), F.round(pair["p"], 6).alias("p"), F.round(pair["v"][0], 6).alias("v0"),
+    )
+
+
+_VECTORS = """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)
+select vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as l2, round(list_sum(list_transform(v, lambda x: abs(x))), 6) as l1, list_sum(list_transform(v, lambda x: sign(x)))::int as signs,
+  round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * v[len(v) + 1 - i])) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as turned,
+  round(abs(v[1]) * (abs(v[2]) + 1), 6) as p, round(abs(v[1]) * (v[2] + v[3]) + v[1] * (abs(v[2]) + 1), 6) as v0 from e"""
+
 QUERIES = {
+    "vector_algebra": _q_vectors,
     "collate_words": _q_collate,
     "wordlist_parse_freq": _q_wordlist,
     "wordlist_serialise": _q_serialised,
@@ -290,6 +306,7 @@ QUERIES = {
 }
 
 SQL = {
+    "vector_algebra": _VECTORS,
     "collate_words": f"with {WORDS} select array_to_string(segs, ' ') as segs, freq from lex",
     "wordlist_parse_freq": _WORDLIST,
     "wordlist_serialise": f"with {WORDS}, v as (select {_JOINED} || case when freq = 1 then '' else chr(9) || freq end as value from lex) select value, count(*) as n from v group by value",

@@ -192,6 +192,7 @@ def test_grammar_text():
     text = "# Length Distribution:\n[(1,2),(2,5),(2,1),(0,9)]\n\n# Constraints:\n1.500  [−vowel][−vowel]\n0.250  #[+nasal]\n2.000  [+vowel][]₁[+vowel]\n"
     g = grammar.Grammar.parse(text)
     assert g.lengths == {1: 2, 2: 6} and g.weights == [1.5, 0.25, 2.0] and grammar.Grammar.parse(g.text()) == g
+    assert g.unknown_features(SMALL) == [] and grammar.Grammar({1: 1}, [parse_glob("[+x][+nasal]")], [1.0]).unknown_features(SMALL) == ["x"]
     for bad in ("[(1,2", "", "[]\n", "[(1,1)]\n[+a]", "[(1,1)]\n1.0  [a", "[(1,1)]\n1.0  ?"):
         with pytest.raises(ValueError):
             grammar.Grammar.parse(bad)
