@@ -142,7 +142,7 @@ def fit_weights(m: Automaton, lengths: np.ndarray, observed: np.ndarray, start:
     at, w = objective(m, lengths, observed), np.asarray(start, float)
     if not len(w):
         return w
-    value, grad = at(w)
+    _, grad = at(w)
     direction, since = -grad, 0
     for _ in range(most):
         norm = np.linalg.norm(direction)

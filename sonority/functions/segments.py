@@ -91,8 +91,9 @@ def serialised(rows: DataFrame, segments: tuple[str, ...], spaced: bool = False)
 def length_frequencies(words: DataFrame) -> DataFrame:
     """``len, n`` for every length from 0 to the longest, zeros too; an empty lexicon has none."""
     seen = words.groupBy(F.size("word").alias("len")).agg(F.sum("freq").alias("n"))
-    dense = seen.agg(F.max("len").alias("top")).where("top is not null").select(F.explode(F.sequence(F.lit(0), "top")).alias("len"))
-    return dense.join(seen, "len", "left").select("len", F.coalesce("n", F.lit(0)).alias("n"))
+    # one row with a number for each length, so that the corpus is read once
+    row = seen.agg(F.max("len").alias("top"), F.map_from_entries(F.collect_list(F.struct("len", "n"))).alias("of")).where("top is not null")
+    return row.select("of", F.explode(F.sequence(F.lit(0), "top")).alias("len")).select("len", F.coalesce(F.try_element_at("of", F.col("len")), F.lit(0)).alias("n"))
 
 
 def ngrams(words: DataFrame, n: int, *keys: str) -> DataFrame:

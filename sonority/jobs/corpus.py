@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sonority.functions import segments as S
 from sonority.functions import stats, vectors
@@ -121,8 +122,7 @@ def _q_hist(spark, d):
 
 def _q_pdf(spark, d):
     lengths = S.length_frequencies(words(spark, d))
-    total = lengths.agg(F.sum("n").alias("total"))
-    return lengths.crossJoin(F.broadcast(total)).select("len", F.round(F.col("n") / F.col("total"), 9).alias("p"))
+    return lengths.select("len", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9).alias("p"))
 
 
 def _cdf(spark, d):
@@ -218,8 +218,8 @@ def _oe(spark, d):
     """Segment pairs of English against all other languages, scaled to as many pairs."""
     counts = S.ngrams(words(spark, d, "lang"), 2, "lang")
     by = counts.groupBy("s1", "s2").agg(F.sum(F.when(F.col("lang") == "en", F.col("n")).otherwise(0)).alias("o"), F.sum(F.when(F.col("lang") == "en", 0).otherwise(F.col("n"))).alias("x"))
-    totals = by.agg((F.sum("o") / F.sum("x")).alias("scale"))
-    return by.crossJoin(F.broadcast(totals)).select("s1", "s2", "o", (F.col("x") * F.col("scale")).alias("e"))
+    every = Window.partitionBy()  # pairs of segments: bounded by the feature table
+    return by.select("s1", "s2", "o", (F.col("x") * (F.sum("o").over(every) / F.sum("x").over(every))).alias("e"))
 
 
 def _q_oe(spark, d):

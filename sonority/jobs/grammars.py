@@ -15,7 +15,7 @@ from sonority.functions.features import LATIN
 from sonority.functions.globs import parse_glob
 from sonority.functions.grammar import Grammar, sampled_frame
 from sonority.functions.violations import of_globs, of_singles, reach_counts
-from sonority.jobs.corpus import _BIGRAM_COUNTS, _PAIR_COUNTS, CELLS, CLASSES, LONGEST, SEG_TABLE, SEGS, WORDS, docs, words
+from sonority.jobs.corpus import _BIGRAM_COUNTS, CELLS, CLASSES, LONGEST, SEG_TABLE, SEGS, WORDS, docs, words
 from sonority.jobs.learner import learn
 from sonority.streaming.collate import collate, collated
 
@@ -132,9 +132,13 @@ q as (select len(list_distinct(list_transform(places, lambda i: word[i]))) as re
 select reached::int as reached, seg::int as seg, sum(freq)::bigint as n from q group by all"""
 
 
+def vowel_of(name: str):
+    """1 for a vowel's id, 0 for a consonant's."""
+    return (F.lit(_VOWELS).cast("long").bitwiseAND(F.pow(F.lit(2.0), F.col(name) - 1).cast("long")) != 0).cast("int")
+
+
 def _edges(spark, d) -> DataFrame:
     """An automaton from the corpus: states are whether the last segment is a vowel, edges have the chances of segments."""
-    vowel = F.lit(_VOWELS).cast("long").bitwiseAND(F.pow(F.lit(2.0), F.col("s") - 1).cast("long")) != 0
     pairs = S.ngrams(words(spark, d), 2)
     states = pairs.select(vowel_of("s1").alias("q"), F.col("s2").alias("seg_id"), vowel_of("s2").alias("q2"), "n")
     sums = states.groupBy("q", "seg_id", "q2").agg(F.sum("n").alias("n"))
@@ -142,11 +146,6 @@ def _edges(spark, d) -> DataFrame:
     return sums.join(F.broadcast(totals), "q").select("q", "seg_id", "q2", "n", (F.col("n") / F.col("total")).alias("p"))
 
 
-def vowel_of(name: str):
-    """1 for a vowel's id, 0 for a consonant's."""
-    return (F.lit(_VOWELS).cast("long").bitwiseAND(F.pow(F.lit(2.0), F.col(name) - 1).cast("long")) != 0).cast("int")
-
-
 _EDGES = f"""{_BASE}, {_BIGRAM_COUNTS}, st as (select ({_VOWELS}::bigint >> (s1 - 1)) & 1 as q, s2 as seg_id, ({_VOWELS}::bigint >> (s2 - 1)) & 1 as q2, sum(n)::bigint as n from bg group by all),
 edges as (select q::int as q, seg_id, q2::int as q2, n, n / sum(n) over (partition by q) as p from st),
 ab as (select q, q2, sum(p * exp(-(case when q = 0 and q2 = 0 then 1 else 0 end))) as p, max(case when q = 0 and q2 = 0 then 1 else 0 end) as c from edges group by q, q2)"""
@@ -155,7 +154,9 @@ ab as (select q, q2, sum(p * exp(-(case when q = 0 and q2 = 0 then 1 else 0 end)
 def _steps(spark, d, n: int = 5) -> DataFrame:
     """Mass and expected consonant pairs of each length under a weight of one on such pairs."""
     pair = (F.col("q") == 0) & (F.col("q2") == 0)
-    hops = _edges(spark, d).groupBy("q", "q2").agg(F.sum(F.col("p") * F.exp(-pair.cast("double"))).alias("p")).withColumn("c", ((F.col("q") == 0) & (F.col("q2") == 0)).cast("int")).coalesce(1)
+    hops = _edges(spark, d).groupBy("q", "q2").agg(F.sum(F.col("p") * F.exp(-pair.cast("double"))).alias("p")).withColumn("c", ((F.col("q") == 0) & (F.col("q2") == 0)).cast("int"))
+    # an edge for each pair of states: the corpus is read once, not once a step
+    hops = spark.createDataFrame(hops.collect(), hops.schema).coalesce(1)
     mass = spark.createDataFrame([(0, 1.0, 0.0)], "q int, p double, v double").coalesce(1)
     out = []
     for k in range(1, n + 1):
@@ -202,7 +203,9 @@ select seg_id, a.q as qa, b.q as qb, a.q2 as qa2, b.q2 as qb2, a.w as wa, b.w as
 
 def _strong(spark, d) -> DataFrame:
     """Pairs of segments that stand together at least twenty times, as edges."""
-    return S.ngrams(words(spark, d), 2).where("n >= 20").select(F.col("s1").alias("q"), F.col("s2").alias("seg_id"), F.col("s2").alias("q2"))
+    found = S.ngrams(words(spark, d), 2).where("n >= 20").select(F.col("s1").alias("q"), F.col("s2").alias("seg_id"), F.col("s2").alias("q2"))
+    # bounded by the square of the feature table's segments: the corpus is read once, not once a round
+    return spark.createDataFrame(found.collect(), found.schema).coalesce(1)
 
 
 def _q_reachable(spark, d):

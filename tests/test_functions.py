@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sonority.functions import automata, classes, features, grammar, segments, stats, violations
+from sonority.functions import automata, classes, grammar, segments, stats
 from sonority.functions.globs import body, counting_pattern, parse_class, parse_glob
 from sonority.functions.features import LATIN, FeatureTable
 from sonority.jobs import learner
