@@ -7,9 +7,10 @@ reader fetches the table from the file's end and decompresses only the frames th
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -24,70 +25,94 @@ from sonority.llm.common import table, text_or_empty, written
 #: Fixed values of the zstandard format: the magic number of a skippable frame, and the one that ends a seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Plain bytes after which a frame is closed, and documents and plain bytes after which a file is.
-FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 25
+FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 24
 END_ID = 0
-#: Distinct pieces whose ids a worker keeps; beyond them the memory starts anew.
-MEMORY = 400_000
+#: Distinct pieces whose ids a worker keeps, and texts that are encoded at once.
+MEMORY, TEXTS = 600_000, 512
+#: Marks that the vocabulary's pre-tokeniser parts from a word before them.
+MARKS = ".,;:!?%&$*#)|\""
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     Pieces between single spaces and before line feeds are encoded on their own and remembered: the vocabulary's
-    pre-tokeniser breaks there in any case. Texts with other runs of white space are encoded in one go.
+    pre-tokeniser breaks there in any case. Texts with other runs of white space are encoded in one go. Once the memory
+    is full, pieces that are not in it are encoded anew for each batch of texts.
     """
 
     def __init__(self, path: str) -> None:
+        # one thread: tasks already fill the cores, and each thread would keep buffers of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
         self.piece: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        memory = self.piece
-        new = [p for p in set(pieces) if p not in memory]
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = list(set(pieces))
-        plain = []
+    def _learn(self, new: set[str]) -> dict[str, bytes | None]:
+        """Ids of pieces; None for those with more white space than one line feed before them, whose texts are encoded whole.
+
+        A word and the marks after it are apart for the pre-tokeniser too, so words are encoded without marks.
+        """
+        out: dict[str, bytes | None] = {}
+        known, want, marked = self.piece, set(), []
         for p in new:
-            if re.search(r"\s", p[1:] if p[:1] == "\n" else p):
-                memory[p] = None
+            stem = p.rstrip(MARKS)
+            if stem != p and stem.isalpha():
+                marked.append((p, stem, "\0" + p[len(stem) :]))
+                continue
+            body = p[1:] if p[0] in "\0\n" else p
+            if body.split() == [body]:
+                want.add(p)
             else:
-                plain.append(p)
-        encoded = self.of.encode_batch_fast([p if p[:1] == "\n" else " " + p for p in plain], add_special_tokens=False)
-        memory.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(plain, encoded))
-
-    def _start(self, piece: str) -> bytes | None:
-        got = self.first.get(piece, b"")
-        if got == b"":
-            if len(self.first) > MEMORY // 8:
-                self.first.clear()
-            got = self.first[piece] = None if re.search(r"\s", piece) else self.whole(piece)
-        return got
+                out[p] = None
+        for _, stem, tail in marked:
+            if stem not in known:
+                want.add(stem)
+            if tail not in known:
+                want.add(tail)
+        plain = list(want)
+        found = self.of.encode_batch_fast([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in plain], add_special_tokens=False)
+        out.update((p, array("I", e.ids).tobytes()) for p, e in zip(plain, found))
+        out.update([(p, (out.get(stem) or known[stem]) + (out.get(tail) or known[tail])) for p, stem, tail in marked])
+        if len(known) < MEMORY:
+            known.update(out)
+        return out
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        split: list[list[str] | None] = []
+        for text in texts:
+            pieces = text.replace("\n", " \n").split(" ")
+            # a text's first piece has no space before it; it is told by a leading NUL, which no other piece may have
+            split.append(None if "" in pieces or "\0" in text else ["\0" + pieces[0], *pieces[1:]])
+        known = self.piece
+        new = set().union(*(p for p in split if p)).difference(known)
+        fresh = self._learn(new) if new else {}
+        if new and len(known) >= MEMORY:
+            known = known | fresh
+        out = []
+        for text, pieces in zip(texts, split):
+            try:
+                out.append(b"".join(map(known.__getitem__, pieces)) if pieces else self.whole(text) if text else b"")
+            except TypeError:  # a piece with other white space
+                out.append(self.whole(text))
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        pieces = text.replace("\n", " \n").split(" ")
-        start = pieces.pop(0)
-        if not start or "" in pieces:
-            return self.whole(text)
-        head = self._start(start)
-        if head is None:
-            return self.whole(text)
-        try:
-            try:
-                return head + b"".join(map(self.piece.__getitem__, pieces))
-            except KeyError:
-                self._learn(pieces)
-                return head + b"".join(map(self.piece.__getitem__, pieces))
-        except TypeError:  # a piece with other white space
-            return self.whole(text)
+        return self.many([text])[0]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder: what it remembers serves all tasks of a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pack(frames: list[list[bytes]]) -> bytes:
@@ -148,12 +173,12 @@ def write_files(docs: DataFrame, tokenizer: str, file_rows: int | None = None) -
     # the order is known from the ids alone; only then are texts moved, once
     ids = docs.select("doc_id", F.octet_length(text_or_empty()).alias("size"))
     total = ids.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // (4 * FILE_BYTES)))
+    parts = max(1, -(-total // (2 * FILE_BYTES)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, end = Encoder(tokenizer), TaskContext.get().partitionId(), struct.pack("<I", END_ID)
+        encode, part, end = encoder(tokenizer), TaskContext.get().partitionId(), struct.pack("<I", END_ID)
         file, frames, now, size, held, ids = 0, [], [], 0, 0, []
 
         def close() -> pa.RecordBatch:
@@ -165,16 +190,18 @@ def write_files(docs: DataFrame, tokenizer: str, file_rows: int | None = None) -
 
         kind = pa.int64()
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                now.append(encode(text) + end)
-                ids.append(i)
-                size += len(now[-1])
-                if size >= FRAME_BYTES:
-                    frames.append(now)
-                    now, held, size = [], held + size, 0
-                if held >= FILE_BYTES:
-                    yield close()
-                    file, frames, held, ids = file + 1, [], 0, []
+            for k in range(0, b.num_rows, TEXTS):
+                some = b.slice(k, TEXTS)
+                for i, got in zip(some.column("doc_id").to_pylist(), encode.many(some.column("text").to_pylist())):
+                    now.append(got + end)
+                    ids.append(i)
+                    size += len(now[-1])
+                    if size >= FRAME_BYTES:
+                        frames.append(now)
+                        now, held, size = [], held + size, 0
+                    if held >= FILE_BYTES:
+                        yield close()
+                        file, frames, held, ids = file + 1, [], 0, []
         if now:
             frames.append(now)
         if ids:
