@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import table, text_or_empty
+from sonority.llm.common import table, text_or_empty, written
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Hash functions. A window holds over 0.19 of the union with an item that it contains to 0.8, so fewer than one in
@@ -190,8 +190,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Documents that hold no benchmark item; the ids of the others are written first, so that a few are broadcast."""
+    found = written(contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 

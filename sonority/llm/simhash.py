@@ -288,7 +288,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest ``doc_id``; of repeated rows of it, one."""
-    found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keep one document of each group: the one with the smallest ``doc_id``; of repeated rows of it, one.
+
+    Rows without an id can't be named and stay. Only ids are shuffled, unless too many documents go for a broadcast.
+    """
+    found = written(near_duplicates(docs), "groups")
+    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    again = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "again")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
