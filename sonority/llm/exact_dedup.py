@@ -34,6 +34,11 @@ def _places(h: np.ndarray, segments: int, width: int) -> np.ndarray:
     return np.stack([(first + np.uint64(i)) * np.uint64(width) + ((h >> np.uint64(13 * i)) & low) for i in range(3)]).astype(np.int64)
 
 
+def _print(h: np.ndarray) -> np.ndarray:
+    """The fingerprint, from bits of both halves."""
+    return ((h ^ (h >> np.uint64(32))) & np.uint64(255)).astype(np.uint8)
+
+
 def build_filter(keys: np.ndarray) -> tuple[int, int, int, bytes]:
     """A static filter over distinct 64-bit keys: seed, number of segments, their width, fingerprints.
 
@@ -61,7 +66,7 @@ def build_filter(keys: np.ndarray) -> tuple[int, int, int, bytes]:
             rounds.append((live[free], alone[:, free].argmax(0)))
             alive[live[free]] = False
         if not alive.any():
-            prints = (h & np.uint64(255)).astype(np.uint8)
+            prints = _print(h)
             out = np.zeros(slots, np.uint8)
             for gone, which in reversed(rounds):
                 own = at[which, gone]
@@ -75,7 +80,7 @@ def may_hold(keys: np.ndarray, seed: int, segments: int, width: int, prints: byt
     """True for each key that is in the filter, and for one in about 256 that is not."""
     h = _mix(np.asarray(keys, np.uint64), seed)
     at, got = _places(h, segments, width), np.frombuffer(prints, np.uint8)
-    return (h & np.uint64(255)).astype(np.uint8) == got[at[0]] ^ got[at[1]] ^ got[at[2]]
+    return _print(h) == got[at[0]] ^ got[at[1]] ^ got[at[2]]
 
 
 def normalised(name: str = "text"):
@@ -149,7 +154,8 @@ def dedup(docs: DataFrame, cut: int | None = None, bucket_rows: int = BUCKET_ROW
     ).union(
         held.select("sha", "keep_id", F.col("n").alias("group_size")).join(batch.where("old_id is not null").select("sha"), "sha", "left_anti")
     )
-    return rows.join(groups, "sha").select(
+    # written, so that the rows of a large group meet their one representative in as many tasks as they fill
+    return rows.join(written(groups, "groups"), "sha").select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("sha").alias("text_sha256")
     )
 
@@ -162,7 +168,7 @@ def differing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     many = found.where("group_size > 1").select("doc_id", "keep_id")
     texts = docs.select("doc_id", normalised().alias("body"))
-    named = texts.join(many, "doc_id")
+    named = written(texts.join(many, "doc_id"), "copies")
     kept = named.where("doc_id = keep_id").select("keep_id", F.col("body").alias("kept_body"))
     return named.where("doc_id <> keep_id").join(kept, "keep_id").where("body <> kept_body").select("doc_id", "keep_id")
 
