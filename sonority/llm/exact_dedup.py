@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sonority.llm.common import table, text_or_empty, written
 
 #: Digests in a bucket, about: bounds what one task holds.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
