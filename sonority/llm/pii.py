@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers discovered by bootstrapped contextual extraction.
 
-The base kinds are found by their patterns and checks. They are also the seeds of a bootstrap: tokens that look like
-identifiers are the instances, the words around them are the lexical patterns, and both are scored over their graph in
+The base kinds are found by their patterns and checks. Every base span is also a seed of a bootstrap: base spans and tokens
+that look like identifiers are the instances, the words around them are the lexical patterns, and both are scored over their graph in
 rounds. A pattern is as sure as the share of its instances' scores, an instance as sure as its patterns together;
 seeds stay at one. What sure patterns hold beyond the seeds is added with kind ``id``.
 """
@@ -23,10 +23,14 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Tokens that may be identifiers: eight or more characters, with at least four digits among them.
-CANDIDATE = r"(?<!\S)(?=\S*[0-9]\S*[0-9]\S*[0-9]\S*[0-9])\S{8,}"
+#: Tokens that may be identifiers: of any length, with a digit or a sign that joins handles. The long ones, of eight or
+#: more characters with four digits, name one thing wherever they stand; the others only in a sure context.
+CANDIDATE = r"(?<!\S)(?=[^\s0-9@_]*+[0-9@_])\S++"
+LONG = r"^(?=.{8})(?:[^0-9]*+[0-9]){4}"
 #: A pattern needs so many different seeds, and both patterns and instances so high a score; rounds of scoring.
 LEAST_SEEDS, LEAST_SCORE, ROUNDS = 5, 0.8, 3
+#: Code points on each side in which the words of a context are looked for.
+REACH = 160
 
 
 def _digits(value: Column) -> Column:
@@ -74,30 +78,47 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.xxhash64("_text").alias("_key"), "_text", F.array_sort(F.concat(*named)).alias("_base"))
 
 
-def _bare(word: Column) -> Column:
-    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+def _word(words: Column, at: int) -> Column:
+    """A word of a context without what is no letter or digit at its ends; a sign alone is a word too."""
+    raw = F.coalesce(F.try_element_at(words, F.lit(at)), F.lit(""))
+    bare = F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.lower(F.when(bare == "", raw).otherwise(bare))
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """Identifier-like tokens: ``doc_id, _key, start, end, value, seed`` and their patterns ``by``.
+    """Base spans, which are the seeds, and identifier-like tokens: ``doc_id, _key, start, end, value, seed, by``.
 
-    A token that overlaps a base span is a seed. Its patterns are the two words before it, and the word on each side.
+    ``by`` has an instance's patterns: the two words before it, and the word on each side.
     """
-    held = found.where(F.col("_text").rlike("[0-9]")).select("doc_id", "_key", "_base", F.explode(matches(F.col("_text"), CANDIDATE, context=True)).alias("m"))
-    left, right = F.split(F.rtrim("m.left"), r"\s+"), F.split(F.ltrim("m.right"), r"\s+")
-    l1, l2, r1 = _bare(F.element_at(left, -1)), _bare(F.try_element_at(left, F.lit(-2))), _bare(F.element_at(right, 1))
-    # one pattern for each kind of context; the token's own shape is part of it
-    shape = F.when(F.col("m.value").rlike(r"^\W*[0-9.,-]+\W*$"), "9").otherwise("x9")
+    text, base = F.col("_text"), F.col("_base")
+
+    def instance(m: Column, seed: bool) -> Column:
+        # the context of a span is what stands beside the tokens that it lies in
+        left = F.regexp_replace(F.substring(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH))), r"\S+$", "")
+        right = F.regexp_replace(F.substring(text, m["end"] + 1, F.lit(REACH)), r"^\S+", "")
+        return F.struct(m["start"].alias("start"), m["value"].alias("value"), F.lit(seed).alias("seed"), left.alias("left"), right.alias("right"))
+
+    others = F.filter(matches(text, CANDIDATE), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
+    every = F.concat(F.transform(base, lambda b: instance(b, True)), F.transform(others, lambda m: instance(m, False)))
+    held = found.where(text.rlike("[0-9@_]")).select("doc_id", "_key", F.explode(every).alias("m")).select("doc_id", "_key", "m.*")
+    # the span of a token is the token without what is not a letter or digit at its ends; a base span stays whole
+    head = F.when(F.col("seed"), 0).otherwise(F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}]*", 0)))
+    core = F.when(F.col("seed"), F.col("value")).otherwise(F.regexp_replace("value", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    before, after = F.split(F.rtrim(F.regexp_replace("left", r"\s+", " ")), " "), F.split(F.ltrim(F.regexp_replace("right", r"\s+", " ")), " ")
+    l1, l2, r1 = _word(before, -1), _word(before, -2), _word(after, 1)
+    # one pattern for each kind of context; the instance's own shape is part of it
+    shape = F.when(F.col("value").rlike(r"\p{L}"), "x").otherwise("9")
     by = F.array(F.concat_ws("\t", F.lit("LL"), l2, l1, shape), F.concat_ws("\t", F.lit("LR"), l1, r1, shape))
-    seed = F.exists("_base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start")))
-    # the span is the token without what is not a letter or digit at its ends
-    head = F.length(F.regexp_extract("m.value", r"^[^\p{L}\p{N}]*", 0))
-    core = F.regexp_replace("m.value", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return held.select("doc_id", "_key", (F.col("m.start") + head).alias("start"), (F.col("m.start") + head + F.length(core)).alias("end"), core.alias("value"), seed.alias("seed"), by.alias("by"))
+    return held.select("doc_id", "_key", (F.col("start") + head).alias("start"), (F.col("start") + head + F.length(core)).alias("end"), core.alias("value"), "seed", by.alias("by")).where("value <> ''")
 
 
-def discovered(tokens: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
-    """Values that sure patterns hold: ``value, score``.
+def _together(trust: str = "trust") -> Column:
+    """Patterns together: one less the product of their doubts."""
+    return 1 - F.exp(F.sum(F.log(1 - F.least(trust, F.lit(0.999)))))
+
+
+def scored(tokens: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> tuple[DataFrame, DataFrame]:
+    """Instances ``value, score, seed`` and sure patterns ``pattern, trust`` after some rounds; seeds stay at one.
 
     The graph joins patterns to distinct values, so repeated documents don't add to a pattern's certainty.
     """
@@ -107,14 +128,33 @@ def discovered(tokens: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST
     # a pattern without enough seeds never counts
     able = graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("of")).where(F.col("seeds") >= least_seeds)
     edges = written(graph.join(able.select("pattern", "of"), "pattern"), "pii-edges")
-    score = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
+    values = written(edges.groupBy("value").agg(F.max("seed").alias("seed")), "pii-values")
+    score, sure = values.withColumn("score", F.col("seed").cast("double")), None
     for _ in range(rounds):
-        sure = edges.join(score, "value").groupBy("pattern").agg((F.sum("score") / (F.max("of") + 1)).alias("trust")).where(F.col("trust") >= least_score / 2)
-        part = edges.join(sure, "pattern").groupBy("value").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("any"))
-        score = written(part.select("value", F.when(F.col("seed"), 1.0).otherwise(F.col("any")).alias("score"), "seed"), "pii-scores")
+        sure = written(edges.join(score.select("value", "score"), "value").groupBy("pattern").agg((F.sum("score") / (F.max("of") + 1)).alias("trust")).where(F.col("trust") >= least_score / 2), "pii-sure")
+        part = edges.join(sure, "pattern").groupBy("value").agg(_together().alias("any"))
+        # a value without a sure pattern stays, so that a seed counts in each round
+        score = written(values.join(part, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("any", F.lit(0.0))).alias("score"), "seed"), "pii-scores")
+    return score, sure
+
+
+def discovered(tokens: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
+    """Values that sure patterns hold: ``value, score``."""
+    score, _ = scored(tokens, rounds, least_seeds, least_score)
     return score.where(~F.col("seed") & (F.col("score") >= least_score)).select("value", "score")
 
 
+def added(tokens: DataFrame) -> DataFrame:
+    """Places of discovered identifiers: ``doc_id, _key, start, end``."""
+    score, sure = scored(tokens)
+    place = ["doc_id", "_key", "start", "end"]
+    others = tokens.where("not seed").withColumn("long", F.col("value").rlike(LONG))
+    known = others.where("long").join(score.where(~F.col("seed") & (F.col("score") >= LEAST_SCORE)), "value").select(*place)
+    # a null id is its own group; copies of a row share their places
+    here = others.where("not long").select(*place, F.explode("by").alias("pattern")).distinct().join(sure, "pattern")
+    return known.union(here.groupBy(*place).agg(_together().alias("score")).where(F.col("score") >= LEAST_SCORE).select(*place)).distinct()
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -128,12 +168,10 @@ def find(docs: DataFrame) -> DataFrame:
     """
     found = base_spans(docs)
     tokens = written(instances(found), "pii-tokens")
-    sure = discovered(tokens.where("value <> ''"))
-    more = tokens.where("not seed").join(sure, "value").select("doc_id", "_key", "start", "end").distinct()
     rank = F.lit(len(KINDS)).alias("rank")
-    added = more.groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", rank, "end", F.lit("id").alias("kind"))).alias("_more"))
+    more = added(tokens).groupBy("doc_id", "_key").agg(F.collect_list(F.struct("start", rank, "end", F.lit("id").alias("kind"))).alias("_more"))
     slim = found.select("doc_id", "_key", F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("_base"))
-    all_of = slim.join(added.withColumnsRenamed({"doc_id": "_id", "_key": "_k"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    all_of = slim.join(more.withColumnsRenamed({"doc_id": "_id", "_key": "_k"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
     spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.from_json(F.lit("[]"), "array<struct<start:int,rank:int,end:int,kind:string>>"))))
     return all_of.select("doc_id", *map(_count, KINDS), F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 

@@ -381,6 +381,21 @@ def test_bootstrap_finds_identifiers_in_sure_contexts(spark):
     assert all("id:" not in r["spans"] for r in weak)
 
 
+def test_every_base_span_teaches_and_short_identifiers_are_found(spark):
+    rows = [(i, f"write to member {chr(97 + i)}.doe@mail.example.org, today") for i in range(12)] + [(50 + i, f"charged to card 4111 1111 1111 {1111 + 9 * k} in full") for i, k in enumerate(k for k in range(900) if brute_spans(f"4111 1111 1111 {1111 + 9 * k}"))]
+    rows += [(900, "write to member \u00fc j_q7 today, j_q7 again"), (901, "write to member j_q7 today, then j_q7 again"), (902, "charged to card 889 in full"), (903, "page 889 of 12"), (904, None)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(documents(spark, rows)).collect()}
+    assert all(s.startswith(("email:", "card:")) and "id:" not in s for i, s in got.items() if i < 900)
+    assert got[900] == "" and got[901] == "id:16:20" and got[902] == "id:16:19" and got[903] == got[904] == ""
+
+
+def test_seeds_count_in_every_round(spark):
+    # the first pattern is sure; eleven of its values and six seeds of their own make the second one sure a round later
+    rows = [(f"s{i}", True, ["p"]) for i in range(100)] + [(f"v{i}", False, ["p", "q"]) for i in range(11)] + [(f"t{i}", True, ["q"]) for i in range(6)] + [("target", False, ["q"])]
+    score = {r["value"]: r["score"] for r in pii.discovered(spark.createDataFrame(rows, "value string, seed boolean, by array<string>"), rounds=2).collect()}
+    assert set(score) == {f"v{i}" for i in range(11)} | {"target"} and score["target"] > 0.8
+
+
 def test_secrets(spark):
     rng = random.Random(11)
     def hexa():
