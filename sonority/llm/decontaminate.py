@@ -4,7 +4,8 @@ Items are partitioned by their number of shingles into classes of powers of two.
 windows of two neighbouring blocks of the class's size, so a passage of up to that many shingles lies whole in one
 window, and the window is at most four times as large as the item: the Jaccard similarity stays high enough for
 MinHash however long the document is. An item whose minimum under any of the hash functions is the minimum of a window
-is a candidate; candidates are verified by the exact share of the item's shingles that the whole document holds.
+is a candidate; candidates are verified by the exact share of the item's shingles that the whole document holds. Items of
+so few shingles that a window would be much larger than they are found by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from sonority.llm.common import table, text_or_empty, written
 
 WORDS, CONTAINMENT = 5, 0.8
-#: Hash functions. A window holds over 0.19 of the union with an item that it contains to 0.8, so fewer than one in
-#: 20,000 of such items has no minimum in common with it.
+#: Items of fewer shingles are looked up by each of them; the smallest class has items of up to eight.
+FEW = 3
+#: Hash functions. A window holds over 0.187 of the union with an item of three or more shingles that it contains to 0.8,
+#: so fewer than one in 20,000 of such items has no minimum in common with it.
 HASHES = 48
 #: Bytes of item texts that are broadcast at once; more items are searched for in further blocks.
 BLOCK_BYTES = 4_000_000
@@ -112,35 +115,50 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.shingles = [shingles(words(t)) for _, t in rows]
         self.values: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        hasher, by_class = Hasher(), {}
+        hasher, by_class, few = Hasher(), {}, []
         for k, (_, t) in enumerate(rows):
             h = np.unique(hasher(t))
-            if len(h):
+            if 0 < len(h) < FEW:
+                few.append((k, h))
+            elif len(h):
                 size = max(3, int(np.ceil(np.log2(len(h)))))
                 by_class.setdefault(size, []).append((k, _minima(h, len(h))[:, 0]))
         for size, own in sorted(by_class.items()):
-            value = np.concatenate([m for _, m in own])
-            item = np.repeat([k for k, _ in own], HASHES)
-            order = np.argsort(value, kind="stable")
-            seen = np.zeros(1 << 20, bool)
-            seen[value >> np.uint64(44)] = True
-            self.values[size] = (value[order], item[order], seen)
+            self.values[size] = self._index(own)
+        self.few = self._index(few) if few else None
+
+    @staticmethod
+    def _index(own: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted values, the item of each, and which upper 20 bits they have."""
+        value = np.concatenate([m for _, m in own])
+        item = np.repeat([k for k, _ in own], [len(m) for _, m in own])
+        order = np.argsort(value, kind="stable")
+        seen = np.zeros(1 << 20, bool)
+        seen[value >> np.uint64(44)] = True
+        return value[order], item[order], seen
+
+    @staticmethod
+    def _look_up(index: tuple[np.ndarray, np.ndarray, np.ndarray], values: np.ndarray, out: set[int]) -> None:
+        value, item, seen = index
+        maybe = values[seen[values >> np.uint64(44)]]
+        if len(maybe):
+            left, right = np.searchsorted(value, maybe), np.searchsorted(value, maybe, "right")
+            for a, b in zip(left.tolist(), right.tolist()):
+                out.update(item[a:b].tolist())
 
     def candidates(self, h: np.ndarray) -> set[int]:
-        """Items that share a minimum with a window of the document."""
+        """Items that share a minimum with a window of the document, or a shingle if they have few."""
         out: set[int] = set()
+        if self.few:
+            self._look_up(self.few, h, out)
         at, m = None, None
-        for size, (value, item, seen) in self.values.items():
+        for size, index in self.values.items():
             if at is None:
                 at, m = size, _minima(h, 1 << size)
             while at < size:
                 at, m = at + 1, _joined(m)
             windows = (np.minimum(m[:, :-1], m[:, 1:]) if m.shape[1] > 1 else m).ravel()
-            maybe = windows[seen[windows >> np.uint64(44)]]
-            if len(maybe):
-                left, right = np.searchsorted(value, maybe), np.searchsorted(value, maybe, "right")
-                for a, b in zip(left.tolist(), right.tolist()):
-                    out.update(item[a:b].tolist())
+            self._look_up(index, windows, out)
         return out
 
 

@@ -312,6 +312,17 @@ def test_contained_items_are_found(spark, monkeypatch):
     assert decontaminate.contained(documents(spark, docs), empty).count() == 0 and decontaminate.contained(documents(spark, []), empty).count() == 0
 
 
+def test_items_of_few_shingles_are_never_missed():
+    rng = random.Random(12)
+    vocabulary = ["w%d" % i for i in range(2000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 4, 5, 6]))) for _ in range(1500)]
+    items, hasher = decontaminate.Items(list(enumerate(texts))), decontaminate.Hasher()
+    for k, text in enumerate(texts):
+        around = [" ".join(rng.choice(vocabulary) for _ in range(40)) if len(text.split()) > 4 else "" for _ in range(2)]
+        for held in (f"{around[0]} {text} {around[1]}", f"{around[0]} {text}", f"{text} {around[1]}"):
+            assert k in items.candidates(hasher(held))
+
+
 # -- mixing
 
 
