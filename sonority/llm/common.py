@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that count as hot are at most so many: those that hold at least one row in so many.
+HOT_KEYS = 2000
+#: Rows of a few numbers that are broadcast at most; beyond, they are shuffled.
+BROADCAST_ROWS = 500_000
+#: Rows of a few numbers in a file of an intermediate table, about.
+FILE_ROWS = 500_000
+
+#: Tables that :func:`scratch` deletes, innermost block last.
+_OPEN: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests on one machine, a local folder is made and set.
+    Where it is unset, a session on a single machine, as in tests, gets a local folder; a cluster is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sonority-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -27,18 +41,69 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives a lost executor."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has; deleted with the innermost :func:`scratch` block."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives a lost executor.
+
+    :param rows: about how many rows of a few numbers there are, if that is known: a small table then has few files.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders or files through Hadoop's file systems."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that :func:`written` gave, when nothing reads it any more."""
+    spark = df.sparkSession
+    remove(spark, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, all tables that were written in it; what is read afterwards must be written outside."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_OPEN.pop())
+
+
+def met(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join many ``rows`` to their one row of ``groups`` by ``key``, whatever one key's share of the rows is.
+
+    Groups with at least ``total / HOT_KEYS`` rows, of which there are ``HOT_KEYS`` at most, are broadcast, so their rows stay
+    where they are; the rows of other keys are shuffled.
 
+    :param size: the column of ``groups`` with the number of the key's rows; ``total``: the number of all rows.
+    """
+    least = max(2, total // HOT_KEYS)
+    hot = groups.where(F.col(size) >= least)
+    some = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.coalesce(size, F.lit(0)) < least), key, how)
+    return some.unionByName(rest)
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Marked for a broadcast if there are ``BROADCAST_ROWS`` at most; as it is, to be shuffled, if there are more."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
-def tasks(spark: SparkSession, at_least: int = 1) -> int:
-    """Partitions for Python work that follows a shuffle."""
-    return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+def text_or_empty(name: str = "text"):
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))

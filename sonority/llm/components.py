@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import written
+from sonority.llm.common import forget, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,12 +13,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps, so that long chains shrink by about half each round
     and no step gathers the neighbours of a node: each is a group-by minimum and a join back.
-    Nulls and loops are ignored. Nodes without edges are not in the result.
+    Nulls and loops are ignored. Nodes without edges are not in the result. Each round's table replaces the last one's.
 
     :return: ``node, root`` with one row per node that has an edge to another node.
     """
     pairs = edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now, seen = written(pairs.distinct(), "cc-edges"), None
+    now = written(pairs.distinct(), "cc-edges")
+    rows, seen = now.count(), None
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node is hung on the node's smallest neighbour
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,11 +29,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours and the node itself are hung on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-        told = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.count_distinct("u")).first()
-        if told[0] == told[2] and tuple(told) == seen:
+        new = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges", rows)
+        told = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.count_distinct("u")).first())
+        forget(now)
+        now = new
+        if told[0] == told[2] and told == seen:
             break
-        seen = tuple(told)
+        seen, rows = told, told[0]
     else:
         raise RuntimeError("the components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

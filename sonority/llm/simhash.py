@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import table, text_or_empty, written
+from sonority.llm.common import few, met, table, text_or_empty, written
 from sonority.llm.components import components
 
 SEED, WORDS, LIMIT = 42, 3, 3
 #: Fingerprints under one key that are compared at once; larger groups are dealt into blocks of this size.
 BLOCK = 2048
+#: Keys that a task makes at once.
+KEYS_AT_ONCE = 1 << 17
 #: Estimated cost of one key row that is shuffled and sorted, in units of one verified pair.
 KEY_COST = 150.0
 
@@ -179,22 +181,44 @@ def _links(fps: np.ndarray, limit: int, other: np.ndarray | None = None) -> tupl
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
+def finer(wanted: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """For each mask, masks of ``limit + 1`` parts of the bits that it leaves out, each with the mask's own bits.
+
+    Fingerprints that agree under a mask and link agree under one of its finer masks, by the pigeonhole principle.
+    """
+    out = []
+    for mask in wanted.tolist():
+        rest = [b for b in range(64) if not mask >> b & 1]
+        out.append([mask | sum(1 << b for b in rest[k :: limit + 1]) for k in range(limit + 1)])
+    return np.array(out, np.uint64)
+
+
 def link(distinct: DataFrame, chosen: list[tuple[list[int], int]], limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` of distinct fingerprints that hold all components: no more than one for each key and fingerprint.
 
-    Fingerprints are sorted by key and streamed; a group of up to ``block`` is compared as it passes. The rest of a
-    larger group leaves as numbered blocks, of which pairs are then compared, each in a group of its own.
+    Fingerprints are sorted by key and streamed; a group of up to ``block`` is compared as it passes. A larger group is
+    filed anew under finer keys. Where even those leave more than ``block``, the group leaves as numbered blocks, of which
+    pairs are then compared, each in a group of its own.
     """
     wanted = masks(chosen)
+    refined = finer(wanted, limit)
+    step = max(1, KEYS_AT_ONCE // len(wanted))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column("fp").to_numpy()
-            for i in range(0, len(fps), 2048):
-                x = fps[i : i + 2048]
+            for i in range(0, len(fps), step):
+                x = fps[i : i + step]
                 keys = (x.view(np.uint64)[:, None] & wanted[None, :]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(wanted), dtype=np.int32), len(x))), pa.array(keys.ravel()), pa.array(np.repeat(x, len(wanted)))], ["mask", "key", "fp"])
 
+    def file_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, of = b.column("a").to_numpy(), b.column("mask").to_numpy()
+            keys = (fps.view(np.uint64)[:, None] & refined[of]).view(np.int64)
+            mask = (of[:, None] * (limit + 1) + np.arange(limit + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(mask.ravel()), pa.array(keys.ravel()), pa.array(np.repeat(fps, limit + 1))], ["mask", "key", "fp"])
+
     names = ["a", "b", "mask", "key", "blk"]
 
     def rows(a, b, mask, key, blk) -> pa.RecordBatch:
@@ -240,12 +264,17 @@ def link(distinct: DataFrame, chosen: list[tuple[list[int], int]], limit: int =
         if found_a:
             yield rows(np.concatenate(found_a), np.concatenate(found_b), None, None, None)
 
-    filed = distinct.select("fp").mapInArrow(file, "mask int, key long, fp long")
-    met = written(
-        filed.repartition(F.col("mask"), F.col("key")).sortWithinPartitions("mask", "key").mapInArrow(meet, "a long, b long, mask int, key long, blk int"), "links"
-    )
-    small = met.where("blk is null").select("a", "b")
-    large = met.where("blk is not null")
+    def meeting(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links within small groups, and the blocks of large ones."""
+        ordered = filed.repartition(F.col("mask"), F.col("key")).sortWithinPartitions("mask", "key")
+        found = written(ordered.mapInArrow(meet, "a long, b long, mask int, key long, blk int"), "links")
+        return found.where("blk is null").select("a", "b"), found.where("blk is not null")
+
+    small, large = meeting(distinct.select("fp").mapInArrow(file, "mask int, key long, fp long"))
+    if large.isEmpty():
+        return small
+    more, large = meeting(large.select("a", "mask").mapInArrow(file_finer, "mask int, key long, fp long"))
+    small = small.union(more)
     top = large.groupBy("mask", "key").agg(F.max("blk").alias("top"))
     # each block goes to the groups of all pairs of blocks that it is in
     paired = (
@@ -272,15 +301,15 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     :return: ``doc_id, fingerprint, component_id``.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    distinct = written(distinct, "distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     n, ones, correlation = bit_statistics(distinct)
     edges = link(distinct, plan(n, ones, correlation, limit), limit)
     found = components(edges)
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("of"))
+    by_fp = written(met(rooted.select("fp", "n", "root"), named, "root", "of", n).select("fp", "n", "component_id"), "classes")
+    joined = met(rows, by_fp, "fp", "n", rows.count())
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -295,6 +324,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs), "groups")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     again = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "again")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
+    kept = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return kept
+    once = kept.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(few(again), "doc_id", "left_anti").select(docs.columns).union(once)
