@@ -2,18 +2,21 @@
 
 A *snapshot* is an immutable table of the distinct texts seen so far. It is dealt into buckets by digest and each
 bucket has a static binary-fuse filter of 8-bit fingerprints. The digests of an incoming *batch* are first grouped
-among themselves, then screened by the filter of their bucket; only positives join the exact bucket, and rows that
-would be dropped are compared with the row that stays, byte by byte.
+among themselves, then screened by the filter of their bucket; only positives join the exact bucket. Rows that would be
+dropped are then compared with the row that stays, byte by byte, and a digest that two texts share is grouped anew by
+the texts themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import table, text_or_empty, written
+from sonority.llm.common import few, met, table, text_or_empty, written
 
 #: Digests in a bucket, about: bounds what one task holds.
 BUCKET_ROWS = 4_000
@@ -87,9 +90,18 @@ def normalised(name: str = "text"):
     return F.regexp_replace(text_or_empty(name), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, sha``: lowercase hex SHA-256 of the normalised text in UTF-8, null text as empty."""
-    return docs.select("doc_id", F.sha2(normalised().cast("binary"), 256).alias("sha"))
+def sha256(body: Column) -> Column:
+    return F.sha2(body.cast("binary"), 256)
+
+
+def digests(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """``doc_id, sha, row``: digest of the normalised text in UTF-8, null text as empty, and a number that tells rows apart."""
+    return docs.select("doc_id", digest(normalised()).alias("sha"), F.monotonically_increasing_id().alias("row"))
+
+
+def _first():
+    """Of some rows, the one with the smallest ``doc_id``; null ids stand last, and the row's number breaks ties."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row"))
 
 
 def _key():
@@ -97,9 +109,9 @@ def _key():
 
 
 def snapshot(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """The exact buckets ``sha, keep_id, n, key, bucket`` of rows ``doc_id, sha``, and a filter for each bucket."""
+    """The exact buckets ``sha, keep, n, key, bucket`` of rows ``doc_id, sha, row``, and a filter for each bucket."""
     held = (
-        rows.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        rows.groupBy("sha").agg(_first().alias("keep"), F.count("*").alias("n"))
         .select("*", _key()).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     )
     held = written(held, "snapshot")
@@ -113,84 +125,92 @@ def snapshot(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 
 
 def screen(groups: DataFrame, filters: DataFrame) -> DataFrame:
-    """Add ``maybe`` to rows with ``key, bucket``: false where the snapshot has no such key for certain."""
-    fields = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in groups.schema)}, maybe boolean"
+    """Add ``maybe`` to rows with ``sha, key, bucket``: false where the snapshot has no such key for certain."""
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left[["sha", "key"]]
         if right.empty:
             return left.assign(maybe=False)
         f = right.iloc[0]
         return left.assign(maybe=may_hold(left["key"].to_numpy(np.int64).view(np.uint64), int(f["seed"]), int(f["segments"]), int(f["width"]), f["prints"]))
 
-    return groups.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(look, fields)
-
+    keys = groups.select("sha", "key", "bucket")
+    looked = keys.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(look, "sha string, key long, maybe boolean")
+    return groups.join(looked.select("sha", "maybe"), "sha")
 
-def dedup(docs: DataFrame, cut: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Find the row that stays for each document.
 
-    :param docs: ``doc_id, text`` and any other columns, which are ignored. A null text is an empty one. Rows with a
-        null ``doc_id`` and repeated rows of one ``doc_id`` count as rows: each is returned, nulls stand last.
-    :param cut: documents below this ``doc_id`` are the snapshot, the rest are the batch; None: the middle of the range.
-    :return: ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row; none for an empty table.
-    """
-    if cut is None:
-        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-        cut = 0 if low is None else (low + high + 1) // 2
-    rows = written(digests(docs), "digests")
-    buckets = max(1, -(-rows.count() // bucket_rows))
-    old = F.col("doc_id") < F.lit(cut)
+def grouped(rows: DataFrame, cut: int, buckets: int) -> DataFrame:
+    """``sha, keep, group_size`` of all rows ``doc_id, sha, row``: snapshot, screen, exact buckets."""
+    old = F.coalesce(F.col("doc_id") < F.lit(cut), F.lit(False))
     held, filters = snapshot(rows.where(old), buckets)
-    fresh = (
-        rows.where(~F.coalesce(old, F.lit(False))).groupBy("sha").agg(F.min("doc_id").alias("new_id"), F.count("*").alias("new_n"))
-        .select("*", _key()).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    fresh = written(
+        rows.where(~old).groupBy("sha").agg(_first().alias("new_keep"), F.count("*").alias("new_n"))
+        .select("*", _key()).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")), "fresh"
     )
     screened = screen(fresh, filters)
-    exact = held.select("sha", F.col("keep_id").alias("old_id"), F.col("n").alias("old_n"))
-    met = screened.where("maybe").join(exact, "sha", "left")
-    none = screened.where("not maybe").withColumns({"old_id": F.lit(None).cast("long"), "old_n": F.lit(None).cast("long")})
-    batch = written(met.unionByName(none), "batch")
-    groups = batch.select(
-        "sha", F.least("old_id", "new_id").alias("keep_id"), (F.col("new_n") + F.coalesce("old_n", F.lit(0))).alias("group_size")
+    exact = held.select("sha", F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
+    positives = screened.where("maybe").join(exact, "sha", "left")
+    none = screened.where("not maybe").withColumns({"old_keep": F.lit(None).cast(held.schema["keep"].dataType), "old_n": F.lit(None).cast("long")})
+    batch = written(positives.unionByName(none), "batch")
+    return batch.select(
+        "sha", F.least("old_keep", "new_keep").alias("keep"), (F.col("new_n") + F.coalesce("old_n", F.lit(0))).alias("group_size")
     ).union(
-        held.select("sha", "keep_id", F.col("n").alias("group_size")).join(batch.where("old_id is not null").select("sha"), "sha", "left_anti")
-    )
-    # written, so that the rows of a large group meet their one representative in as many tasks as they fill
-    return rows.join(written(groups, "groups"), "sha").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("sha").alias("text_sha256")
+        held.select("sha", "keep", F.col("n").alias("group_size")).join(batch.where("old_keep is not null").select("sha"), "sha", "left_anti")
     )
 
 
-def differing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The byte check: rows of ``found`` whose normalised text is not the text of the row that they are dropped for.
+def clashing(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The byte check: digests ``sha`` of groups whose rows' normalised texts are not all the same bytes.
 
-    Reads the texts of groups with more than one row only; a large group's rows are split over tasks, for its
-    representative is a single row of the other side.
+    A group's texts are the same if its least and its greatest are, which are found before anything is shuffled, whatever
+    the group's size. Only texts of groups with more than one row take part, if their digests can be broadcast.
     """
-    many = found.where("group_size > 1").select("doc_id", "keep_id")
-    texts = docs.select("doc_id", normalised().alias("body"))
-    named = written(texts.join(many, "doc_id"), "copies")
-    kept = named.where("doc_id = keep_id").select("keep_id", F.col("body").alias("kept_body"))
-    return named.where("doc_id <> keep_id").join(kept, "keep_id").where("body <> kept_body").select("doc_id", "keep_id")
+    many = groups.where("group_size > 1").select("sha")
+    held = docs.select(normalised().alias("body")).withColumn("sha", digest(F.col("body")))
+    named = few(many)
+    copies = held if named is many else held.join(named, "sha")
+    return copies.groupBy("sha").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("sha")
+
+
+def dedup(docs: DataFrame, cut: int | None = None, bucket_rows: int = BUCKET_ROWS, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Find the row that stays for each document.
+
+    :param docs: ``doc_id, text`` and any other columns, which are ignored. A null text is an empty one. Each row is a
+        document of its own: rows of the same ``doc_id`` belong to the groups of their texts, and of rows that are the same in
+        both, one is kept at most. Rows with a null ``doc_id`` stand last; a group of such rows alone keeps one of them.
+    :param cut: documents below this ``doc_id`` are the snapshot, the rest are the batch; None: the middle of the range.
+    :return: ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row; none for an empty table. Exactly one
+        row of each text has ``kept``. ``text_sha256`` is the digest, if another one is given.
+    """
+    if cut is None:
+        low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+        cut = 0 if low is None else (low + high + 1) // 2
+    rows = written(digests(docs, digest), "digests")
+    total = rows.count()
+    groups = written(grouped(rows, cut, max(1, -(-total // bucket_rows))), "groups")
+    out = _placed(met(rows, groups, "sha", "group_size", total))
+    wrong = written(clashing(docs, groups, digest), "clashing")
+    if wrong.isEmpty():
+        return out
+    # two texts with one digest: such rows are grouped by their text
+    bodies = docs.select("doc_id", normalised().alias("body"), F.monotonically_increasing_id().alias("row")).withColumn("sha", digest(F.col("body")))
+    bodies = written(bodies.join(F.broadcast(wrong), "sha"), "bodies")
+    by_body = bodies.groupBy("body").agg(_first().alias("keep"), F.count("*").alias("group_size"))
+    apart = _placed(met(bodies, by_body, "body", "group_size", bodies.count()))
+    return out.join(F.broadcast(wrong.withColumnRenamed("sha", "text_sha256")), "text_sha256", "left_anti").unionByName(apart)
+
+
+def _placed(joined: DataFrame) -> DataFrame:
+    return joined.select("doc_id", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = written(dedup(docs), "exact")
-    wrong = written(differing(docs, found), "differing")
-    # a text that shares a digest but not its bytes stays, in a group of its own
-    alone = wrong.select("doc_id", F.lit(True).alias("alone"))
-    return found.join(alone, "doc_id", "left").select(
-        "doc_id",
-        F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.when(F.col("alone"), F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
-        (F.col("kept") | F.coalesce("alone", F.lit(False))).alias("kept"),
-        "text_sha256",
-    )
+    return dedup(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
 with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents),
 g as (select body, min(doc_id) as keep_id, count(*) as group_size from t group by body)
-select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.body) as text_sha256
+select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id and row_number() over (partition by t.doc_id, t.body) = 1 as kept, sha256(t.body) as text_sha256
 from t join g on t.body = g.body
 """
