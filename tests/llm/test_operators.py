@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, and on tables with every odd case."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from sonority.llm import components, decontaminate, exact_dedup, html_extract, mixing, pii, quality, secrets, simhash, token_store, toxicity
@@ -181,41 +183,86 @@ def test_encoder_equals_whole_encoding(tokenizer):
     assert encode.many(texts) == [encode.whole(t) if t else b"" for t in texts]
 
 
+def test_words_with_marks_and_lines(tokenizer):
+    encode, rng = token_store.Encoder(tokenizer), random.Random(5)
+    bits = ["Wort", "élan", "ab", "x", "don't", "a1", "日本", "o\u0301", "ǅ"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", ".", ",", "?!", "...", "%", "'"]) + rng.choice([" ", " ", "\n", ""]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    for i in range(0, len(texts), 300):
+        assert encode.many(texts[i : i + 300]) == [encode.whole(t) for t in texts[i : i + 300]]
+
+
 def test_full_memory_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(token_store, "MEMORY", 5)
+    monkeypatch.setattr(token_store, "MARKED", 1)
     encode = token_store.Encoder(tokenizer)
     texts = ["some words, here.\nAnd there!", "other words; there", "some words, here."] * 3
     assert [encode.many([t])[0] for t in texts] == [encode.whole(t) for t in texts]
 
 
+class Counted(io.BytesIO):
+    """A file that counts the bytes that are read."""
+
+    taken = 0
+
+    def read(self, size=-1):
+        got = super().read(size)
+        self.taken += len(got)
+        return got
+
+
 def test_frames_are_read_alone_and_checked():
-    docs = [np.arange(i, dtype="<u4").tobytes() for i in (0, 3, 1, 7, 0, 2)]
+    docs = [(i, np.arange(n, dtype="<u4").tobytes()) for i, n in zip((None, 0, 3, 3, 7, 9), (0, 3, 1, 7, 0, 2))]
     data = token_store.pack([docs[:2], docs[2:5], docs[5:]])
-    reader = token_store.Reader(data)
-    assert len(reader) == 6 and [reader.document(i).tobytes() for i in range(6)] == docs
+    reader = token_store.Reader(io.BytesIO(data))
+    assert len(reader) == 6 and [reader.document(i).tobytes() for i in range(6)] == [d for _, d in docs]
+    assert [i for k in range(3) for i, _ in reader.frame(k)] == [i for i, _ in docs]
+    assert [x.tobytes() for x in reader.of(3)] == [d for i, d in docs if i == 3] and reader.of(4) == []
+    # the public layout: every frame is one for a plain decompressor, and the table is a skippable frame at the end
+    assert zstandard.ZstdDecompressor().decompressobj().decompress(data[: reader.offsets[1]])[:4] == (2).to_bytes(4, "little")
+    assert data[-4:] == (0x8F92EAB1).to_bytes(4, "little") and data[reader.offsets[-1] :][:4] == (0x184D2A5E).to_bytes(4, "little")
     broken = bytearray(data)
     broken[10] ^= 255
     with pytest.raises(Exception):
-        token_store.Reader(bytes(broken)).frame(0)
-    assert (token_store.Reader(bytes(broken)).frame(1)[1] == np.frombuffer(docs[3], "<u4")).all()
+        token_store.Reader(io.BytesIO(bytes(broken))).frame(0)
+    assert token_store.Reader(io.BytesIO(bytes(broken))).frame(1)[1][1] == docs[3][1]
     with pytest.raises(ValueError):
-        token_store.Reader(b"12345678" * 3)
-    assert len(token_store.Reader(token_store.pack([]))) == 0
+        token_store.Reader(io.BytesIO(b"12345678" * 3))
+    assert len(token_store.Reader(io.BytesIO(token_store.pack([])))) == 0
+
+
+def test_a_reader_takes_only_its_frame():
+    rng = np.random.default_rng(3)
+    frames = [[(100 * k + j, rng.integers(0, 50000, 500, np.uint32).tobytes()) for j in range(20)] for k in range(50)]
+    file = Counted(token_store.pack(frames))
+    reader = token_store.Reader(file)
+    assert reader.of(2003)[0].tobytes() == frames[20][3][1]
+    assert file.taken < len(file.getvalue()) / 15
 
 
-def test_tokens_round_trip(spark, tokenizer, monkeypatch):
+def test_tokens_round_trip(spark, tokenizer, monkeypatch, tmp_path):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_store, "FILE_BYTES", 4000)
     monkeypatch.setattr(token_store, "FRAME_BYTES", 300)
-    rows = [r for r in ODD if r[0] is not None] + [(100 + i, "text number %d with words" % i) for i in range(120)]
-    got = token_store.encoded(documents(spark, rows), tokenizer).toPandas()
+    monkeypatch.setattr(token_store, "PART_BYTES", 60_000)
+    rows = [r for r in ODD if r[0] is not None] + [(100 + i, "text number %d with words" % i) for i in range(120)] + [(77, "of one id")] * 300
+    got = token_store.encoded(documents(spark, rows), tokenizer, f"file://{tmp_path}/files").toPandas()
     t, at, expected = Tokenizer.from_file(tokenizer), 0, []
-    for i, text in sorted(rows, key=lambda r: r[0]):
+    for i, text in sorted(rows, key=lambda r: (r[0], len(r[1] or ""))):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert sorted(map(tuple, got[["doc_id", "start", "n_tokens", "ids_crc32"]].values.tolist())) == sorted(expected)
+    mine = sorted(map(tuple, got[["doc_id", "start", "n_tokens", "ids_crc32"]].values.tolist()))
+    # documents of one id stand in any order among themselves
+    assert sorted((i, n, c) for i, _, n, c in mine) == sorted((i, n, c) for i, _, n, c in expected)
+    once = {i for i, _ in rows if sum(i == j for j, _ in rows) == 1}
+    assert [x for x in mine if x[0] in once] == sorted(x for x in expected if x[0] in once)
+    steps = sorted((s, n) for _, s, n, _ in mine)
+    assert all(a + n == b for (a, n), (b, _) in zip(steps, steps[1:])) and steps[0][0] == 0
+    files = sorted((tmp_path / "files").glob("*.zst"))
+    assert len(files) > 1 and not list((tmp_path / "files").glob(".*[0-9a-f]"))
+    with files[-1].open("rb") as f:
+        assert token_store.Reader(f).of(219)[0][-1] == 0
     assert token_store.encoded(documents(spark, []), tokenizer).count() == 0
     assert token_store.encoded(documents(spark, ODD), tokenizer).count() == len(ODD)
 
