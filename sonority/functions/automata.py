@@ -6,6 +6,7 @@ driver. Their relational forms (product, reachability, one step of a state distr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,13 @@ class Automaton:
             q = self.to[q, s]
         return total + self.end[q]
 
+    def fold(self, word: list[int], zero, plus: Callable, weight: Callable, stop: Callable):
+        """A word's weight in any monoid: ``weight(q, s)`` of each step and ``stop(q)``, joined by ``plus`` in order."""
+        q, total = 0, zero
+        for s in word:
+            total, q = plus(total, weight(q, s)), int(self.to[q, s])
+        return plus(total, stop(q))
+
 
 def nothing(segments: int) -> Automaton:
     """One state and no counts."""
@@ -98,6 +106,21 @@ def product(a: Automaton, b: Automaton, most: int = 200_000) -> Automaton:
     return Automaton(np.array(to, np.int64), np.array(out), np.array(end))
 
 
+def together(a: Automaton, b: Automaton, how: Callable[[bool, bool], bool]) -> Automaton:
+    """One count that tells, at a word's end, ``how`` of whether ``a`` and ``b`` count anything in it (and, or, ...)."""
+
+    def told(m: Automaton) -> Automaton:
+        # a state also remembers whether anything has been counted so far
+        n, hit = m.states, (m.out.sum(2) > 0).astype(np.int64)
+        to = np.concatenate([m.to + n * hit, m.to + n])
+        end = np.concatenate([m.end.sum(1) > 0, np.ones(n, bool)]).astype(np.int64)[:, None]
+        return Automaton(to, np.zeros((*to.shape, 1), np.int64), end)
+
+    both = product(told(a), told(b))
+    end = np.array([[int(how(bool(x), bool(y)))] for x, y in both.end], np.int64).reshape(-1, 1)
+    return Automaton(both.to, np.zeros((*both.to.shape, 1), np.int64), end)
+
+
 def expectations(m: Automaton, weights: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """For each length from 0: the sum of exp(-weights . counts) over all words, and the same with counts.
 
@@ -134,16 +157,26 @@ def reversed_frame(edges: DataFrame) -> DataFrame:
     return edges.groupBy("q2", "seg_id").agg(F.array_sort(F.collect_set("q")).alias("sources"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
     """States ``q`` that ``start(q)`` reaches over edges ``q, q2``, with the least number of steps.
 
-    Each round joins the newest states to the edges and keeps what is new; the number of states bounds the rounds.
+    Each round joins the newest states to the edges and keeps what is new, until there is nothing new.
+
+    :param rounds: stop after so many steps; None: at the closure.
     """
     hops = edges.select("q", "q2").distinct()
-    seen = start.select("q", F.lit(0).alias("steps"))
-    for k in range(1, rounds + 1):
+    seen, k = start.select("q", F.lit(0).alias("steps")), 0
+    while rounds is None or k < rounds:
+        k += 1
         found = seen.where(F.col("steps") == k - 1).join(hops, "q").select(F.col("q2").alias("q")).distinct()
-        seen = seen.union(found.join(seen.select("q"), "q", "left_anti").select("q", F.lit(k).alias("steps")))
+        new = found.join(seen.select("q"), "q", "left_anti").select("q", F.lit(k).alias("steps"))
+        if rounds is None:
+            # the states are the automaton's, not the corpus's: each round's are cut from the plan before them
+            held = new.collect()
+            if not held:
+                break
+            new = edges.sparkSession.createDataFrame(held, new.schema).coalesce(1)
+        seen = seen.union(new)
     return seen
 
 

@@ -34,8 +34,10 @@ def by_generality(spark: SparkSession, table: FeatureTable, max_features: int =
 
     Literals are joined to each other in ascending order, masks by bitwise and. Of equal sets the first label stays:
     not inverted before inverted, fewer literals before more, then the literals' order. Ids follow size, largest
-    first, then the set itself.
+    first, then the set itself. Sets are the bits of a long, so the table has at most 62 segments.
     """
+    if len(table.segments) > 62:
+        raise ValueError("classes are made over at most 62 segments")
     full = (1 << len(table.segments)) - 1
     rows = [(2 * f + (s == "-"), s, name, table.mask(name, s)) for name, f in table.known().items() for s in "+-"]
     literal = spark.createDataFrame(rows, "ord int, state string, feat string, m long").coalesce(1)
@@ -127,12 +129,15 @@ def long_distance(classes: DataFrame, cores: DataFrame, guard: bool = False) ->
     return ends.crossJoin(F.broadcast(between)).select(F.lit("long_distance").alias("family"), "c1", "l2", "m2", "c3", (-F.col("z1") - F.col("z3")).alias("weight"))
 
 
-def candidates(spark: SparkSession, table: FeatureTable, settings: Settings = Settings()) -> DataFrame:
+def candidates(spark: SparkSession, table: FeatureTable, settings: Settings = Settings(), classes: DataFrame | None = None) -> DataFrame:
     """All families in the order in which they are tried: ``ordinal, family, c1, c2, l2, m2, c3, final, weight``.
 
-    Ascending weight within a family, then the order in which the family is built.
+    Ascending weight within a family, then the order in which the family is built. Candidates are numbered within runs of the
+    same family, weight and first class; only the runs, which the classes bound, are summed in one place.
+
+    :param classes: the classes to combine; None: all of the table.
     """
-    classes = by_generality(spark, table)
+    classes = by_generality(spark, table) if classes is None else classes
     held = [singles(classes)]
     if settings.edges:
         held.append(edge_singles(classes))
@@ -147,8 +152,16 @@ def candidates(spark: SparkSession, table: FeatureTable, settings: Settings = Se
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("family")]
     columns = {"c2": "int", "c3": "int", "l2": "string", "m2": "long", "final": "boolean"}
     full = [h.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in h.columns}) for h in held]
-    by = Window.orderBy(rank, "weight", "c1", "c2", "c3", "l2", F.desc("final"))
-    return union_all([f.select("family", "c1", "c2", "l2", "m2", "c3", "final", "weight") for f in full]).withColumn("ordinal", F.row_number().over(by))
+    every = union_all([f.select("family", "c1", "c2", "l2", "m2", "c3", "final", "weight") for f in full])
+    run, names = [rank.alias("_rank"), "weight", "c1"], ["_rank", "weight", "c1"]
+    runs = every.groupBy(*run).agg(F.count("*").alias("_n"))
+    before = runs.select(*names, (F.sum("_n").over(Window.orderBy(*names)) - F.col("_n")).alias("_before"))
+    # a long-distance candidate's core class stands before its last class
+    between = [name for name, _ in core(table, list(settings.broken))] if settings.broken is not None else []
+    place = F.array_position(F.array(*map(F.lit, between)), F.col("l2")) if between else F.lit(0)
+    own = F.row_number().over(Window.partitionBy(*names).orderBy("c2", place, "c3", F.desc("final")))
+    numbered = every.withColumn("_rank", rank).withColumn("_own", own).join(F.broadcast(before), names)
+    return numbered.select("family", "c1", "c2", "l2", "m2", "c3", "final", "weight", (F.col("_before") + F.col("_own")).cast("int").alias("ordinal"))
 
 
 def class_list(table: FeatureTable, max_features: int = 3) -> list[tuple[int, bool, str]]:

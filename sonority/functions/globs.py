@@ -95,12 +95,14 @@ def charset(mask: int) -> str:
     return "[" + "".join(char(i + 1) for i in range(mask.bit_length()) if mask >> i & 1) + "]" if mask else "[^\\x{0}-\\x{10FFFF}]"
 
 
-def body(sets: list[tuple[str, int]], longest: int) -> str:
-    """The parts as a pattern whose repetitions are bounded by the longest word."""
-    bound = {"": "", "+": f"{{1,{longest}}}", "*": f"{{0,{longest}}}"}
-    return "".join(charset(mask) + bound[rep] for rep, mask in sets)
+def body(sets: list[tuple[str, int]]) -> str:
+    """The parts as a pattern."""
+    return "".join(charset(mask) + rep for rep, mask in sets)
 
 
-def counting_pattern(initial: bool, final: bool, sets: list[tuple[str, int]], longest: int) -> str:
-    """A Java pattern that matches, as an empty string, once at each place where some match of the glob ends."""
-    return "(?<=" + "^" * initial + body(sets, longest) + ")" + "\\z" * final
+def counting_pattern(initial: bool, final: bool, sets: list[tuple[str, int]]) -> str:
+    """A Java pattern that matches, as an empty string, once at each place where some match of the glob ends.
+
+    Only for globs without repetitions, for a look-behind must have a bound.
+    """
+    return "(?<=" + "^" * initial + body(sets) + ")" + "\\z" * final

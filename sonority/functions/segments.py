@@ -60,10 +60,19 @@ def tokens(docs: DataFrame, *keys: str) -> DataFrame:
     return split.where("token <> ''").groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
+def of_tokens(found: DataFrame, segments: tuple[str, ...], *keys: str) -> DataFrame:
+    """``word`` (segment ids), ``freq`` of counted tokens; words without segments are dropped.
+
+    Tokens that are kept can be segmented anew when the table changes, without reading the text again. The last filter takes
+    in the frequency, so that it stays above both counts and segmentation meets distinct words only.
+    """
+    cut = found.select(*keys, references(segmented(F.col("token"), segments), segments).alias("word"), "n")
+    return cut.groupBy(*keys, "word").agg(F.sum("n").alias("freq")).where(F.size("word") * F.col("freq") > 0)
+
+
 def lexicon(docs: DataFrame, segments: tuple[str, ...], *keys: str) -> DataFrame:
     """Collated text: ``word`` (segment ids), ``freq``; words without segments are dropped."""
-    found = tokens(docs, *keys).select(*keys, references(segmented(F.col("token"), segments), segments).alias("word"), "n")
-    return found.where(F.size("word") > 0).groupBy(*keys, "word").agg(F.sum("n").alias("freq"))
+    return of_tokens(tokens(docs, *keys), segments, *keys)
 
 
 def word_list(lines: DataFrame, segments: tuple[str, ...], strict: bool = False) -> DataFrame:
@@ -121,6 +130,22 @@ def subsequences(items: Column, k: int) -> Column:
     return F.array_sort(F.filter(F.aggregate(items, start, grow), lambda h: F.size(h) == k))
 
 
+def triples(words: DataFrame) -> DataFrame:
+    """Weighted number of all choices of three segments in order: ``s1, s2, s3, n``.
+
+    Choices are not listed: at each middle place, the number of each segment before it is multiplied by the number of each
+    segment after it, so a word costs its length times the square of its distinct segments.
+    """
+
+    def counted(side: Column) -> Column:
+        return F.transform(F.array_distinct(side), lambda s: F.struct(s.alias("s"), F.size(F.filter(side, lambda x: x == s)).cast("long").alias("k")))
+
+    middle = words.where(F.size("word") > 2).select("word", "freq", F.explode(F.sequence(F.lit(2), F.size("word") - 1)).alias("i"))
+    sides = middle.select("freq", F.element_at("word", F.col("i")).alias("s2"), counted(F.slice("word", F.lit(1), F.col("i") - 1)).alias("before"), counted(F.slice("word", F.col("i") + 1, F.size("word") - F.col("i"))).alias("after"))
+    left = sides.select("freq", "s2", "after", F.explode("before").alias("b")).groupBy("s2", "after", F.col("b.s").alias("s1")).agg(F.sum(F.col("freq") * F.col("b.k")).alias("k"))
+    return left.select("s1", "s2", "k", F.explode("after").alias("a")).groupBy("s1", "s2", F.col("a.s").alias("s3")).agg(F.sum(F.col("k") * F.col("a.k")).alias("n"))
+
+
 def padded_sum(a: Column, b: Column) -> Column:
     """Position-wise sum; the shorter array counts as filled with zeros."""
     return F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))

@@ -1,14 +1,16 @@
 """Violations of constraints in a corpus.
 
 Globs of single parts depend on n-gram totals alone: the corpus is read once into n-gram counts, which the feature
-table bounds, and all classes are summed over those. Other globs run as patterns over encoded words.
+table bounds, and all classes are summed over those. Other globs run over words: those of fixed length as patterns, those
+with repetitions as automata, so words may have any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonority.functions.automata import counter
 from sonority.functions.features import FeatureTable
 from sonority.functions.globs import Glob, counting_pattern
 from sonority.functions.segments import encoded
@@ -31,17 +33,33 @@ def of_singles(counts: DataFrame, member: DataFrame, classes: DataFrame) -> Data
     return classes.join(sums, "c1", "left").withColumn("violations", F.coalesce("violations", F.lit(0)))
 
 
-def of_globs(words: DataFrame, globs: dict[str, Glob], table: FeatureTable, longest: int, *keys: str) -> DataFrame:
-    """``name, violations`` of each glob over a lexicon ``word, freq``, in a single pass.
+def glob_count(word: str, encoded_word: str, glob: Glob, table: FeatureTable) -> Column:
+    """Places of a word where some match of the glob ends.
 
-    :param longest: no word has more segments; it bounds the patterns' repetitions.
+    :param word: column of segment ids; ``encoded_word``: column of the same word with one code point a segment.
     """
-    word = words.select(*keys, "freq", encoded(F.col("word")).alias("enc"))
-    sums = [
-        F.sum(F.col("freq") * F.regexp_count("enc", F.lit(counting_pattern(g.initial, g.final, g.sets(table), longest)))).alias(name)
-        for name, g in globs.items()
-    ]
-    row = word.groupBy(*keys).agg(*sums) if keys else word.agg(*sums)
+    sets = glob.sets(table)
+    if not any(rep for rep, _ in sets):
+        return F.regexp_count(encoded_word, F.lit(counting_pattern(glob.initial, glob.final, sets)))
+    # the automaton depends on the glob and the table alone; its tables are literals
+    n = len(table.segments)
+    m = counter(glob.initial, glob.final, sets, n)
+    to, out, end = (F.array(*[F.lit(int(x)) for x in t.ravel()]) for t in (m.to, m.out, m.end))
+    start = F.struct(F.lit(0).alias("q"), F.lit(0).alias("k"))
+
+    def step(held: Column, s: Column) -> Column:
+        at = held["q"] * n + s - 1
+        return F.struct(F.get(to, at).alias("q"), (held["k"] + F.get(out, at)).alias("k"))
+
+    return F.aggregate(word, start, step, lambda held: held["k"] + F.get(end, held["q"]))
+
+
+def of_globs(words: DataFrame, globs: dict[str, Glob], table: FeatureTable, *keys: str) -> DataFrame:
+    """``name, violations`` of each glob over a lexicon ``word, freq``, in a single pass."""
+    word = words.select(*keys, "freq", "word", encoded(F.col("word")).alias("enc"))
+    counts = word.select(*keys, "freq", *[glob_count("word", "enc", g, table).alias(f"_{name}") for name, g in globs.items()])
+    sums = [F.sum(F.col("freq") * F.col(f"_{name}")).alias(name) for name in globs]
+    row = counts.groupBy(*keys).agg(*sums) if keys else counts.agg(*sums)
     return row.unpivot(list(keys), list(globs), "name", "violations").withColumn("violations", F.coalesce("violations", F.lit(0)))
 
 

@@ -11,11 +11,9 @@ from sonority.functions import stats, vectors
 from sonority.functions.classes import by_generality, membership, bigrams
 from sonority.functions.features import LATIN
 from sonority.functions.globs import body, parse_glob
-from sonority.functions.violations import of_bigrams, of_globs
+from sonority.functions.violations import glob_count, of_bigrams, of_globs
 
 SEGS = LATIN.segments
-#: No word of a corpus has more segments: longer tokens are no words of any language.
-LONGEST = 60
 
 
 def docs(spark, sf_dir: str) -> DataFrame:
@@ -57,7 +55,7 @@ CLASSES = _classes_sql()
 def ends_sql(name: str, text: str) -> str:
     """Places where some match of a glob ends, counted by definition over prefixes of ``enc``."""
     g = parse_glob(text)
-    pattern = ("^" if g.initial else "") + body(g.sets(LATIN), LONGEST) + "$"
+    pattern = ("^" if g.initial else "") + body(g.sets(LATIN)) + "$"
     if g.final:
         return f"regexp_matches(enc, '{pattern}')::int as {name}"
     return f"len(list_filter(range(1, length(enc) + 1), lambda i: regexp_matches(substr(enc, 1, i), '{pattern}'))) as {name}"
@@ -73,7 +71,7 @@ def _q_collate(spark, d):
 def _lines(spark, d):
     lines = docs(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     field = F.when(F.col("doc_id") % 5 == 0, "3").when(F.col("doc_id") % 5 == 1, "x").when(F.col("doc_id") % 5 == 2, "4 5").when(F.col("doc_id") % 5 == 3, "-2")
-    return lines.select(F.concat_ws("\t", F.split(F.lower("line"), " ")[0], field).alias("value"))
+    return lines.select(F.concat_ws("\t", F.lower("line"), field).alias("value"))
 
 
 def _q_wordlist(spark, d):
@@ -82,8 +80,9 @@ def _q_wordlist(spark, d):
 
 
 _WORDLIST = f"""with lines as (select doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) as line from documents),
-f as (select string_split(line, ' ')[1] as token, case doc_id % 5 when 0 then 3 when 3 then -2 else 1 end as freq from lines),
-s as (select {_SEGMENTS} as segs, freq from f)
+v as (select string_split(concat_ws(chr(9), line, case doc_id % 5 when 0 then '3' when 1 then 'x' when 2 then '4 5' when 3 then '-2' end), chr(9)) as fields from lines),
+f as (select fields[1] as token, list_filter(regexp_split_to_array(array_to_string(fields[2:], ' '), '[ \\t\\n\\x0B\\f\\r\\p{{Zs}}]+'), lambda x: x <> '') as rest from v),
+s as (select {_SEGMENTS} as segs, case when len(rest) = 1 and regexp_full_match(rest[1], '-?[0-9]+') then coalesce(try_cast(rest[1] as int), 1) else 1 end as freq from f)
 select array_to_string(segs, ' ') as segs, freq::int as freq, count(*) as n from s where len(segs) > 0 group by all"""
 
 
@@ -160,7 +159,7 @@ def _q_edges(spark, d):
 def _ngram_sql(n: int) -> str:
     cols = ", ".join(f"word[i + {k}] as s{k + 1}" for k in range(n))
     keys = ", ".join(f"s{k + 1}" for k in range(n))
-    return f"with {WORDS}, g as (select freq, {cols} from lex, range(1, 200) t(i) where i + {n - 1} <= len(word)) select {keys}, sum(freq)::bigint as n from g group by {keys}"
+    return f"with {WORDS}, g as (select freq, {cols} from lex, unnest(range(1, len(word) - {n - 2})) t(i)) select {keys}, sum(freq)::bigint as n from g group by {keys}"
 
 
 def _q_violations_bigram(spark, d):
@@ -168,7 +167,7 @@ def _q_violations_bigram(spark, d):
     return of_bigrams(S.ngrams(words(spark, d), 2), membership(classes, len(SEGS)), bigrams(classes)).select("c1", "c2", "weight", "violations")
 
 
-_BIGRAM_COUNTS = "bg as (select s1, s2, sum(freq)::bigint as n from (select freq, word[i] as s1, word[i + 1] as s2 from lex, range(1, 200) t(i) where i < len(word)) group by all)"
+_BIGRAM_COUNTS = "bg as (select s1, s2, sum(freq)::bigint as n from (select freq, word[i] as s1, word[i + 1] as s2 from lex, unnest(range(1, len(word))) t(i)) group by all)"
 _PAIR_COUNTS = "half as (select class_id as c1, s2, sum(n) as n from bg join member on s1 = seg_id group by all), pair as (select c1, class_id as c2, sum(n)::bigint as violations from half join member on s2 = seg_id group by all)"
 _VIOLATIONS = f"""with {WORDS}, {_BIGRAM_COUNTS}, {CLASSES}, {_PAIR_COUNTS}
 select a.class_id as c1, b.class_id as c2, -a.size - b.size as weight, coalesce(violations, 0) as violations
@@ -183,7 +182,7 @@ WEIGHTS = (0.5, 0.25, 1.0, 2.0)
 
 def _q_globs(globs: dict[str, str]):
     def run(spark, d):
-        return of_globs(words(spark, d), {k: parse_glob(g) for k, g in globs.items()}, LATIN, LONGEST).select("name", "violations")
+        return of_globs(words(spark, d), {k: parse_glob(g) for k, g in globs.items()}, LATIN).select("name", "violations")
 
     return run
 
@@ -195,7 +194,7 @@ def _globs_sql(globs: dict[str, str]) -> str:
 
 
 def _q_by_lang(spark, d):
-    found = of_globs(words(spark, d, "lang"), {k: parse_glob(g) for k, g in SCORED.items()}, LATIN, LONGEST, "lang")
+    found = of_globs(words(spark, d, "lang"), {k: parse_glob(g) for k, g in SCORED.items()}, LATIN, "lang")
     return found.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("name", "violations"))).alias("x")).select("lang", F.array_join(F.transform("x", lambda s: F.concat_ws("=", s["name"], s["violations"].cast("string"))), ",").alias("counts"))
 
 
@@ -203,11 +202,8 @@ _BY_LANG = f"with {WORDS}, {ENC}, v as (select lang, freq, {', '.join(ends_sql(k
 
 
 def _q_scores(spark, d):
-    from sonority.functions.globs import counting_pattern
-
-    word = words(spark, d)
-    enc = word.select(F.array_join(S.named(F.col("word"), SEGS), "").alias("segs"), F.array_join("word", " ").alias("ids"), S.encoded(F.col("word")).alias("enc"))
-    counts = F.array(*[F.regexp_count("enc", F.lit(counting_pattern((g := parse_glob(t)).initial, g.final, g.sets(LATIN), LONGEST))) for t in SCORED.values()])
+    enc = words(spark, d).select("word", F.array_join("word", " ").alias("ids"), S.encoded(F.col("word")).alias("enc"))
+    counts = F.array(*[glob_count("word", "enc", parse_glob(t), LATIN) for t in SCORED.values()])
     return enc.select("ids", F.round(F.exp(-S.dot(F.array(*map(F.lit, WEIGHTS)), counts)), 9).alias("score"))
 
 
@@ -226,7 +222,7 @@ def _q_oe(spark, d):
     return _oe(spark, d).select("s1", "s2", F.col("o").cast("long").alias("o"), F.round("e", 4).alias("e"), F.round(stats.upper_ratio(F.col("o"), F.col("e")), 6).alias("score"))
 
 
-_OE_SQL = f"""with {WORDS}, lb as (select lang, n, word[i] as s1, word[i + 1] as s2 from lw, range(1, 200) t(i) where i < len(word)),
+_OE_SQL = f"""with {WORDS}, lb as (select lang, n, word[i] as s1, word[i + 1] as s2 from lw, unnest(range(1, len(word))) t(i)),
 ox as (select s1, s2, sum(case when lang = 'en' then n else 0 end)::bigint as o, sum(case when lang = 'en' then 0 else n end)::bigint as x from lb group by all),
 oe as (select s1, s2, o, x * (sum(o) over () / sum(x) over ()) as e from ox), pe as (select *, (o + 0.5) / (e + 1) as p from oe),
 sc as (select *, case when p >= 1 then 1.0 else least(1.0, p + 3 * sqrt(p * (1 - p) / (e + 1))) end as score from pe)"""
@@ -255,12 +251,13 @@ where lang = 'en' and doc_id in (select doc_id from labels where toxic = 1) and
 
 
 def _q_subsequences(spark, d):
-    pairs = words(spark, d).select("freq", F.explode(S.subsequences(F.slice("word", 1, 5), 3)).alias("g"))
-    return pairs.groupBy(F.array_join("g", " ").alias("ids")).agg(F.sum("freq").alias("n"))
+    return S.triples(words(spark, d)).select(F.concat_ws(" ", "s1", "s2", "s3").alias("ids"), "n")
+
 
+_SUBSEQUENCES = f"""with {WORDS}, p as (select word, freq, i, word[i] as s2 from lex, unnest(range(2, len(word))) t(i)),
+h as (select i, s2, freq, word, word[j] as s1, count(*) as k from p, unnest(range(1, i)) t(j) group by all)
+select s1 || ' ' || s2 || ' ' || word[j] as ids, sum(freq * k)::bigint as n from h, unnest(range(i + 1, len(word) + 1)) t(j) group by all"""
 
-_SUBSEQUENCES = f"""with {WORDS}, w as (select word[1:5] as w, freq from lex)
-select w[i] || ' ' || w[j] || ' ' || w[k] as ids, sum(freq)::bigint as n from w, range(1, 6) a(i), range(1, 6) b(j), range(1, 6) c(k) where i < j and j < k and k <= len(w) group by all"""
 
 def _q_vectors(spark, d):
     """Norms and products of the embeddings, and the expectation of two of their entries taken as weights."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import math
 import tempfile
 import uuid
 
@@ -15,12 +15,12 @@ from sonority.functions.features import LATIN
 from sonority.functions.globs import parse_glob
 from sonority.functions.grammar import Grammar, sampled_frame
 from sonority.functions.violations import of_globs, of_singles, reach_counts
-from sonority.jobs.corpus import _BIGRAM_COUNTS, CELLS, CLASSES, LONGEST, SEG_TABLE, SEGS, WORDS, docs, words
+from sonority.jobs.corpus import _BIGRAM_COUNTS, _TOK, CELLS, CLASSES, SEG_TABLE, SEGS, WORDS, docs, words
 from sonority.jobs.learner import learn
 from sonority.streaming.collate import collate, collated
 
 _N = len(SEGS)
-_SEEN = "seen as (select seg, seg_id, n from segtab join (select s1, sum(freq)::bigint as n from (select freq, word[i] as s1 from lex, range(1, 200) t(i) where i <= len(word)) group by s1) on s1 = seg_id)"
+_SEEN = "seen as (select seg, seg_id, n from segtab join (select s1, sum(freq)::bigint as n from (select freq, word[i] as s1 from lex, unnest(range(1, len(word) + 1)) t(i)) group by s1) on s1 = seg_id)"
 _BASE = f"with {WORDS}, {SEG_TABLE}, {CELLS}, {_SEEN}"
 
 
@@ -119,6 +119,25 @@ from k a join k b on a.i + b.i <= 1 join k c on a.i + b.i + c.i <= 1 and (a.core
 }
 
 
+def _q_candidate_rows(spark, d):
+    """Candidates over the corpus's classes with both edges, in the order in which they are tried."""
+    held = _counted_classes(spark, d).drop("tokens")
+    label = F.broadcast(held.select("class_id", "label"))
+    found = C.candidates(spark, LATIN, C.Settings(edges=True), held)
+    named = found.join(label.toDF("c1", "l1"), "c1").join(label.toDF("c2", "l3"), "c2", "left")
+    ends = (F.when(F.col("final") == F.lit(False), "#").otherwise(""), F.when(F.col("final"), "#").otherwise(""))
+    return named.select("ordinal", "family", F.concat(ends[0], "l1", F.coalesce("l3", F.lit("")), ends[1]).alias("glob"), "weight")
+
+
+_CANDIDATE_ROWS = """, f as (
+  select 0 as rank, 'single' as family, class_id as c1, 0 as c2, null::boolean as final, -size as weight, label as "glob" from counted where not inverted
+  union all select 1, 'edge', class_id, 0, final, -size, case when final then label || '#' else '#' || label end from counted, (values (true), (false)) e(final) where not inverted
+  union all select 2, 'bigram', a.class_id, b.class_id, null, -a.size - b.size, a.label || b.label from counted a join counted b on not (a.inverted and b.inverted)
+  union all select 3, 'edge_bigram', a.class_id, b.class_id, final, -a.size - b.size, case when final then a.label || b.label || '#' else '#' || a.label || b.label end
+    from counted a join counted b on not (a.inverted and b.inverted), (values (true), (false)) e(final))
+select row_number() over (order by rank, weight, c1, c2, final desc)::int as ordinal, family, "glob", weight from f"""
+
+
 def _q_reach(spark, d):
     """Violations of every class, any vowels, and every class, summed by the weight of the pair."""
     counts = reach_counts(words(spark, d), C.members(LATIN, False, [("+", "syllabic")]))
@@ -127,7 +146,7 @@ def _q_reach(spark, d):
 
 _VOWELS = C.members(LATIN, False, [("+", "syllabic")])
 _REACH = f"""with {WORDS}, p as (select word, freq, j, list_distinct(list_filter(range(1, j - 1), lambda i: len(list_filter(word[i + 1:j - 1], lambda s: ({_VOWELS}::bigint >> (s - 1)) & 1 = 0)) = 0)) as places
-  from lex, range(1, 200) t(j) where j <= len(word)),
+  from lex, unnest(range(1, len(word) + 1)) t(j)),
 q as (select len(list_distinct(list_transform(places, lambda i: word[i]))) as reached, word[j] as seg, freq from p where len(places) > 0)
 select reached::int as reached, seg::int as seg, sum(freq)::bigint as n from q group by all"""
 
@@ -201,35 +220,80 @@ b as (select (({_NASALS}::bigint >> (s1 - 1)) & 1)::int as q, s2 as seg_id, (({_
 select seg_id, a.q as qa, b.q as qb, a.q2 as qa2, b.q2 as qb2, a.w as wa, b.w as wb from a join b using (seg_id)"""
 
 
+#: Share of the pairs with a first segment from which a second one counts as following it.
+_SHARE = 0.02
+
+
 def _strong(spark, d) -> DataFrame:
-    """Pairs of segments that stand together at least twenty times, as edges."""
-    found = S.ngrams(words(spark, d), 2).where("n >= 20").select(F.col("s1").alias("q"), F.col("s2").alias("seg_id"), F.col("s2").alias("q2"))
+    """Pairs of segments as edges: those with at least a fiftieth of all pairs with their first segment."""
+    pairs = S.ngrams(words(spark, d), 2)
+    totals = pairs.groupBy("s1").agg(F.sum("n").alias("of"))
+    found = pairs.join(F.broadcast(totals), "s1").where(F.col("n") >= F.lit(_SHARE) * F.col("of")).select(F.col("s1").alias("q"), F.col("s2").alias("seg_id"), F.col("s2").alias("q2"))
     # bounded by the square of the feature table's segments: the corpus is read once, not once a round
     return spark.createDataFrame(found.collect(), found.schema).coalesce(1)
 
 
+_STRONG = f"{_BASE}, {_BIGRAM_COUNTS}, e as materialized (select s1, s2 from (select *, sum(n) over (partition by s1) as whole from bg) where n >= {_SHARE} * whole)"
+
+
 def _q_reachable(spark, d):
-    return automata.reachable(_strong(spark, d), spark.range(1).select(F.lit(SEGS.index("a") + 1).alias("q")), 3)
+    return automata.reachable(_strong(spark, d), spark.range(1).select(F.lit(SEGS.index("a") + 1).alias("q")))
 
 
-_REACHABLE = f"""{_BASE}, {_BIGRAM_COUNTS}, e as (select s1, s2 from bg where n >= 20),
-h1 as (select distinct s2 as q from e where s1 = {SEGS.index('a') + 1}), h2 as (select distinct s2 as q from e join h1 on s1 = q), h3 as (select distinct s2 as q from e join h2 on s1 = q),
-every as (select {SEGS.index('a') + 1} as q, 0 as steps union all select q, 1 from h1 union all select q, 2 from h2 union all select q, 3 from h3)
-select q::int as q, min(steps) as steps from every group by q"""
+_REACHABLE = f"""{_STRONG.replace("with ", "with recursive ", 1)}, walk(q, steps) as (select {SEGS.index('a') + 1}, 0 union select s2, steps + 1 from walk join e on s1 = q where steps < {len(SEGS)})
+select q::int as q, min(steps) as steps from walk group by q"""
 
 
 def _q_reverse(spark, d):
     return automata.reversed_frame(_strong(spark, d)).select("q2", "seg_id", F.array_join("sources", " ").alias("sources"))
 
 
-_REVERSE = f"{_BASE}, {_BIGRAM_COUNTS} select s2 as q2, s2 as seg_id, array_to_string(list_sort(list(s1)), ' ') as sources from bg where n >= 20 group by s2"
+_REVERSE = f"{_STRONG} select s2 as q2, s2 as seg_id, array_to_string(list_sort(list(s1)), ' ') as sources from e group by s2"
+
+
+def _q_partition_total(spark, d):
+    """Over all words: the logarithm of each length's mass, and the expected consonant pairs, times the words of the length."""
+    hops = _edges(spark, d).groupBy("q", "q2").agg(F.sum("p").alias("p")).collect()  # one row for each pair of two states
+    p = {(r["q"], r["q2"]): float(r["p"]) for r in hops}
+    a = {k: F.lit(p.get(k, 0.0) * (math.exp(-1) if k == (0, 0) else 1.0)) for k in ((0, 0), (0, 1), (1, 0), (1, 1))}
+    start = F.struct(F.lit(1.0).alias("p0"), F.lit(0.0).alias("p1"), F.lit(0.0).alias("v0"), F.lit(0.0).alias("v1"))
+
+    def step(m, _):
+        return F.struct(
+            (m["p0"] * a[0, 0] + m["p1"] * a[1, 0]).alias("p0"), (m["p0"] * a[0, 1] + m["p1"] * a[1, 1]).alias("p1"),
+            ((m["v0"] + m["p0"]) * a[0, 0] + m["v1"] * a[1, 0]).alias("v0"), (m["v0"] * a[0, 1] + m["v1"] * a[1, 1]).alias("v1"),
+        )
+
+    lengths = S.length_frequencies(words(spark, d)).where("len > 0 and n > 0")
+    told = lengths.select("len", "n", F.aggregate(F.sequence(F.lit(1), "len"), start, step).alias("m"))
+    z = F.col("m.p0") + F.col("m.p1")
+    return told.agg(F.round(F.sum(F.col("n") * F.ln(z)), 4).alias("log_partition"), F.round(F.sum(F.col("n") * (F.col("m.v0") + F.col("m.v1")) / z), 4).alias("expected"))
+
+
+_PARTITION_TOTAL = f"""{_EDGES.replace("with ", "with recursive ", 1)}, a as materialized (select sum(case when q = 0 and q2 = 0 then p end) as aa, sum(case when q = 0 and q2 = 1 then p end) as ab, sum(case when q = 1 and q2 = 0 then p end) as ba, sum(case when q = 1 and q2 = 1 then p end) as bb from ab),
+lf as materialized (select len(word) as len, sum(freq) as n from lex group by all),
+walk(len, p0, p1, v0, v1) as (select 0, 1.0::double, 0.0::double, 0.0::double, 0.0::double
+  union all select len + 1, p0 * aa + p1 * ba, p0 * ab + p1 * bb, (v0 + p0) * aa + v1 * ba, v0 * ab + v1 * bb from walk, a where len < (select max(len) from lf))
+select round(sum(n * ln(p0 + p1)), 4) as log_partition, round(sum(n * (v0 + v1) / (p0 + p1)), 4) as expected from walk join lf using (len)"""
+
+#: The same letters without digraphs.
+_SINGLE = LATIN.resegmented([s for s in SEGS if len(s) == 1])
+
+
+def _q_resegmented(spark, d):
+    """The lexicon under another table, from the tokens that are kept and not from the text."""
+    kept = S.tokens(docs(spark, d))
+    return S.of_tokens(kept, _SINGLE.segments).select(F.array_join(S.named(F.col("word"), _SINGLE.segments), " ").alias("segs"), "freq")
+
+
+_RESEGMENTED = f"with {_TOK}, tw as (select token, count(*) as n from tok where token <> '' group by all), sw as (select regexp_extract_all(token, '{S.alternation(_SINGLE.segments)}') as segs, n from tw) select array_to_string(segs, ' ') as segs, sum(n)::bigint as freq from sw where len(segs) > 0 group by segs"
 _RULES = {"r1": "CC", "r2": "VV", "r3": "#[+nasal]", "r4": "[−sonorant][+nasal]"}
 
 
 def _rules(spark, d) -> DataFrame:
     """Rules with weights from the corpus: the logarithm of segments to violations."""
     held = words(spark, d)
-    found = of_globs(held, {k: parse_glob(g) for k, g in _RULES.items()}, LATIN, LONGEST)
+    found = of_globs(held, {k: parse_glob(g) for k, g in _RULES.items()}, LATIN)
     total = held.agg(F.sum(F.col("freq") * F.size("word")).alias("total"))
     shown = F.create_map(*[F.lit(x) for k, g in _RULES.items() for x in (k, str(parse_glob(g)))])
     return found.crossJoin(F.broadcast(total)).select("name", F.round(F.ln(F.col("total") / (F.col("violations") + 1)), 6).alias("weight"), shown[F.col("name")].alias("glob"))
@@ -247,30 +311,37 @@ def _serialise_sql() -> str:
     return f"with {WORDS}, {ENC}, v as (select freq, {each} from enc), s as ({sums}) select name, printf('%.3f  %s', round(ln((select sum(freq * len(word)) from lex) / (violations + 1)), 6), shown) as line from s"
 
 
+#: Rules after which the query stops, as the command line's ``--rules`` does.
+_MOST_RULES = 3
+
+
 def _q_sample(spark, d):
     """As many words as the corpus has documents, sampled from its rules."""
     rules = _rules(spark, d).orderBy("name").collect()
-    lengths = {r["len"]: r["n"] for r in S.length_frequencies(words(spark, d)).where("len between 1 and 12").collect()}
+    lengths = {r["len"]: r["n"] for r in S.length_frequencies(words(spark, d)).where("len > 0").collect()}
     grammar = Grammar(lengths, [parse_glob(_RULES[r["name"]]) for r in rules], [r["weight"] for r in rules])
     n = docs(spark, d).count()
     return sampled_frame(spark, grammar, LATIN, n).select("row_id", F.array_join(S.named(F.col("word"), SEGS), " ").alias("segs"))
 
 
 def _q_learn(spark, d):
-    """Three rules that the corpus learns, with their weights."""
-    held = words(spark, d).where(F.size("word") <= 12)
-    return learn(held, LATIN, samples=500, most_rules=3).frame(spark)
+    """The first rules that the corpus learns with the default sample, with their weights."""
+    return learn(words(spark, d), LATIN, most_rules=_MOST_RULES).frame(spark)
 
 
 def _q_stream(spark, d):
     """The lexicon, collated from a stream of the documents' files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sonority-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sonority-")
     folder = f"{base}/collate-{uuid.uuid4().hex}"
+    # documents.parquet is a file or a folder of files: Spark tells which, for it may be the only one that reaches the path
     source = docs(spark, d)
-    path = f"{d}/documents.parquet"
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(d if os.path.isfile(path) else path)
-    if os.path.isfile(path):
-        stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    inside = any(f.rsplit("/", 2)[1] == "documents.parquet" for f in source.inputFiles())
+    reader = spark.readStream.schema(source.schema)
+    stream = reader.parquet(f"{d}/documents.parquet") if inside else reader.option("pathGlobFilter", "documents.parquet").parquet(d)
     collate(stream, SEGS, f"{folder}/batches", f"{folder}/checkpoint")
     return collated(spark, f"{folder}/batches").select(F.array_join("word", " ").alias("ids"), "freq")
 
@@ -288,7 +359,10 @@ QUERIES = {
     "candidates_edge_bigram_stats": _q_family(C.edge_bigrams),
     "candidates_trigram_stats": _q_family(C.trigrams, True),
     "candidates_longdistance_stats": _q_family(C.long_distance, True),
+    "candidate_rows": _q_candidate_rows,
     "reach_counts": _q_reach,
+    "partition_total": _q_partition_total,
+    "resegmented_lexicon": _q_resegmented,
     "partition_by_length": _q_partition,
     "expected_violations": _q_expected,
     "automaton_product": _q_product,
@@ -308,7 +382,10 @@ SQL = {
     "classes_by_generality": f"{_COUNTED} select class_id, size, inverted, label, tokens from counted",
     "core_classes": _core_sql(),
     **{f"candidates_{k}_stats": f"{_COUNTED} {v}" for k, v in _FAMILIES.items()},
+    "candidate_rows": f"{_COUNTED} {_CANDIDATE_ROWS}",
     "reach_counts": _REACH,
+    "partition_total": _PARTITION_TOTAL,
+    "resegmented_lexicon": _RESEGMENTED,
     "partition_by_length": f"{_steps_sql()} select len, round(sum(p), 8) as z from ms group by len",
     "expected_violations": f"{_steps_sql()} select len, round(sum(v) / sum(p), 8) as expected from ms group by len",
     "automaton_product": _PRODUCT,

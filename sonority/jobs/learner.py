@@ -21,7 +21,7 @@ from sonority.functions.globs import Glob, parse_class, Part
 from sonority.functions.grammar import Grammar, fit_weights, word_salad
 from sonority.functions.segments import edge_ngrams, length_frequencies, ngrams
 from sonority.functions.stats import upper_ratio_of
-from sonority.functions.violations import reach_counts
+from sonority.functions.violations import of_globs, reach_counts
 
 THRESHOLDS, SAMPLES = (0.01, 0.1, 0.2, 0.3), 3000
 
@@ -37,11 +37,12 @@ class Totals:
     last_two: np.ndarray
     first_two: np.ndarray
     three: np.ndarray
-    reach: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: for each core class, classes by segments: how often a segment ends a long-distance match that starts in the class
+    reach: list[np.ndarray]
 
     @classmethod
-    def of_frame(cls, words: DataFrame, segments: int, cores: list[int], three: bool) -> Totals:
-        """From a lexicon on Spark; what reaches the driver is bounded by the number of segments."""
+    def of_frame(cls, words: DataFrame, segments: int, cores: list[int], three: bool, masks: list[int] = ()) -> Totals:
+        """From a lexicon on Spark; what reaches the driver is bounded by the numbers of segments and of classes ``masks``."""
 
         def dense(df: DataFrame, n: int) -> np.ndarray:
             out = np.zeros((segments,) * n)
@@ -50,16 +51,22 @@ class Totals:
             return out
 
         held = []
+        classes = F.array(*[F.struct(F.lit(i).alias("class"), F.lit(m).alias("mask")) for i, m in enumerate(masks)]) if len(masks) else None
         for mask in cores:
-            rows = reach_counts(words, mask).collect()
-            held.append((np.array([r["reach"] for r in rows], np.int64), np.array([r["seg"] - 1 for r in rows], np.int64), np.array([r["n"] for r in rows], float)))
+            out = np.zeros((len(masks), segments))
+            if classes is not None:
+                met = F.filter(classes, lambda c: F.col("reach").bitwiseAND(c["mask"]) != 0)
+                rows = reach_counts(words, mask).select("seg", "n", F.explode(met).alias("c")).groupBy("c.class", "seg").agg(F.sum("n").alias("n"))
+                for r in rows.collect():
+                    out[r["class"], r["seg"] - 1] = r["n"]
+            held.append(out)
         return cls(
             dense(ngrams(words, 1), 1), dense(ngrams(words, 2), 2), dense(edge_ngrams(words, 1, True), 1), dense(edge_ngrams(words, 1, False), 1),
             dense(edge_ngrams(words, 2, True), 2), dense(edge_ngrams(words, 2, False), 2), dense(ngrams(words, 3), 3) if three else np.zeros((segments,) * 3), held,
         )
 
     @classmethod
-    def of_words(cls, words: list[np.ndarray], segments: int, cores: list[int], three: bool) -> Totals:
+    def of_words(cls, words: list[np.ndarray], segments: int, cores: list[int], three: bool, masks: list[int] = ()) -> Totals:
         """From sampled words, segment indices from 0."""
 
         def add(rows: list[np.ndarray], n: int) -> np.ndarray:
@@ -81,7 +88,8 @@ class Totals:
                     if reach:
                         rows[reach, x] = rows.get((reach, x), 0) + 1
                     p, pp = x, p
-            held.append((np.array([r for r, _ in rows], np.int64), np.array([s for _, s in rows], np.int64), np.array(list(rows.values()), float)))
+            reach, seg, n = np.array([r for r, _ in rows], np.int64), np.array([s for _, s in rows], np.int64), np.array(list(rows.values()), float)
+            held.append(np.array([np.bincount(seg[hit], n[hit], segments) for hit in ((reach & m) != 0 for m in masks)]).reshape(len(masks), segments))
         return cls(
             add([grams(w, 1) for w in words], 1), add([grams(w, 2) for w in words], 2), add([w[None, -1:] for w in words if len(w)], 1), add([w[None, :1] for w in words if len(w)], 1),
             add([w[None, -2:] for w in words if len(w) > 1], 2), add([w[None, :2] for w in words if len(w) > 1], 2), add([grams(w, 3) for w in words], 3) if three else np.zeros((segments,) * 3), held,
@@ -132,6 +140,13 @@ class Candidates:
             first, core_id, last = (x.ravel() for x in np.meshgrid(np.arange(k), np.arange(len(self.far)), np.arange(k), indexing="ij"))
             put("long_distance", -(self.size[first] + self.size[last]), np.stack([first, core_id, last], 1))
         self.count = sum(len(c) for _, c in self.families)
+        self._needs = (len(table.segments), [m for _, m in self.far], bool(self.tri), [c[0] for c in self.classes])
+
+    def observed(self, words: DataFrame) -> np.ndarray:
+        return self.counts(Totals.of_frame(words, *self._needs))
+
+    def expected(self, salad: list[np.ndarray]) -> np.ndarray:
+        return self.counts(Totals.of_words(salad, *self._needs))
 
     def counts(self, t: Totals) -> np.ndarray:
         m, out = self.m, []
@@ -152,12 +167,7 @@ class Candidates:
                 out.append(sums)
             else:
                 sums = np.zeros(len(c))
-                masks = np.array([x[0] for x in self.classes], np.int64)
-                for k, (reach, seg, n) in enumerate(t.reach):
-                    by = np.zeros((len(masks), m.shape[1]))
-                    for i, mask in enumerate(masks.tolist()):
-                        hit = (reach & mask) != 0
-                        by[i] = np.bincount(seg[hit], n[hit], m.shape[1])
+                for k, by in enumerate(t.reach):
                     own = c[:, 1] == k
                     sums[own] = (by @ m.T)[c[own, 0], c[own, 2]]
                 out.append(sums)
@@ -179,6 +189,28 @@ class Candidates:
         raise IndexError(ordinal)
 
 
+class Listed:
+    """Any list of globs as candidates, tried in its order."""
+
+    def __init__(self, table: FeatureTable, globs: Iterable[Glob]) -> None:
+        self.table, self.globs = table, list(globs)
+        self.count = len(self.globs)
+
+    def observed(self, words: DataFrame) -> np.ndarray:
+        """All in one pass over the lexicon."""
+        if not self.globs:
+            return np.zeros(0)
+        rows = {r["name"]: r["violations"] for r in of_globs(words, {f"g{i}": g for i, g in enumerate(self.globs)}, self.table).collect()}
+        return np.array([rows[f"g{i}"] for i in range(self.count)], float)
+
+    def expected(self, salad: list[np.ndarray]) -> np.ndarray:
+        machines = [counter(g.initial, g.final, g.sets(self.table), len(self.table.segments)) for g in self.globs]
+        return np.array([sum(int(m.count(w.tolist())[0]) for w in salad) for m in machines], float)
+
+    def glob(self, ordinal: int) -> Glob:
+        return self.globs[ordinal]
+
+
 def check_thresholds(thresholds: Iterable[float]) -> list[float]:
     out = [float(t) for t in thresholds]
     if any(b <= a for a, b in zip(out, out[1:])) or any(t >= 1 for t in out):
@@ -188,20 +220,24 @@ def check_thresholds(thresholds: Iterable[float]) -> list[float]:
 
 def learn(
     words: DataFrame, table: FeatureTable, settings: Settings = Settings(), thresholds: Iterable[float] = THRESHOLDS, samples: int = SAMPLES, most_rules: int | None = None, seed: int = 1,
-    on_rule: Callable[[Grammar], None] | None = None,
+    on_rule: Callable[[Grammar], None] | None = None, candidates: Iterable[Glob] | None = None, on_progress: Callable[[float, int, int], None] | None = None,
 ) -> Grammar:
     """Learn a grammar from a lexicon ``word, freq``.
 
     Each accepted rule is given to ``on_rule``; an interrupt returns the grammar so far.
+
+    :param candidates: the globs to try, in order; None: the families of ``settings``.
+    :param on_progress: told the threshold, how many candidates have been passed under it, and how many there are: after each
+        rule and at the end of each pass.
     """
     limits = check_thresholds(thresholds)
     lengths = {r["len"]: r["n"] for r in length_frequencies(words).collect()}
     total = sum(lengths.values())
     if not total:
         raise ValueError("the lexicon is empty")
-    found = Candidates(table, settings)
-    cores, three, size = [m for _, m in found.far], bool(found.tri), len(table.segments)
-    observed = found.counts(Totals.of_frame(words, size, cores, three))
+    found = Candidates(table, settings) if candidates is None else Listed(table, candidates)
+    size, tell = len(table.segments), on_progress or (lambda *_: None)
+    observed = found.observed(words)
     number = np.array([lengths.get(k, 0) for k in range(max(lengths) + 1)], float)
     number[0] = 0
     machine, weights, counts = nothing(size), np.zeros(0), np.zeros(0)
@@ -209,7 +245,7 @@ def learn(
 
     def expected(round_: int) -> np.ndarray:
         salad = word_salad(machine, weights, grammar.lengths, samples, seed + round_)
-        return found.counts(Totals.of_words(salad, size, cores, three)) * total / samples
+        return found.expected(salad) * total / samples
 
     try:
         score = upper_ratio_of(observed, expected(0))
@@ -219,7 +255,9 @@ def learn(
                 ahead = np.flatnonzero(score[cursor:] < limit) + cursor
                 at = next((i for i in ahead.tolist() if str(found.glob(i)) not in chosen), None)
                 if at is None:
+                    tell(limit, found.count, found.count)
                     break
+                tell(limit, at, found.count)
                 rule = found.glob(at)
                 chosen.add(str(rule))
                 machine = product(machine, counter(rule.initial, rule.final, rule.sets(table), size))

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+from collections import Counter
+from itertools import combinations
 from itertools import product as words_of
 
 import numpy as np
@@ -11,8 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sonority.functions import automata, classes, grammar, segments, stats
-from sonority.functions.globs import body, counting_pattern, parse_class, parse_glob
+from sonority.functions import automata, classes, grammar, segments, stats, violations
+from sonority.functions.globs import Glob, Part, body, parse_class, parse_glob
 from sonority.functions.features import LATIN, FeatureTable
 from sonority.jobs import learner
 from sonority.jobs.cli import run
@@ -53,6 +55,13 @@ def test_driver_candidates_follow_the_frame(spark):
     found = learner.Candidates(SMALL, setting)
     assert found.count == classes.candidates(spark, SMALL, setting).count()
     assert str(found.glob(0)) == "[]"
+    rows = classes.candidates(spark, SMALL, setting).orderBy("ordinal").collect()
+    names = [c[2] for c in found.classes]
+    assert [r.ordinal for r in rows] == list(range(1, found.count + 1))
+    for r in rows:
+        parts = [names[i - 1] if isinstance(i, int) else i for i in (r.c1, r.l2, r.c2, r.c3) if i is not None]
+        assert [classes.label(p.inverted, p.literals) for p in found.glob(r.ordinal - 1).parts] == parts, r
+
 
 
 def greedy(text, segs):
@@ -124,21 +133,63 @@ parts = st.lists(st.tuples(st.sampled_from(["", "+", "*"]), st.integers(1, 7)),
 @given(st.booleans(), st.booleans(), parts, st.lists(st.integers(0, 2), max_size=8))
 def test_counter_counts_places_where_a_match_ends(initial, final, glob, word):
     text = "".join(chr(0xE001 + x) for x in word)
-    pattern = re.compile(("^" if initial else "") + body(glob, 9) + r"\Z")
+    pattern = re.compile(("^" if initial else "") + body(glob) + r"\Z")
     ends = [len(text)] if final else range(1, len(text) + 1)
     assert automata.counter(initial, final, glob, 3).count(word)[0] == sum(bool(pattern.search(text[:i])) for i in ends)
 
 
-def test_patterns_count_as_the_automaton(spark):
-    rng, rows = random.Random(3), []
-    for _ in range(40):
-        glob = (rng.random() < 0.3, rng.random() < 0.3, [(rng.choice(["", "+", "*"]), rng.randint(1, 7)) for _ in range(rng.randint(1, 3))])
-        if all(r == "*" for r, _ in glob[2]):
+def a_glob(rng):
+    part = lambda: Part(rng.choice(["", "+", "*"]), rng.random() < 0.2, tuple((rng.choice("+-"), f) for f in ("vowel", "nasal") if rng.random() < 0.5))
+    return Glob(rng.random() < 0.3, rng.random() < 0.3, tuple(part() for _ in range(rng.randint(1, 3))))
+
+
+def test_globs_count_as_the_automaton(spark):
+    rng = random.Random(3)
+    globs = {f"g{i}": a_glob(rng) for i in range(30)}
+    words = [[rng.randint(1, 3) for _ in range(n)] for n in (1, 2, 3, 4, 5, 7, 9, 150, 400)]
+    df = spark.createDataFrame([(w, k + 1) for k, w in enumerate(words)], "word array<int>, freq int")
+    got = {r["name"]: r["violations"] for r in violations.of_globs(df, globs, SMALL).collect()}
+    for name, g in globs.items():
+        if all(p.repeat == "*" for p in g.parts):
             continue
-        word = [rng.randint(0, 2) for _ in range(rng.randint(1, 9))]
-        rows.append((counting_pattern(*glob, 9), "".join(chr(0xE001 + x) for x in word), int(automata.counter(*glob, 3).count(word)[0])))
-    got = [spark.sql("select regexp_count(:t, :p)", args={"t": t, "p": p}).first()[0] for p, t, _ in rows[:25]]
-    assert got == [n for _, _, n in rows[:25]]
+        m = automata.counter(g.initial, g.final, g.sets(SMALL), 3)
+        assert got[name] == sum((k + 1) * int(m.count([s - 1 for s in w])[0]) for k, w in enumerate(words)), str(g)
+
+
+def test_automata_together_and_folds():
+    a, b = automata.counter(False, False, [("", 1), ("", 2)], 3), automata.counter(True, False, [("+", 4)], 3)
+    for how in (lambda x, y: x and y, lambda x, y: x or y, lambda x, y: x != y):
+        m = automata.together(a, b, how)
+        for word in words_of(range(3), repeat=4):
+            assert m.count(list(word))[0] == how(a.count(list(word))[0] > 0, b.count(list(word))[0] > 0)
+    word = [0, 1, 0, 1, 2]
+    assert a.fold(word, 0, lambda x, y: x + y, lambda q, s: int(a.out[q, s, 0]), lambda q: int(a.end[q, 0])) == a.count(word)[0]
+    assert a.fold(word, "", lambda x, y: x + y, lambda q, s: "ant"[s], lambda q: "#") == "anant#"
+
+
+def test_reachable_closes(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2), (5, 6)], "q int, q2 int")
+    start = spark.createDataFrame([(1,)], "q int")
+    assert sorted(map(tuple, automata.reachable(edges, start).collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert sorted(map(tuple, automata.reachable(edges, start, 1).collect())) == [(1, 0), (2, 1)]
+
+
+def test_segmentation_stays_above_the_counts(spark):
+    """Distinct words are segmented, not tokens: the stage that reads the text has no segmentation."""
+    docs = spark.createDataFrame([("ana tan ana",)], "text string").repartition(2)
+    plan = segments.lexicon(docs, SMALL.segments)._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan[plan.index("explode") :]
+    assert "regexp_extract_all" in plan and "regexp_extract_all" not in inner
+
+
+def test_triples_of_long_words(spark):
+    rng = random.Random(6)
+    words = [[rng.randint(1, 4) for _ in range(n)] for n in (1, 2, 3, 5, 40)]
+    df = spark.createDataFrame([(w, 2) for w in words], "word array<int>, freq int")
+    expected = Counter()
+    for w in words:
+        expected.update({t: 2 * n for t, n in Counter(combinations(w, 3)).items()})
+    assert {(r.s1, r.s2, r.s3): r.n for r in segments.triples(df).collect()} == dict(expected)
 
 
 def test_expectations_of_the_small_table():
@@ -207,6 +258,10 @@ def test_learner_finds_what_the_corpus_avoids(spark):
     assert seen == list(range(1, len(g.rules) + 1)) and "[−vowel][−vowel]" in {str(r) for r in g.rules} and all(w > 0 for w in g.weights[:1])
     with pytest.raises(ValueError):
         learner.check_thresholds([0.2, 0.1])
+    # any candidates, in their order, with progress
+    told, tried = [], [parse_glob(x) for x in ("[+vowel]", "[−vowel][−vowel]", "[+vowel]₁[+nasal]")]
+    h = learner.learn(df, SMALL, samples=300, candidates=tried, on_progress=lambda *x: told.append(x))
+    assert [str(r) for r in h.rules][:1] == ["[−vowel][−vowel]"] and told[-1] == (0.3, 3, 3)
 
 
 def test_totals_agree_between_spark_and_driver(spark):
@@ -214,8 +269,7 @@ def test_totals_agree_between_spark_and_driver(spark):
     words = [np.array([rng.randint(0, 2) for _ in range(rng.randint(1, 7))]) for _ in range(60)]
     df = spark.createDataFrame([([int(x) + 1 for x in w], 1) for w in words], "word array<int>, freq int")
     found = learner.Candidates(SMALL, classes.Settings(True, ("vowel",), ("vowel",)))
-    cores = [m for _, m in found.far]
-    a, b = (found.counts(t) for t in (learner.Totals.of_frame(df, 3, cores, True), learner.Totals.of_words(words, 3, cores, True)))
+    a, b = found.observed(df), found.expected(words)
     assert (a == b).all()
     for i in random.Random(2).sample(range(found.count), 120):
         g = found.glob(i)
