@@ -17,7 +17,7 @@ import math
 import pickle
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import table
+from sonority.llm.common import portions, table
 
 #: Pages that the trees are fitted on at most; trees, their depth, step and bins.
 MAX_PAGES, TREES, DEPTH, STEP, BINS = 250, 50, 4, 0.2, 24
 
+#: Bytes of html whose nodes a task scores at once, about.
+CHARS = 2_000_000
+
 # How HTML's elements behave.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +40,8 @@ _RAW = frozenset("script style noscript template iframe svg math object head can
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*))>""", re.S)
+#: Comments, declarations and tags. Loops are possessive, so a tag is read once; one whose quotes are not closed ends at the next >.
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+|[^>]*+))>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -67,6 +71,16 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, buffer, now, links, linked, at, skip = [0], [], 0, 0, 0, 0, ""
+        #: places in the stack of each tag that is open
+        places: dict[str, list[int]] = {}
+
+        def last(tags: Iterable[str]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        def cut(i: int) -> None:
+            for k in stack[i:]:
+                places[self.tag[k]].pop()
+            del stack[i:]
 
         def flush() -> None:
             nonlocal linked
@@ -80,7 +94,9 @@ class Page:
                 self.marks[now] += text.count(".") + text.count(",") + text.count("?")
             linked = 0
 
-        for m in _TOKEN.finditer(source):
+        # what follows the last > has no more tags
+        limit = source.rfind(">") + 1
+        for m in _TOKEN.finditer(source, 0, limit):
             start, end, tag = m.start(), m.end(), m[2]
             if start > at and not skip:
                 piece = source[at:start]
@@ -91,6 +107,8 @@ class Page:
                     linked += len(piece.strip())
             at = end
             if tag is None:
+                if end == limit and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
+                    at = len(source)
                 continue
             tag, closing = tag.lower(), bool(m[1])
             if skip:
@@ -113,29 +131,20 @@ class Page:
                     self.attrs[0] = m[3]
                 continue
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == tag:
-                        flush()
-                        links = 0
-                        del stack[i:]
-                        now = stack[-1]
-                        break
+                if i := last((tag,)):
+                    flush()
+                    links = 0
+                    cut(i)
+                    now = stack[-1]
                 continue
             flush()
             links = 0
-            if tag in _ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == "p":
-                        del stack[i:]
-                        break
+            if tag in _ENDS_P and (i := last(("p",))):
+                cut(i)
             if tag in _SAME:
                 ends, within = _SAME[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] in within:
-                        break
-                    if self.tag[stack[i]] in ends:
-                        del stack[i:]
-                        break
+                if (i := last(ends)) > last(within):
+                    cut(i)
             now = stack[-1]
             if tag in _VOID:
                 continue
@@ -145,9 +154,11 @@ class Page:
             for x in (self.chars, self.linked, self.words, self.marks):
                 x.append(0)
             now = len(self.tag) - 1
+            places.setdefault(tag, []).append(len(stack))
             stack.append(now)
         if at < len(source) and not skip:
-            buffer.append(entities.unescape(source[at:]))
+            # a comment that never ends
+            buffer.append(entities.unescape(source[at:].partition("<!--")[0]))
         flush()
 
 
@@ -425,8 +436,7 @@ def extract(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for b in batches:
-            for i in range(0, b.num_rows, 400):
-                part = b.slice(i, 400)
+            for part in portions(b, "html", CHARS):
                 texts = main_texts([h or "" for h in part.column("html").to_pylist()], trees)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -2,8 +2,8 @@
 
 The base kinds are found by their patterns and checks. Every base span is also a seed of a bootstrap: base spans and tokens
 that look like identifiers are the instances, the words around them are the lexical patterns, and both are scored over their graph in
-rounds. A pattern is as sure as the share of its instances' scores, an instance as sure as its patterns together;
-seeds stay at one. What sure patterns hold beyond the seeds is added with kind ``id``.
+rounds until nothing changes. A pattern is as sure as the share of its instances' scores, an instance as sure as its patterns
+together; seeds stay at one. What sure patterns hold beyond the seeds is added with kind ``id``.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import table, text_or_empty, written
-from sonority.llm.spans import matches
+from sonority.llm.common import forget, met, table, text_or_empty, written
+from sonority.llm.spans import let, matches
 
 #: Fixed values of the base kinds, in the order that breaks ties. Loops over groups are possessive; the first two start
 #: where a run of their characters does or where the last match ended, which is where the leftmost match starts.
@@ -27,10 +27,9 @@ PATTERNS = {
 #: more characters with four digits, name one thing wherever they stand; the others only in a sure context.
 CANDIDATE = r"(?<!\S)(?=[^\s0-9@_]*+[0-9@_])\S++"
 LONG = r"^(?=.{8})(?:[^0-9]*+[0-9]){4}"
-#: A pattern needs so many different seeds, and both patterns and instances so high a score; rounds of scoring.
-LEAST_SEEDS, LEAST_SCORE, ROUNDS = 5, 0.8, 3
-#: Code points on each side in which the words of a context are looked for.
-REACH = 160
+#: A pattern needs so many different seeds, and both patterns and instances so high a score; scores are settled when none
+#: moves by more than this. They only rise from round to round, and are at most one.
+LEAST_SEEDS, LEAST_SCORE, SETTLED = 5, 0.8, 1e-3
 
 
 def _digits(value: Column) -> Column:
@@ -57,7 +56,7 @@ def _passes(kind: str, value: Column) -> Column:
 def _named(rank: int, kind: str) -> Column:
     """The matches of a kind that pass its check, as spans."""
     passing = F.filter(F.col(f"_{kind}"), lambda m: _passes(kind, m["value"]))
-    return F.transform(passing, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")))
+    return F.transform(passing, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"), m["first"].alias("first"), m["last"].alias("last")))
 
 
 def _count(kind: str) -> Column:
@@ -71,44 +70,56 @@ def _may_have(kind: str, text: Column) -> Column:
 def base_spans(docs: DataFrame) -> DataFrame:
     """Rows ``doc_id, _key, _text, _base``: all base spans by start, then kind. ``_key`` names the text."""
     out = docs.select("doc_id", text_or_empty().alias("_text"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string,first:int,last:int>>")
     for k in KINDS:
-        out = out.withColumn(f"_{k}", F.when(_may_have(k, F.col("_text")), matches(F.col("_text"), PATTERNS[k])).otherwise(none))
+        out = out.withColumn(f"_{k}", F.when(_may_have(k, F.col("_text")), matches(F.col("_text"), PATTERNS[k], words=True)).otherwise(none))
     named = [_named(i, k) for i, k in enumerate(KINDS)]
     return out.select("doc_id", F.xxhash64("_text").alias("_key"), "_text", F.array_sort(F.concat(*named)).alias("_base"))
 
 
-def _word(words: Column, at: int) -> Column:
+def _word(tokens: Column, at: Column) -> Column:
     """A word of a context without what is no letter or digit at its ends; a sign alone is a word too."""
-    raw = F.coalesce(F.try_element_at(words, F.lit(at)), F.lit(""))
-    bare = F.regexp_replace(raw, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.lower(F.when(bare == "", raw).otherwise(bare))
+    raw = F.when(at >= 0, F.coalesce(F.get(tokens, at), F.lit(""))).otherwise(F.lit(""))
+    return let(raw, lambda r: F.lower(F.coalesce(F.nullif(F.regexp_replace(r, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""), F.lit("")), r)))
+
+
+def _apart(found: Column, base: Column) -> Column:
+    """Candidate tokens in which no base span lies, told by sorting both by the number of their token."""
+    taken = F.array_distinct(F.flatten(F.transform(base, lambda b: F.sequence(b["first"], b["last"]))))
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def entry(word: Column, kind: int, start: Column, value: Column) -> Column:
+        return F.struct(word.alias("word"), F.lit(kind).alias("kind"), start.alias("start"), value.alias("value"))
+
+    both = F.array_sort(F.concat(F.transform(taken, lambda w: entry(w, 0, none, text)), F.transform(found, lambda m: entry(m["first"], 1, m["start"], m["value"]))))
+    beside = let(both, lambda x: F.zip_with(x, F.concat(F.array(F.lit(-1)), F.transform(x, lambda e: e["word"])), lambda e, w: F.struct(e.alias("e"), w.alias("w"))))
+    return F.transform(F.filter(beside, lambda x: (x["e"]["kind"] == 1) & (x["e"]["word"] != x["w"])), lambda x: x["e"])
 
 
 def instances(found: DataFrame) -> DataFrame:
     """Base spans, which are the seeds, and identifier-like tokens: ``doc_id, _key, start, end, value, seed, by``.
 
-    ``by`` has an instance's patterns: the two words before it, and the word on each side.
+    ``by`` has an instance's patterns: the two words before it, and the word on each side. Words are found by their number in
+    the text, so a text costs about its length and its number of instances.
     """
-    text, base = F.col("_text"), F.col("_base")
+    text = F.col("_text")
 
-    def instance(m: Column, seed: bool) -> Column:
-        # the context of a span is what stands beside the tokens that it lies in
-        left = F.regexp_replace(F.substring(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH))), r"\S+$", "")
-        right = F.regexp_replace(F.substring(text, m["end"] + 1, F.lit(REACH)), r"^\S+", "")
-        return F.struct(m["start"].alias("start"), m["value"].alias("value"), F.lit(seed).alias("seed"), left.alias("left"), right.alias("right"))
+    def instance(tokens: Column, start: Column, value: Column, first: Column, last: Column, seed: bool) -> Column:
+        words = [_word(tokens, first - 2).alias("l2"), _word(tokens, first - 1).alias("l1"), _word(tokens, last + 1).alias("r1")]
+        return F.struct(start.alias("start"), value.alias("value"), F.lit(seed).alias("seed"), *words)
 
-    others = F.filter(matches(text, CANDIDATE), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
-    every = F.concat(F.transform(base, lambda b: instance(b, True)), F.transform(others, lambda m: instance(m, False)))
-    held = found.where(text.rlike("[0-9@_]")).select("doc_id", "_key", F.explode(every).alias("m")).select("doc_id", "_key", "m.*")
+    def every(tokens: Column, base: Column, others: Column) -> Column:
+        return F.concat(
+            F.transform(base, lambda b: instance(tokens, b["start"], b["value"], b["first"], b["last"], True)),
+            F.transform(others, lambda m: instance(tokens, m["start"], m["value"], m["word"], m["word"], False)),
+        )
+
+    spans = let(F.col("_base"), lambda base: let(F.split(text, r"\s+"), lambda tokens: every(tokens, base, _apart(matches(text, CANDIDATE, words=True), base))))
+    held = found.where(text.rlike("[0-9@_]")).select("doc_id", "_key", F.explode(spans).alias("m")).select("doc_id", "_key", "m.*")
     # the span of a token is the token without what is not a letter or digit at its ends; a base span stays whole
     head = F.when(F.col("seed"), 0).otherwise(F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}]*", 0)))
     core = F.when(F.col("seed"), F.col("value")).otherwise(F.regexp_replace("value", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    before, after = F.split(F.rtrim(F.regexp_replace("left", r"\s+", " ")), " "), F.split(F.ltrim(F.regexp_replace("right", r"\s+", " ")), " ")
-    l1, l2, r1 = _word(before, -1), _word(before, -2), _word(after, 1)
-    # one pattern for each kind of context; the instance's own shape is part of it
-    shape = F.when(F.col("value").rlike(r"\p{L}"), "x").otherwise("9")
-    by = F.array(F.concat_ws("\t", F.lit("LL"), l2, l1, shape), F.concat_ws("\t", F.lit("LR"), l1, r1, shape))
+    by = F.array(F.concat_ws("\t", F.lit("LL"), "l2", "l1"), F.concat_ws("\t", F.lit("LR"), "l1", "r1"))
     return held.select("doc_id", "_key", (F.col("start") + head).alias("start"), (F.col("start") + head + F.length(core)).alias("end"), core.alias("value"), "seed", by.alias("by")).where("value <> ''")
 
 
@@ -117,30 +128,41 @@ def _together(trust: str = "trust") -> Column:
     return 1 - F.exp(F.sum(F.log(1 - F.least(trust, F.lit(0.999)))))
 
 
-def scored(tokens: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> tuple[DataFrame, DataFrame]:
-    """Instances ``value, score, seed`` and sure patterns ``pattern, trust`` after some rounds; seeds stay at one.
+def scored(tokens: DataFrame, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> tuple[DataFrame, DataFrame]:
+    """Instances ``value, score, seed`` and sure patterns ``pattern, trust`` when the scores have settled; seeds stay at one.
 
-    The graph joins patterns to distinct values, so repeated documents don't add to a pattern's certainty.
+    The graph joins patterns to distinct values, so repeated documents don't add to a pattern's certainty. A pattern of very
+    many values, or a value in very many patterns, is joined where its edges lie.
     """
     graph = written(
         tokens.select("value", "seed", F.explode("by").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph"
     )
     # a pattern without enough seeds never counts
     able = graph.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count("*").alias("of")).where(F.col("seeds") >= least_seeds)
-    edges = written(graph.join(able.select("pattern", "of"), "pattern"), "pii-edges")
-    values = written(edges.groupBy("value").agg(F.max("seed").alias("seed")), "pii-values")
+    edges = written(met(graph, able.select("pattern", "of"), "pattern", "of", graph.count()).select("pattern", "value", "seed"), "pii-edges")
+    n = edges.count()
+    values = written(edges.groupBy("value").agg(F.max("seed").alias("seed"), F.count("*").alias("of")), "pii-values", n)
     score, sure = values.withColumn("score", F.col("seed").cast("double")), None
-    for _ in range(rounds):
-        sure = written(edges.join(score.select("value", "score"), "value").groupBy("pattern").agg((F.sum("score") / (F.max("of") + 1)).alias("trust")).where(F.col("trust") >= least_score / 2), "pii-sure")
-        part = edges.join(sure, "pattern").groupBy("value").agg(_together().alias("any"))
+    while True:
+        by_value = met(edges.select("pattern", "value"), score.select("value", "score", "of"), "value", "of", n)
+        trust = by_value.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("trust"), F.count("*").alias("of"))
+        old_sure, sure = sure, written(trust.where(F.col("trust") >= least_score / 2), "pii-sure", n)
+        part = met(edges.select("pattern", "value"), sure, "pattern", "of", n).groupBy("value").agg(_together().alias("any"))
         # a value without a sure pattern stays, so that a seed counts in each round
-        score = written(values.join(part, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("any", F.lit(0.0))).alias("score"), "seed"), "pii-scores")
-    return score, sure
-
-
-def discovered(tokens: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
+        new = score.select("value", "seed", "of", F.col("score").alias("old")).join(part, "value", "left")
+        new = written(new.select("value", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("any", F.lit(0.0))).alias("score"), "seed", "of", "old"), "pii-scores", n)
+        moved = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+        if old_sure is not None:
+            forget(old_sure)
+            forget(score)
+        score = new
+        if moved <= SETTLED:
+            return score, sure
+
+
+def discovered(tokens: DataFrame, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> DataFrame:
     """Values that sure patterns hold: ``value, score``."""
-    score, _ = scored(tokens, rounds, least_seeds, least_score)
+    score, _ = scored(tokens, least_seeds, least_score)
     return score.where(~F.col("seed") & (F.col("score") >= least_score)).select("value", "score")
 
 
@@ -149,9 +171,14 @@ def added(tokens: DataFrame) -> DataFrame:
     score, sure = scored(tokens)
     place = ["doc_id", "_key", "start", "end"]
     others = tokens.where("not seed").withColumn("long", F.col("value").rlike(LONG))
-    known = others.where("long").join(score.where(~F.col("seed") & (F.col("score") >= LEAST_SCORE)), "value").select(*place)
+    total = tokens.count()
+    seen = others.where("long").groupBy("value").agg(F.count("*").alias("of"))
+    sure_values = score.where(~F.col("seed") & (F.col("score") >= LEAST_SCORE)).select("value").join(seen, "value")
+    known = met(others.where("long"), sure_values, "value", "of", total).select(*place)
     # a null id is its own group; copies of a row share their places
-    here = others.where("not long").select(*place, F.explode("by").alias("pattern")).distinct().join(sure, "pattern")
+    here = others.where("not long").select(*place, F.explode("by").alias("pattern")).distinct()
+    often = sure.select("pattern", "trust").join(here.groupBy("pattern").agg(F.count("*").alias("of")), "pattern")
+    here = met(here, often, "pattern", "of", 2 * total)
     return known.union(here.groupBy(*place).agg(_together().alias("score")).where(F.col("score") >= LEAST_SCORE).select(*place)).distinct()
 
 

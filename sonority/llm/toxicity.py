@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import table, text_or_empty
+from sonority.llm.common import portions, table, text_or_empty
 from sonority.llm.quality import logistic
 
 #: Labelled documents of each class that the model is fitted on at most.
@@ -29,6 +29,8 @@ MAX_TOXIC, MAX_CLEAN = 900, 1800
 THRESHOLD = 0.5
 #: A beginning or word marks toxic tokens from this share of toxic documents, and this ratio to the share of others.
 LEAST_SHARE, LEAST_RATIO = 0.01, 5.0
+#: Bytes of text whose words go through the chain at once, about: some 300,000 words.
+CHARS = 2_000_000
 #: Words whose emission a worker remembers.
 MEMORY = 400_000
 
@@ -122,8 +124,11 @@ class Tagger:
         if len(set(y.tolist())) < 2:
             return
         docs = [_WORD.findall(t) for t in texts]
-        # a third of the documents is left for the curve, unless they are few
-        learn = np.arange(len(y)) % 3 != 0 if (y == 1).sum() >= 60 else np.ones(len(y), bool)
+        # a third of each class is left for the curve, if both classes have three documents to be dealt out
+        place = np.zeros(len(y), np.int64)
+        for k in (0, 1):
+            place[y == k] = np.arange((y == k).sum())
+        learn = place % 3 != 0 if min((y == 0).sum(), (y == 1).sum()) >= 3 else np.ones(len(y), bool)
         self.marks = self._find([docs[i] for i in np.flatnonzero(learn)], y[learn])
         self._fit([docs[i] for i in np.flatnonzero(learn)], y[learn], rounds)
         kept = np.ones(len(y), bool) if learn.all() else ~learn
@@ -176,7 +181,7 @@ class Tagger:
             mean = 0.9 * mean + 0.1 * grad
             square = 0.99 * square + 0.01 * grad * grad
             theta = theta - 0.15 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
-        self.weight = {f: float(theta[i]) for f, i in own.items() if abs(theta[i]) > 0.02}
+        self.weight = {f: float(theta[i]) for f, i in own.items()}
         self.bias, self.turn, self.start = float(theta[len(own)]), theta[-6:-2].reshape(2, 2), theta[-2:]
 
     def _emission(self, word: str) -> float:
@@ -264,10 +269,9 @@ def tagged(docs: DataFrame, model: Tagger) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, max(len(texts), 1), 500):
-                scores, spans = model.scores(texts[i : i + 500])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(scores)), pa.array(scores, pa.float64()), pa.array([[{"start": s, "end": t} for s, t in x] for x in spans], span)], ["doc_id", "score", "spans"])
+            for part in portions(b, "text", CHARS):
+                scores, spans = model.scores(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([[{"start": s, "end": t} for s, t in x] for x in spans], span)], ["doc_id", "score", "spans"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(each, f"doc_id {kind}, score double, spans array<struct<start:int,end:int>>")
 

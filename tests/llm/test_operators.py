@@ -450,7 +450,8 @@ def test_bootstrap_finds_identifiers_in_sure_contexts(spark):
     rows = [(i, f"the account number {rng.randint(1, 9)}.{rng.randint(1, 200)}.{rng.randint(1, 200)}.{rng.randint(100, 200)} is closed now") for i in range(40)]
     rows += [(100, "the account number 77812345x6789 is closed now"), (101, "a build 20240101b1234 of something else")]
     got = {r["doc_id"]: r["spans"] for r in pii.find(documents(spark, rows)).collect()}
-    assert "id:" not in got[101] and all(s.startswith("ip:") for i, s in got.items() if i < 100)
+    # the unseen identifier is found, of a shape that no seed has; another one in a context without seeds is not
+    assert got[100] == "id:19:32" and got[101] == "" and all(s.startswith("ip:") and "id:" not in s for i, s in got.items() if i < 100)
     weak = pii.find(documents(spark, rows[-2:])).collect()
     assert all("id:" not in r["spans"] for r in weak)
 
@@ -466,10 +467,19 @@ def test_every_base_span_teaches_and_short_identifiers_are_found(spark):
 def test_seeds_count_in_every_round(spark):
     # the first pattern is sure; eleven of its values and six seeds of their own make the second one sure a round later
     rows = [(f"s{i}", True, ["p"]) for i in range(100)] + [(f"v{i}", False, ["p", "q"]) for i in range(11)] + [(f"t{i}", True, ["q"]) for i in range(6)] + [("target", False, ["q"])]
-    score = {r["value"]: r["score"] for r in pii.discovered(spark.createDataFrame(rows, "value string, seed boolean, by array<string>"), rounds=2).collect()}
+    score = {r["value"]: r["score"] for r in pii.discovered(spark.createDataFrame(rows, "value string, seed boolean, by array<string>")).collect()}
     assert set(score) == {f"v{i}" for i in range(11)} | {"target"} and score["target"] > 0.8
 
 
+def test_texts_of_many_matches(spark):
+    """Tens of thousands of base spans and identifiers in one text, placed in about linear time."""
+    bits = [f"to a{k}@b.cd, 10.0.{k % 256}.{k // 256 % 256} or x_{k}\n" for k in range(20000)]
+    text = "".join(bits)
+    row = pii.find(documents(spark, [(1, text)])).first()
+    assert (row["n_email"], row["n_ip"]) == (20000, 20000)
+    assert row["base_sha256"] == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+
+
 def test_secrets(spark):
     rng = random.Random(11)
     def hexa():
