@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sonority.llm.common import table, text_or_empty, written
 
@@ -175,6 +176,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT)
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double"
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     texts, out = docs.select("doc_id", text_or_empty().alias("text")), None
     for k in range(blocks):
         own = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text")
@@ -194,7 +196,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT)
                             if n >= threshold * of:
                                 rows.append((i, items.ids[k], n, of, n / of))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], b.column("doc_id").type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())],
+                    [pa.array([r[0] for r in rows], b.column("doc_id").type), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())],
                     ["doc_id", "item_id", "n_shared", "n_item", "containment"],
                 )
 

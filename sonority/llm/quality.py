@@ -22,6 +22,8 @@ from sonority.llm.common import table, text_or_empty
 
 #: Labelled rows that the model is fitted on at most, and n-grams that it keeps at most.
 MAX_TRAIN, MAX_FEATURES = 4000, 50_000
+#: Labelled rows that an n-gram must be in.
+LEAST = 2
 THRESHOLD = 0.7
 
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
@@ -100,19 +102,18 @@ class Model:
         self.ids: dict = {}
         if len(set(y.tolist())) < 2:
             return
-        least = 3 if len(y) >= 200 else 2
         single: Counter = Counter()
         for t in texts:
             words, shapes = _streams(t)
             single.update(set(words))
             single.update(zip(set(shapes)))
             single.update(set(zip(shapes, shapes[1:], shapes[2:])))
-        single = Counter({g: n for g, n in single.items() if n >= least})
+        single = Counter({g: n for g, n in single.items() if n >= LEAST})
         pairs: Counter = Counter()
         for t in texts:
             words = t.lower().split()
             pairs.update({p for p in zip(words, words[1:]) if p[0] in single and p[1] in single})
-        single.update({p: n for p, n in pairs.items() if n >= least})
+        single.update({p: n for p, n in pairs.items() if n >= LEAST})
         chosen = sorted(single.items(), key=lambda x: (-x[1], str(x[0])))[:max_features]
         self.ids = {g: i for i, (g, _) in enumerate(chosen)}
         rows = [self._ids(t) for t in texts]

@@ -35,7 +35,7 @@ FRAME_BYTES, FILE_BYTES = 1 << 18, 1 << 24
 PART_BYTES, MAX_PARTS = 1 << 25, 20_000
 END_ID = 0
 #: Distinct words, and distinct words with marks, whose ids a worker keeps; texts that are encoded at once; words in one call.
-MEMORY, MARKED, TEXTS, WORDS = 650_000, 150_000, 512, 2_000
+MEMORY, MARKED, TEXTS, WORDS = 450_000, 100_000, 512, 2_000
 #: Marks that the vocabulary's pre-tokeniser parts from a word before them.
 MARKS = ".,;:!?%&$*#)|\""
 

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from sonority.llm import components, decontaminate, exact_dedup, html_extract, mixing, pii, quality, secrets, simhash, token_store, toxicity
-from sonority.llm.common import table
+from sonority.llm.common import table, written
 from sonority.llm.queries import QUERIES, SQL
 from tests.llm.helpers import ODD, documents
 
@@ -484,17 +485,56 @@ def test_secrets(spark):
     rng = random.Random(11)
     def hexa():
         return "".join(rng.choice("0123456789abcdef") for _ in range(40))
-    rows = [(i, f'some words token = "{hexa()}" and more') for i in range(60)] + [(100 + i, f"card {rng.randint(10**15, 10**16 - 1)} in a sentence") for i in range(60)]
-    rows += [(500, None), (501, ""), (None, f'password: "{hexa()}"'), (502, "a" * 100000 + " " + "1" * 100000)]
-    got = secrets.scan(documents(spark, rows)).toPandas()
-    found = got[got["secret"]]
-    assert set(range(60)) <= set(found["doc_id"].dropna().astype(int)) and not set(range(100, 160)) & set(found["doc_id"].dropna().astype(int))
-    assert found["doc_id"].isna().any() and secrets.scan(documents(spark, [])).count() == 0
+    words = ["river", "stone", "garden", "window", "morning", "letter", "mountain", "summer", "village", "market"]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(30))
+    rows = [(i, f'{prose()} token = "{hexa()}" {prose()}') for i in range(30)] + [(100 + i, f"{prose()} {rng.randint(10**15, 10**16 - 1)} {prose()}") for i in range(30)]
+    rows += [(200 + i, f'{prose()} file_name="{rng.choice(words)}_{rng.choice(words)}_{i}_{rng.choice(words)}" {prose()}') for i in range(20)]
+    rows += [(300, "the pwd: kR7#qz2P and more"), (301, "password = mountain"), (302, "secret_key Zk82hTq0ZmL4wB7xRv1c")]
+    rows += [(500, None), (501, ""), (None, f'password: "{hexa()}"'), (502, "a" * 100000 + " " + "1" * 100000), (0, rows[0][1]), (503, 'token = "ab1cd2" ' * 5000)]
+    got = secrets.scan(documents(spark, rows), planted=120).toPandas()
+    found = set(got[got["secret"]]["doc_id"].dropna().astype(int))
+    assert set(range(30)) <= found and not set(range(100, 220)) & found
+    # a short one after a telling name, and a place in code points; a plain word after it is none
+    assert 300 in found and 301 not in found and 302 in found
+    at = got[got["doc_id"] == 300].iloc[0]
+    assert (at["start"], at["end"]) == (9, 17) and at["value_sha256"] == hashlib.sha256(b"kR7#qz2P").hexdigest()
+    # rows that are the same get the same score, and rows without an id are scanned
+    assert got[got["doc_id"] == 0]["score"].nunique() == 1 and (got["doc_id"] == 0).sum() == 2 and got[got["secret"]]["doc_id"].isna().any()
+    assert (got["doc_id"] == 502).sum() == 2 and (got["doc_id"] == 503).sum() == 5000
+    assert secrets.scan(documents(spark, [])).count() == 0
+
+
+def test_secrets_of_formats_that_were_not_learned(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = written(secrets.words_of(docs), "words")
+    parts = written(secrets.dictionary(words), "parts")
+    every = written(secrets.findings(spark, words, docs.select(F.col("source").alias("path")), 200), "findings")
+    assert every.groupBy("format").count().where("count <> 200").count() == 0
+    left_out = ["upper", "mixed", "prefixed", "digits", "snake", "placeholder"]
+    forest = secrets.fit(every.where(~F.col("format").isin(left_out)), parts)
+    told = secrets.judged(every.where(F.col("format").isin(left_out)), parts, forest).toPandas()
+    hits = told[told["label"] == 1]["secret"].mean()
+    false = told[told["label"] == 0]["secret"].mean()
+    assert hits > 0.9 and false < 0.1, (hits, false)
 
 
 # -- pages
 
 
+def test_broken_pages_take_linear_time():
+    rng = time.time()
+    for page in ("<a " * 350_000, '<a b="' * 170_000, '<a b="' * 170_000 + ">", "<div>" * 100_000, "<table>" + "<div>" * 20_000 + "<td></td>" * 20_000, "<div>" * 20_000 + "</p>" * 50_000, "<!-- x " * 100_000, "<a '\">" * 100_000):
+        html_extract.Page(page)
+    assert time.time() - rng < 30
+
+
+def test_ends_of_pages():
+    def text(page):
+        return [t for _, t in html_extract.Page(page).blocks]
+    assert text("<p>one <!-- two > three") == ["one"] and text("<p>one<!-- two --> three <!-- four") == ["one three"]
+    assert text("a < b and <p>c</p> d < e") == ["a < b and", "c", "d < e"] and text("") == []
+
+
 def test_pages(spark, sf_dir):
     pages = [
         (1, "u", "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; more</h1><p>First  part\n of it.<p>Second &lt;b&gt; part.</article><footer>Foot</footer></body></html>"),
