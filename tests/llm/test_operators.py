@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -279,6 +280,52 @@ def test_descent_separates():
     assert all(np.sign(w[r].sum() / np.sqrt(len(r)) + w[-1]) == v for r, v in zip(rows, y))
 
 
+def test_descent_reaches_the_least_loss():
+    rng = np.random.default_rng(8)
+    rows = [np.array(sorted(rng.choice(30, 4, replace=False))) for _ in range(150)]
+    values, cost = rng.normal(0, 1, 30), rng.uniform(0.2, 1.5, 150)
+    y = np.where(np.array([values[r].sum() for r in rows]) + rng.normal(0, 1, 150) > 0, 1.0, -1.0)
+    x = np.zeros((150, 31))
+    for k, r in enumerate(rows):
+        x[k, r] = values[r] / np.sqrt(values[r] @ values[r])
+    x[:, 30] = 1
+
+    def loss(w):
+        return w @ w / 2 + cost @ np.maximum(1 - y * (x @ w), 0)
+
+    w = quality.descend(rows, values, y, cost, 30, rounds=500)
+    assert all(loss(w) < loss(w + d * 0.2 / np.sqrt(d @ d)) for d in rng.normal(0, 1, (300, 31)))
+
+
+def plain_ngrams(text):
+    words = text.lower().split()
+    runs = groupby(text, lambda c: "9" if c.isdecimal() else "x" if c.isalnum() else "")
+    shapes = "".join(kind or "".join(run) for kind, run in runs).split()
+    shapes = ["=" if k and words[k] == words[k - 1] else s for k, s in enumerate(shapes)]
+    return {*words, *zip(words, words[1:]), *((s,) for s in shapes), *zip(shapes, shapes[1:], shapes[2:])}
+
+
+def test_quality_query_by_brute_force(spark):
+    """Every score of the query anew from the n-grams of its text and the fitted weights, and the ratios from counts."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents").toPandas(), table(spark, sf, "labels")
+    train = quality.training_rows(table(spark, sf, "documents"), labels, "quality", quality._held_out(), quality.MAX_TRAIN)
+    model, rows = quality.fit(train), train.toPandas().drop_duplicates("text")
+    assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in rows["doc_id"])
+    by_class = [Counter(g for t in rows["text"][rows["y"] == v] for g in plain_ngrams(t)) for v in (0, 1)]
+    none, one = (np.array([1 + c[g] for g in model.ids]) for c in by_class)
+    assert np.allclose(model.ratio, np.log((one / one.sum()) / (none / none.sum())))
+    got = {r["doc_id"]: r for r in quality.query(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, text in zip(docs["doc_id"], docs["text"].fillna("")):
+        held = np.array([model.ids[g] for g in plain_ngrams(text) if g in model.ids], int)
+        v = model.ratio[held]
+        margin = v @ model.w[held] / max(np.sqrt(v @ v), 1e-9) + model.w[-1]
+        score = 1 / (1 + np.exp(-(model.curve[0] * margin + model.curve[1])))
+        assert abs(got[i]["score"] - score) < 1e-9 and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = table(spark, sf, "labels")
