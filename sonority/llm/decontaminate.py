@@ -5,7 +5,8 @@ windows of two neighbouring blocks of the class's size, so a passage of up to th
 window, and the window is at most four times as large as the item: the Jaccard similarity stays high enough for
 MinHash however long the document is. An item whose minimum under any of the hash functions is the minimum of a window
 is a candidate; candidates are verified by the exact share of the item's shingles that the whole document holds. Items of
-so few shingles that a window would be much larger than they are found by the shingles themselves.
+so few shingles that a window would be much larger than they are found by the shingles themselves. Few items are broadcast,
+many are joined to the documents' minima.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sonority.llm.common import table, text_or_empty, written
+from sonority.llm.common import HOT_KEYS, few, table, text_or_empty, written
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Items of fewer shingles are looked up by each of them; the smallest class has items of up to eight.
@@ -28,8 +29,10 @@ FEW = 3
 #: Hash functions. A window holds over 0.187 of the union with an item of three or more shingles that it contains to 0.8,
 #: so fewer than one in 20,000 of such items has no minimum in common with it.
 HASHES = 48
-#: Bytes of item texts that are broadcast at once; more items are searched for in further blocks.
+#: Bytes of item texts that are broadcast at most; more items are joined by their minima.
 BLOCK_BYTES = 4_000_000
+#: Bits, as a power of two, of the filter of all items' values (16 MB); tasks over which the rows of a hot key are dealt.
+FILTER_BITS, SALTS = 27, 64
 #: Words whose hash a worker remembers.
 MEMORY = 500_000
 
@@ -116,17 +119,14 @@ class Items:
         self.ids = [i for i, _ in rows]
         self.shingles = [shingles(words(t)) for _, t in rows]
         self.values: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        hasher, by_class, few = Hasher(), {}, []
+        hasher, by_class = Hasher(), {}
         for k, (_, t) in enumerate(rows):
             h = np.unique(hasher(t))
-            if 0 < len(h) < FEW:
-                few.append((k, h))
-            elif len(h):
-                size = max(3, int(np.ceil(np.log2(len(h)))))
-                by_class.setdefault(size, []).append((k, _minima(h, len(h))[:, 0]))
+            if len(h):
+                size, own = _class(h)
+                by_class.setdefault(size, []).append((k, own))
         for size, own in sorted(by_class.items()):
             self.values[size] = self._index(own)
-        self.few = self._index(few) if few else None
 
     @staticmethod
     def _index(own: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,59 +150,177 @@ class Items:
     def candidates(self, h: np.ndarray) -> set[int]:
         """Items that share a minimum with a window of the document, or a shingle if they have few."""
         out: set[int] = set()
-        if self.few:
-            self._look_up(self.few, h, out)
-        at, m = None, None
-        for size, index in self.values.items():
-            if at is None:
-                at, m = size, _minima(h, 1 << size)
-            while at < size:
-                at, m = at + 1, _joined(m)
-            windows = (np.minimum(m[:, :-1], m[:, 1:]) if m.shape[1] > 1 else m).ravel()
-            self._look_up(index, windows, out)
+        for size, found in _searched(h, list(self.values)):
+            self._look_up(self.values[size], found, out)
         return out
 
 
+def _class(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """The size class of an item with these distinct hashes, 0 for few, and the values by which it is found."""
+    if len(h) < FEW:
+        return 0, h
+    return max(3, int(np.ceil(np.log2(len(h))))), _minima(h, len(h))[:, 0]
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """Items that a document holds at least ``threshold`` of.
 
+    Items of up to ``BLOCK_BYTES`` are broadcast; more of them meet the documents in a join of minima. Either way the
+    candidates are the same, and the corpus's whole texts are read where they lie.
+
     :param docs: ``doc_id, text``; ``items``: ``item_id, text``; other columns are ignored. Null and empty texts hold
         nothing and are held by nothing. Repeated rows are searched each; rows with null ids take part. A text of fewer
         than five words is a single shingle, and so only matches a text of the same words.
     :return: ``doc_id, item_id, n_shared, n_item, containment``; none if either table is empty.
     """
-    spark = docs.sparkSession
     sized = items.select("item_id", text_or_empty().alias("text"))
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    fields = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double"
+    return _broadcast(texts, sized, threshold) if total <= BLOCK_BYTES else _joined_by_minima(texts, sized, threshold)
+
+
+def _broadcast(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Containment in all documents of a bounded block of items, in one pass."""
+    fields = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, n_shared long, n_item long, containment double"
     item_type = to_arrow_type(items.schema["item_id"].dataType)
-    texts, out = docs.select("doc_id", text_or_empty().alias("text")), None
-    for k in range(blocks):
-        own = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in own.collect()]))
-
-        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items, hasher = shared.value, Hasher()
-            for b in batches:
-                rows = []
-                for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    h = hasher(text)
-                    found = items.candidates(h) if len(h) else ()
-                    if found:
-                        held = shingles(words(text))
-                        for k in sorted(found):
-                            n, of = len(items.shingles[k] & held), len(items.shingles[k])
-                            if n >= threshold * of:
-                                rows.append((i, items.ids[k], n, of, n / of))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], b.column("doc_id").type), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())],
-                    ["doc_id", "item_id", "n_shared", "n_item", "containment"],
-                )
-
-        got = texts.mapInArrow(each, fields)
-        out = got if out is None else out.union(got)
-    return out
+    shared = texts.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, hasher = shared.value, Hasher()
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                h = hasher(text)
+                found = items.candidates(h) if len(h) else ()
+                if found:
+                    held = shingles(words(text))
+                    for k in sorted(found):
+                        n, of = len(items.shingles[k] & held), len(items.shingles[k])
+                        if n >= threshold * of:
+                            rows.append((i, items.ids[k], n, of, n / of))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], b.column("doc_id").type), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.float64())],
+                ["doc_id", "item_id", "n_shared", "n_item", "containment"],
+            )
+
+    return texts.mapInArrow(each, fields)
+
+
+def _item_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_item, size, value``: what each item is found by."""
+    hasher = Hasher()
+    for b in batches:
+        ids, sizes, values = [], [], []
+        for i, text in zip(b.column("_item").to_pylist(), b.column("text").to_pylist()):
+            h = np.unique(hasher(text))
+            if len(h):
+                size, own = _class(h)
+                ids += [i] * len(own)
+                sizes += [size] * len(own)
+                values.append(own)
+        value = np.concatenate(values).view(np.int64) if values else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(value)], ["_item", "size", "value"])
+
+
+def _bit(value) -> Column:
+    """Place of a value in the filter, from 1: its upper bits."""
+    return F.shiftrightunsigned(value, 64 - FILTER_BITS) + 1
+
+
+def _met(rows: DataFrame, other: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Inner join in which one key may hold any share of ``rows``.
+
+    Rows of keys with at least one row in ``HOT_KEYS``, of which there are ``HOT_KEYS`` at most, are dealt over ``SALTS`` tasks by
+    column ``by``, and the rows that ``other`` has of these keys are repeated for each.
+    """
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "leak-keys")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("_n") >= max(2, total // HOT_KEYS)).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = other.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def _joined_by_minima(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Containment of any number of items: what the filter of all items' values lets through is joined to them.
+
+    The filter has ``2 ** FILTER_BITS`` bits whatever the number of items; when it fills up, more values are joined. Texts are
+    told apart by their SHA-256, so copies are searched and verified once; only texts with candidates are shuffled.
+    """
+    spark = texts.sparkSession
+    items = written(items.withColumn("_item", F.monotonically_increasing_id()), "leak-items")
+    values = written(items.mapInArrow(_item_values, "_item long, size int, value long"), "leak-values")
+    sizes = sorted(r["size"] for r in values.select("size").distinct().collect())  # one for each power of two
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    blocks = values.groupBy(F.bitmap_bucket_number(_bit("value")).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit("value"))).alias("bits"))
+    for r in blocks.collect():  # 4 KB each, as many as the filter has
+        at = (r["k"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hasher = shared.value, Hasher()
+        for b in batches:
+            shas, out_sizes, out = [], [], []
+            for sha, text in zip(b.column("sha").to_pylist(), b.column("text").to_pylist()):
+                for size, found in _searched(hasher(text), sizes):
+                    place = found >> np.uint64(64 - FILTER_BITS)
+                    held = np.unique(found[(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                    shas += [sha] * len(held)
+                    out_sizes += [size] * len(held)
+                    out.append(held)
+            value = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(out_sizes, pa.int32()), pa.array(value)], ["sha", "size", "value"])
+
+    known = texts.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    hits = written(known.select("sha", "text").mapInArrow(each, "sha string, size int, value long").distinct(), "leak-hits")
+    pairs = written(_met(hits, values, ["size", "value"], "sha").select("sha", "_item").distinct(), "leak-pairs")
+    wanted = few(written(pairs.select("sha").distinct(), "leak-texts"))
+    own = known.select("sha", "text").join(wanted, "sha", "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
+    asked = pairs.join(items.select("_item", F.col("text").alias("item")), "_item")
+    verified = asked.join(own, "sha").sortWithinPartitions("sha").mapInArrow(_verifier(threshold), "sha string, _item long, n_shared long, n_item long, containment double")
+    verified = written(verified, "leak-verified")
+    held = written(known.select("doc_id", "sha").join(few(verified.select("sha").distinct()), "sha", "left_semi"), "leak-rows")
+    return _met(held, verified, ["sha"], "doc_id").join(items.select("_item", "item_id"), "_item").select("doc_id", "item_id", "n_shared", "n_item", "containment")
+
+
+def _searched(h: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size class, the values by which its items are found in a document with these hashes."""
+    if not len(h):
+        return
+    at, m = None, None
+    for size in sizes:
+        if not size:
+            yield 0, h
+            continue
+        if at is None:
+            at, m = size, _minima(h, 1 << size)
+        while at < size:
+            at, m = at + 1, _joined(m)
+        yield size, (np.minimum(m[:, :-1], m[:, 1:]) if m.shape[1] > 1 else m).ravel()
+
+
+def _verifier(threshold: float):
+    """Exact containment of ``item`` in ``text``; rows of the same text follow each other."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for b in batches:
+            rows = []
+            for sha, i, item, text in zip(*(b.column(c).to_pylist() for c in ("sha", "_item", "item", "text"))):
+                if sha != last:
+                    last, held = sha, shingles(words(text))
+                own = shingles(words(item))
+                n = len(own & held)
+                if n >= threshold * len(own):
+                    rows.append((sha, i, n, len(own), n / len(own)))
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["sha", "_item", "n_shared", "n_item", "containment"])
+
+    return each
 
 
 def query(spark, sf_dir: str) -> DataFrame:
