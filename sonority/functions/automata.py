@@ -6,13 +6,15 @@ driver. Their relational forms (product, reachability, one step of a state distr
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonority.functions.segments import dot
+
 
 @dataclass(frozen=True)
 class Automaton:
@@ -145,6 +147,26 @@ def expectations(m: Automaton, weights: np.ndarray, longest: int) -> tuple[np.nd
     return z, e
 
 
+def transduced(word: Column, zero: Column, weight: Callable[[Column], Column], plus: Callable[[Column, Column], Column]) -> Column:
+    """A word's weight in any monoid, as a column: the weights of its segments, joined by ``plus`` in order."""
+    return F.aggregate(word, zero, lambda held, s: plus(held, weight(s)))
+
+
+def mapped(edges: DataFrame, change: Callable[[Column], Column], name: str = "w") -> DataFrame:
+    """The same edges with every weight changed."""
+    return edges.withColumn(name, change(F.col(name)))
+
+
+def weighted(edges: DataFrame, weights: Sequence[float], direction: Sequence[float]) -> DataFrame:
+    """Edges with counts ``c`` (an array) as edges with ``p``, exp(-weights . c), and ``v``, p times direction . c."""
+
+    def of(v: Sequence[float]) -> Column:
+        return dot(F.array(*map(F.lit, v)), F.col("c"))
+
+    out = mapped(edges.withColumn("p", of(weights)), lambda x: F.exp(-x), "p")
+    return out.withColumn("v", F.col("p") * of(direction))
+
+
 def product_frame(a: DataFrame, b: DataFrame) -> DataFrame:
     """Product of edge tables ``q, seg_id, q2, w``: edges meet on the segment; weights are kept side by side."""
     left = a.select("seg_id", F.col("q").alias("qa"), F.col("q2").alias("qa2"), F.col("w").alias("wa"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,8 @@ class FeatureTable:
     states: tuple[tuple[str, ...], ...]
 
     @classmethod
-    def parse(cls, text: str) -> FeatureTable:
-        """Read CSV with a header of segments and a feature in each row.
+    def parse(cls, text: str, read: Callable[[str], str] = str) -> FeatureTable:
+        """Read CSV with a header of segments, which ``read`` makes of its cells, and a feature in each row.
 
         Blanks before a cell don't count, blanks after it do. Rows of another width than the header's are dropped.
         A table without segments or features, or with a segment twice, is refused.
@@ -31,7 +32,7 @@ class FeatureTable:
         rows = [[cell.lstrip(" \t") for cell in row] for row in csv.reader(io.StringIO(text))]
         if not rows or len(rows[0]) < 2:
             raise ValueError("the table has no segments")
-        segments = tuple(rows[0][1:])
+        segments = tuple(map(read, rows[0][1:]))
         if len(set(segments)) < len(segments):
             raise ValueError("a segment stands twice in the header")
         body = [r for r in rows[1:] if len(r) == len(rows[0])]

@@ -73,6 +73,13 @@ class Grammar:
         return spark.createDataFrame(rows, "ordinal int, weight double, glob string")
 
 
+def unknown_frame(spark: SparkSession, rules: dict[str, Glob], features: DataFrame) -> DataFrame:
+    """``name, unknown``: rules that name features which ``features(feat)`` lacks, with those in order."""
+    rows = [(k, f) for k, r in rules.items() for p in r.parts for _, f in p.literals]
+    named = spark.createDataFrame(rows, "name string, feat string").coalesce(1)
+    return named.join(F.broadcast(features), "feat", "left_anti").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("feat")), " ").alias("unknown"))
+
+
 def objective(m: Automaton, lengths: np.ndarray, observed: np.ndarray) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
     """Value and gradient of the negative log-likelihood with its linear prior.
 
@@ -137,9 +144,12 @@ def line_search(slope: Callable[[float], float], tolerance: float = 0.005, first
     return (low + high) / 2
 
 
-def fit_weights(m: Automaton, lengths: np.ndarray, observed: np.ndarray, start: np.ndarray, step: float = 0.01, most: int = 200) -> np.ndarray:
-    """Weights of the greatest likelihood, by conjugate gradients with restarts; stops when a step is shorter than ``step``."""
-    at, w = objective(m, lengths, observed), np.asarray(start, float)
+def descended(at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, onto: Callable[[np.ndarray], tuple[np.ndarray, bool]] = project, step: float = 0.01, most: int = 200) -> np.ndarray:
+    """Where a function is least, by conjugate gradients with restarts; stops when a step is shorter than ``step``.
+
+    :param at: value and gradient at a place; ``onto``: the allowed place next to one, and whether it was clearly outside.
+    """
+    w = np.asarray(start, float)
     if not len(w):
         return w
     _, grad = at(w)
@@ -150,7 +160,7 @@ def fit_weights(m: Automaton, lengths: np.ndarray, observed: np.ndarray, start:
             break
         unit = direction / norm
         length = line_search(lambda t: float(at(w + t * unit)[1] @ unit))
-        new, corrected = project(w + length * unit)
+        new, corrected = onto(w + length * unit)
         moved = np.linalg.norm(new - w)
         _, fresh = at(new)
         since += 1
@@ -164,6 +174,11 @@ def fit_weights(m: Automaton, lengths: np.ndarray, observed: np.ndarray, start:
     return w
 
 
+def fit_weights(m: Automaton, lengths: np.ndarray, observed: np.ndarray, start: np.ndarray, step: float = 0.01, most: int = 200) -> np.ndarray:
+    """Weights of the greatest likelihood."""
+    return descended(objective(m, lengths, observed), start, project, step, most)
+
+
 def unit_floats(spark_seed: int, row: np.ndarray, step: int) -> np.ndarray:
     """A number in [0, 1) for each row and step, the same however rows are dealt out."""
     with np.errstate(over="ignore"):

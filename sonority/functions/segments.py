@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,19 +61,22 @@ def tokens(docs: DataFrame, *keys: str) -> DataFrame:
     return split.where("token <> ''").groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
-def of_tokens(found: DataFrame, segments: tuple[str, ...], *keys: str) -> DataFrame:
+def of_tokens(found: DataFrame, segments: tuple[str, ...], *keys: str, read: Callable[[Column], Column] | None = None) -> DataFrame:
     """``word`` (segment ids), ``freq`` of counted tokens; words without segments are dropped.
 
+    ``read`` makes an array of segments of a token; None: :func:`segmented`.
+
     Tokens that are kept can be segmented anew when the table changes, without reading the text again. The last filter takes
     in the frequency, so that it stays above both counts and segmentation meets distinct words only.
     """
-    cut = found.select(*keys, references(segmented(F.col("token"), segments), segments).alias("word"), "n")
+    parts = read(F.col("token")) if read else segmented(F.col("token"), segments)
+    cut = found.select(*keys, references(parts, segments).alias("word"), "n")
     return cut.groupBy(*keys, "word").agg(F.sum("n").alias("freq")).where(F.size("word") * F.col("freq") > 0)
 
 
-def lexicon(docs: DataFrame, segments: tuple[str, ...], *keys: str) -> DataFrame:
-    """Collated text: ``word`` (segment ids), ``freq``; words without segments are dropped."""
-    return of_tokens(tokens(docs, *keys), segments, *keys)
+def lexicon(docs: DataFrame, segments: tuple[str, ...], *keys: str, read: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Collated text: ``word`` (segment ids), ``freq``; words without segments are dropped. ``read`` as in :func:`of_tokens`."""
+    return of_tokens(tokens(docs, *keys), segments, *keys, read=read)
 
 
 def word_list(lines: DataFrame, segments: tuple[str, ...], strict: bool = False) -> DataFrame:
@@ -91,9 +95,12 @@ def word_list(lines: DataFrame, segments: tuple[str, ...], strict: bool = False)
     return found.select("segs", F.coalesce("freq", F.lit(1)).alias("freq"))
 
 
-def serialised(rows: DataFrame, segments: tuple[str, ...], spaced: bool = False) -> DataFrame:
-    """Lines ``value`` of ``segs, freq``: only positive frequencies, and a frequency of one is left out."""
-    text = F.array_join("segs", " ") if spaced else joined(F.col("segs"), segments)
+def serialised(rows: DataFrame, segments: tuple[str, ...], spaced: bool = False, write: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Lines ``value`` of ``segs, freq``: only positive frequencies, and a frequency of one is left out.
+
+    ``write`` makes text of an array of segments; None: joined, or ``spaced``.
+    """
+    text = write(F.col("segs")) if write else F.array_join("segs", " ") if spaced else joined(F.col("segs"), segments)
     return rows.where("freq > 0").select(F.when(F.col("freq") == 1, text).otherwise(F.concat_ws("\t", text, F.col("freq").cast("string"))).alias("value"))
 
 

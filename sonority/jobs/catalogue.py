@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonority.jobs import corpus, grammars
+from sonority.jobs import corpus, folds, grammars
 
-QUERIES: dict = corpus.QUERIES | grammars.QUERIES
-SQL: dict = corpus.SQL | grammars.SQL
+QUERIES: dict = corpus.QUERIES | grammars.QUERIES | folds.QUERIES
+SQL: dict = corpus.SQL | grammars.SQL | folds.SQL

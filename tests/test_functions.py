@@ -291,3 +291,25 @@ def test_command_line(spark, tmp_path):
 def test_padded_arrays_and_subsequences(spark):
     row = spark.range(1).select(segments.padded_sum(F.array(F.lit(1), F.lit(2)), F.array(F.lit(5))).alias("s"), segments.subsequences(F.array(*map(F.lit, (3, 1, 2))), 2).alias("p")).first()
     assert row["s"] == [6, 2] and sorted(map(tuple, row["p"])) == [(1, 2), (3, 1), (3, 2)]
+
+
+def test_own_readers_and_writers(spark):
+    table = FeatureTable.parse(",1,2\nhigh,+,-\n", read=lambda cell: {"1": "a", "2": "b"}[cell])
+    assert table.segments == ("a", "b")
+    docs = spark.createDataFrame([("a_b b_a",), ("a_b",)], "text string")
+    held = segments.lexicon(docs, table.segments, read=lambda word: F.split(word, "_"))
+    assert {(tuple(r["word"]), r["freq"]) for r in held.collect()} == {((1, 2), 2), ((2, 1), 1)}
+    rows = held.select(segments.named(F.col("word"), table.segments).alias("segs"), "freq")
+    assert {r["value"] for r in segments.serialised(rows, table.segments, write=lambda segs: F.array_join(segs, "_")).collect()} == {"a_b\t2", "b_a"}
+
+
+def test_descent_with_another_objective_and_another_bound():
+    goal, most = np.array([2.0, -1.0]), np.array([1.5, 5.0])
+
+    def at(w):
+        return float(((w - goal) ** 2 * [1, 4]).sum()), 2 * (w - goal) * [1, 4]
+
+    free = grammar.descended(at, np.zeros(2), lambda w: (w, False), 1e-4)
+    held = grammar.descended(at, np.zeros(2), lambda w: (np.minimum(w, most), bool((w > most).any())), 1e-4)
+    assert np.allclose(free, goal, atol=0.02) and np.allclose(held, [1.5, -1.0], atol=0.02)
+    assert len(grammar.descended(at, np.zeros(0))) == 0
