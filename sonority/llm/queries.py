@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonority.llm import decontaminate, exact_dedup, html_extract, mixing, pii, quality, secrets, simhash, token_store, toxicity
+from sonority.llm import decontaminate, exact_dedup, html_extract, mixing, pii, prefix_trie, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_pii_bootstrap": pii.query,
     "op9_html_extraction": html_extract.query,
     "op10_simhash_near_dedup": simhash.query,
+    "op11_prefix_trie": prefix_trie.query,
 }
 
 SQL = {
     "op3_source_mixing": mixing.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_benchmark_decontamination": decontaminate.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
