@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonority.llm import decontaminate, exact_dedup, html_extract, mixing, pii, prefix_trie, quality, secrets, simhash, token_store, toxicity
+from sonority.llm import alignment, decontaminate, exact_dedup, html_extract, mixing, pii, prefix_trie, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_extraction": html_extract.query,
     "op10_simhash_near_dedup": simhash.query,
     "op11_prefix_trie": prefix_trie.query,
+    "op12_cross_alignment": alignment.query,
 }
 
 SQL = {
