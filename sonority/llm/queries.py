@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sonority.llm import alignment, decontaminate, exact_dedup, html_extract, mixing, pii, prefix_trie, quality, secrets, simhash, token_store, toxicity
+from sonority.llm import alignment, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, pii, prefix_trie, quality, secrets, simhash, token_store, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.query,
     "op11_prefix_trie": prefix_trie.query,
     "op12_cross_alignment": alignment.query,
+    "op13_ngram_jaccard_join": jaccard_join.query,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_benchmark_decontamination": decontaminate.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op13_ngram_jaccard_join": jaccard_join.SQL,
 }
