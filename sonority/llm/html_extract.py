@@ -36,12 +36,14 @@ CHARS = 2_000_000
 # How HTML's elements behave.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg math object head canvas audio video".split())
+_RAW = frozenset("noscript template svg math object head canvas audio video".split())
+#: Elements whose content is no markup: it goes on to the next end tag of the same name, whatever it holds.
+_VERBATIM = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in ("script", "style", "iframe", "noembed", "noframes", "textarea", "title")}
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 #: Comments, declarations and tags. Loops are possessive, so a tag is read once; one whose quotes are not closed ends at the next >.
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+|[^>]*+))>""", re.S)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+|[^>]*+))>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -67,6 +69,8 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tag, self.attrs, self.parent, self.blocks = ["html"], [""], [-1], []
         self.chars, self.linked, self.words, self.marks = [0], [0], [0], [0]
+        #: nodes that stand for text directly in the body
+        self.loose: set[int] = set()
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -82,21 +86,32 @@ class Page:
                 places[self.tag[k]].pop()
             del stack[i:]
 
+        def add(tag: str, attrs: str, parent: int) -> int:
+            self.tag.append(tag)
+            self.attrs.append(attrs)
+            self.parent.append(parent)
+            for x in (self.chars, self.linked, self.words, self.marks):
+                x.append(0)
+            return len(self.tag) - 1
+
         def flush() -> None:
             nonlocal linked
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                self.blocks.append((now, text))
-                self.chars[now] += len(text)
-                self.linked[now] += min(linked, len(text))
-                self.words[now] += text.count(" ") + 1
-                self.marks[now] += text.count(".") + text.count(",") + text.count("?")
+                of = now or add("p", "", 0)
+                if not now:
+                    self.loose.add(of)
+                self.blocks.append((of, text))
+                self.chars[of] += len(text)
+                self.linked[of] += min(linked, len(text))
+                self.words[of] += text.count(" ") + 1
+                self.marks[of] += text.count(".") + text.count(",") + text.count("?")
             linked = 0
 
         # what follows the last > has no more tags
         limit = source.rfind(">") + 1
-        for m in _TOKEN.finditer(source, 0, limit):
+        while m := _TOKEN.search(source, at, limit):
             start, end, tag = m.start(), m.end(), m[2]
             if start > at and not skip:
                 piece = source[at:start]
@@ -111,6 +126,10 @@ class Page:
                     at = len(source)
                 continue
             tag, closing = tag.lower(), bool(m[1])
+            if not closing and tag in _VERBATIM:
+                close = _VERBATIM[tag].search(source, end, limit)
+                at = close.end() if close else len(source)
+                continue
             if skip:
                 if closing and tag == skip or skip == "head" and tag == "body":
                     skip = ""
@@ -148,12 +167,7 @@ class Page:
             now = stack[-1]
             if tag in _VOID:
                 continue
-            self.tag.append(tag)
-            self.attrs.append(m[3])
-            self.parent.append(now)
-            for x in (self.chars, self.linked, self.words, self.marks):
-                x.append(0)
-            now = len(self.tag) - 1
+            now = add(tag, m[3], now)
             places.setdefault(tag, []).append(len(stack))
             stack.append(now)
         if at < len(source) and not skip:
@@ -332,8 +346,16 @@ def redressed(page: Page, pool: list[str], rng: random.Random) -> str:
     body = "".join(f"<{t if t[0] == 'h' else 'p'}>{entities.escape(x)}</{t if t[0] == 'h' else 'p'}>" for t, x in main)
     comments = "" if rng.random() < 0.6 else _dress([entities.escape(rng.choice(pool)) for _ in range(rng.randint(1, 3))], rng.choice(_ASIDE[4]), rng)
     inside = rng.random() < 0.4
-    core = f"<{opening}>{body}{comments if inside else ''}</{opening.split()[0]}>"
-    for _ in range(rng.randint(0, 2)):
+    lead, bare = "", rng.random()
+    if bare < 0.1 and len(main) > 2:
+        # the first sentence stands before the article, in no element
+        lead, _, body = body.partition("</p>")
+        lead = re.sub("<[^>]*>", " ", lead)
+    core = f"{lead}<{opening}>{body}{comments if inside else ''}</{opening.split()[0]}>"
+    if bare > 0.85:
+        # no element around the article, or none in it either
+        inside, core = False, body if bare > 0.92 else re.sub("</?p>", "<br>", body).replace("<br><br>", "<hr>")
+    for _ in range(rng.randint(0, 2) if bare <= 0.85 else 0):
         core = f"<div class=\"{rng.choice(['wrapper', 'page', 'container', 'row', 'col'])}\">{core}</div>"
 
     def other(kind: int) -> str:
@@ -402,9 +424,9 @@ def main_texts(sources: list[str], trees: Trees) -> list[str]:
     for page, z in zip(pages, logits):
         kept = decode(page, z)
         if not any(kept[1:]):  # nothing but loose text, if anything
-            out.append("\n".join(t for i, t in page.blocks if not i))
+            out.append("\n".join(t for i, t in page.blocks if i in page.loose))
         else:
-            out.append("\n".join(t for i, t in page.blocks if i and kept[i]))
+            out.append("\n".join(t for i, t in page.blocks if kept[i]))
     return out
 
 

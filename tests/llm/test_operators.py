@@ -586,6 +586,48 @@ def test_ends_of_pages():
     assert text("a < b and <p>c</p> d < e") == ["a < b and", "c", "d < e"] and text("") == []
 
 
+@pytest.mark.parametrize("script", [
+    "<script>for(var i=0;i<n;i++){x()}</script>", "<script>if(a<b){}</script>", '<script>var s="<!--"</script>', "<STYLE>a<b{}</Style >", "<script>a<b;'</p></div>'</script\n>", "<textarea><p>x <b</textarea>",
+    "<head><title>a<b</title><script>1<x</script></head>", "<iframe><div>no</iframe>", "<script/>i<n;</script>",
+])
+def test_what_scripts_hold_is_no_markup(script):
+    page = html_extract.Page(f"{script}<article><p>One two three.</p>{script}<p>Four.</p></article>")
+    assert [(page.tag[i], t) for i, t in page.blocks] == [("p", "One two three."), ("p", "Four.")]
+
+
+def test_unclosed_script_goes_on_to_the_end():
+    assert [t for _, t in html_extract.Page("<p>a</p><script>i<n <p>b</p>").blocks] == ["a"]
+    assert [t for _, t in html_extract.Page("<p>a</p><!--><p>b</p><!---><p>c</p>").blocks] == ["a", "b", "c"]
+    began = time.time()
+    html_extract.Page("<script>" + "</script " * 200_000)
+    html_extract.Page("<script>" + "</script " * 200_000 + ">x")
+    assert time.time() - began < 10
+
+
+def test_pages_without_article_in_dresses_that_were_not_learnt(spark, sf_dir):
+    """Whole texts come out of most pages whose main part is in elements that the trees have never seen, or in none."""
+    rows = table(spark, sf_dir, "pages").orderBy("page_id").collect()
+    trees = html_extract.learn([r["html"] for r in rows[:60]])
+    right, total, lost = 0, 0, 0
+    for k, r in enumerate(rows[60:]):
+        inner = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        before, after = r["html"].split("<article>")[0], r["html"].split("</article>")[1]
+        opening = ('div class="article__content"', 'div id="storytext"', 'section class="post-body main-text"', "div", None)[k % 5]
+        core = inner if opening is None else f"<{opening}>{inner}</{opening.split()[0]}>"
+        script = "<script>for(i=0;i<n;i++){}</script>"
+        text, plain = html_extract.main_texts([before.replace("<nav>", script + "<nav>") + core + after, r["html"]], trees)
+        right, total, lost = right + (text == plain), total + 1, lost + (not text)
+    assert lost == 0 and right >= 0.9 * total, (right, total)
+
+
+def test_lead_before_the_article(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").orderBy("page_id").limit(80).collect()
+    trees = html_extract.learn([r["html"] for r in rows])
+    lead = "This sentence of the article stands before it, in the body, and it is as long as sentences are."
+    found = [html_extract.main_texts([r["html"].replace("<article>", lead + "<article>")], trees)[0] for r in rows[:20]]
+    assert sum(t.startswith(lead) for t in found) >= 15
+
+
 def test_pages(spark, sf_dir):
     pages = [
         (1, "u", "<html><head><title>T</title><script>var a='</p>'</script></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; more</h1><p>First  part\n of it.<p>Second &lt;b&gt; part.</article><footer>Foot</footer></body></html>"),
