@@ -79,8 +79,8 @@ class Pair:
                 continue
             held.append(pieces)
             own = set(pieces)
-            new_a |= own - self.a.piece.keys()
-            new_b |= own - self.piece.keys()
+            new_a |= own.difference(self.a.piece)
+            new_b |= own.difference(self.piece)
         fresh_a, fresh_b = self.a._learn(new_a) if new_a else {}, self._learn_b(list(new_b)) if new_b else {}
         get_a, get_b, out = self.a.piece.get, self.piece.get, []
         for text, pieces in zip(texts, held):
