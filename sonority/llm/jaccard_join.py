@@ -116,11 +116,25 @@ def prefix_length(size: int, at_least: Fraction = SIMILARITY) -> int:
 SETS = "n int, digest binary, grp long, prefix binary"
 
 
-def sets(docs: DataFrame, words: int = WORDS, at_least: Fraction = SIMILARITY) -> DataFrame:
-    """``doc_id`` and for each document its set's size ``n``, a digest of the set, and its group: a hash of size and ``prefix``."""
+def ordering(docs: DataFrame, words: int = WORDS):
+    """The order of shingles, broadcast: the most frequent ones, ascending, and their counts. Ascending count comes first, then the hash."""
     rows = frequent(docs, words).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle", key=lambda s: s.to_numpy(np.int64).view(np.uint64))
-    known = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((known, rows["n"].to_numpy(np.int64)))
+    return docs.sparkSession.sparkContext.broadcast((rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)))
+
+
+def counted(known: np.ndarray, often: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The counts of shingles; none for those that aren't frequent."""
+    if not len(known) or not len(s):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return np.where(known[at] == s, often[at], 0)
+
+
+def sets(docs: DataFrame, shared, words: int = WORDS, at_least: Fraction = SIMILARITY) -> DataFrame:
+    """``doc_id`` and for each document its set's size ``n``, a digest of the set, and its group: a hash of size and ``prefix``.
+
+    :param shared: the order of :func:`ordering`.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +143,7 @@ def sets(docs: DataFrame, words: int = WORDS, at_least: Fraction = SIMILARITY) -
             out = []
             for t in b.column("text").to_pylist():
                 s = shingles(t, words)
-                count = np.zeros(len(s), np.int64)
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    count = np.where(known[at] == s, often[at], 0)
-                first = s[np.argsort(count, kind="stable")[: prefix_length(len(s), at_least)]] if len(s) else s
+                first = s[np.argsort(counted(known, often, s), kind="stable")[: prefix_length(len(s), at_least)]] if len(s) else s
                 raw = first.astype("<u8").tobytes()
                 out.append((len(s), hashlib.sha256(s.astype("<u8").tobytes()).digest()[:16], xxhash.xxh64_intdigest(raw, len(s)) - (1 << 63), raw))
             columns = list(zip(*out)) or [[]] * 4
@@ -260,6 +270,40 @@ def across(rows: DataFrame, at_least: Fraction = SIMILARITY, block: int = BLOCK)
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def most_common(p: np.ndarray, q: np.ndarray, n: int, m: int, known: np.ndarray, often: np.ndarray) -> int:
+    """How many shingles two sets of sizes ``n``, ``m`` with the prefixes ``p``, ``q`` have in common at most.
+
+    Up to where the shorter-reaching prefix ends, both sets are known; behind it, no more are common than either has there.
+    """
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    c, d = counted(known, often, p), counted(known, often, q)
+    if (c[-1], p[-1]) <= (d[-1], q[-1]):
+        n_known, m_known = len(p), int(((d < c[-1]) | (d == c[-1]) & (q <= p[-1])).sum())
+    else:
+        n_known, m_known = int(((c < d[-1]) | (c == d[-1]) & (p <= q[-1])).sum()), len(q)
+    return common + min(n - n_known, m - m_known)
+
+
+def likely(pairs: DataFrame, groups: DataFrame, shared, at_least: Fraction = SIMILARITY) -> DataFrame:
+    """Pairs ``a, b`` of groups that may link by what their prefixes tell.
+
+    :param groups: ``g, n, prefix``.
+    """
+    wanted = written(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "wanted-groups")
+    some = groups.select("g", "n", "prefix").join(few(wanted), "g", "left_semi")
+    left, right = (some.select(F.col("g").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")) for c in "ab")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        for b in batches:
+            p, q = ([np.frombuffer(v.as_buffer(), "<u8") for v in b.column(f"p_{c}")] for c in "ab")
+            n, m = (b.column(f"n_{c}").to_pylist() for c in "ab")
+            hit = [most_common(*x, known, often) * (at_least.numerator + at_least.denominator) >= at_least.numerator * (x[2] + x[3]) for x in zip(p, q, n, m)]
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(keep, "a long, b long")
+
+
 def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int = WORDS, at_least: Fraction = SIMILARITY) -> DataFrame:
     """Pairs ``a, b`` of numbers of sets whose whole sets link.
 
@@ -302,16 +346,16 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
         set; null if nothing else is in it. Repeated rows are all returned; an empty table gives none.
     :return: ``doc_id, n_shingles, component_id``.
     """
-    rows = written(sets(docs, words, at_least), "sets")
-    by = ["digest", "grp", "n", "prefix"]
-    distinct = rows.where("n > 0").groupBy(*by).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    shared = ordering(docs, words)
+    rows = written(sets(docs, shared, words, at_least), "sets")
+    some = rows.where("n > 0")
+    # groups of sets with the same prefix and size, and the sets themselves; both are numbered
+    groups = written(some.groupBy("grp", "n", "prefix").agg(F.count("*").alias("rows")).drop("rows").withColumn("g", F.monotonically_increasing_id()), "groups")
+    distinct = some.groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     distinct = written(distinct.withColumn("u", F.monotonically_increasing_id()), "distinct")
-
-    # groups of sets with the same prefix and size; a group has its least member's number
-    groups = written(distinct.groupBy("grp", "n", "prefix").agg(F.min("u").alias("g"), F.count("*").alias("members")), "groups")
-    named = distinct.select("u", "grp", "n").join(groups.select("grp", F.col("n").alias("_n"), "g", "members"), "grp").where("n = _n")
-    named = written(named.select("u", "n", "g", "members"), "members")
-    member = named.where("members > 1").select(F.col("g").alias("key"), "n", F.col("u").alias("id"), F.lit(0).alias("at"))
+    named = written(distinct.select("u", "grp", "n").join(groups.select("grp", "n", "g"), ["grp", "n"]).select("u", "n", "g"), "members")
+    firsts = written(named.groupBy("g").agg(F.min("u").alias("first"), F.count("*").alias("members")), "firsts")
+    member = named.join(firsts.where("members > 1").select("g"), "g").select(F.col("g").alias("key"), "n", F.col("u").alias("id"), F.lit(0).alias("at"))
     inside = written(neighbours(member, at_least), "inside")
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,15 +370,17 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
     filed = groups.select("n", "g", "prefix").mapInArrow(postings, "key long, n int, id long, at int")
     between = written(neighbours(filed, at_least), "between")
     met_groups = written(between.where("a is not null").select("a", "b").distinct(), "group-pairs")
-    first = inside.where("a is not null").select("a", "b").union(met_groups)
-    edges = written(verified(written(first.distinct(), "pairs"), distinct, docs, words, at_least), "edges")
+    good = written(likely(met_groups, groups, shared, at_least), "likely")
+    of_first = lambda c: firsts.select(F.col("g").alias(c), F.col("first").alias(f"u_{c}"))
+    ordered = (F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b"))
+    first = good.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered)
+    pairs = written(inside.where("a is not null").select("a", "b").union(first).distinct(), "pairs")
+    edges = written(verified(pairs, distinct, docs, words, at_least), "edges")
     roots = components(edges)
 
     # second round: what may link and is in different classes still
-    classed = named.join(roots, F.col("u") == F.col("node"), "left").select("u", "g", "members", F.coalesce("root", "u").alias("root"))
-    classed = written(classed, "classed")
-    spans = classed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("members").alias("members"))
-    spans = written(spans, "spans")
+    classed = written(named.join(roots, F.col("u") == F.col("node"), "left").select("u", "g", F.coalesce("root", "u").alias("root")), "classed")
+    spans = written(classed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")), "spans")
 
     def mixed(filed_rows: DataFrame, of: DataFrame) -> DataFrame:
         """Rows of keys that hold more than one class."""
@@ -344,15 +390,15 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
 
     own = classed.select(F.col("u").alias("id"), F.col("root").alias("low"), F.col("root").alias("high"))
     more = across(mixed(inside, own), at_least).distinct()
-    pairs = across(mixed(between, spans.select(F.col("g").alias("id"), "low", "high")), at_least).union(met_groups).distinct()
-    # group pairs are expanded to the members whose classes differ; pairs of single members that have been compared are done
-    side = lambda c: spans.select(F.col("g").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), F.col("members").alias(f"m_{c}"))
-    open_pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("low_a <> low_b or high_a <> high_b or low_a <> high_a")
-    single = open_pairs.where("m_a = 1 and m_b = 1").select("a", "b").join(met_groups, ["a", "b"], "left_anti")
-    several = written(open_pairs.where("m_a > 1 or m_b > 1").select("a", "b"), "open-groups")
+    fresh = across(mixed(between, spans.select(F.col("g").alias("id"), "low", "high")), at_least).distinct().join(met_groups, ["a", "b"], "left_anti")
+    fresh = likely(written(fresh, "fresh-pairs"), groups, shared, at_least)
+    # pairs of groups of which only the first members have been compared
+    span = lambda c: spans.select(F.col("g").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), F.col("members").alias(f"m_{c}"))
+    old = good.join(span("a"), "a").join(span("b"), "b").where("(low_a <> low_b or high_a <> high_b or low_a <> high_a) and (m_a > 1 or m_b > 1)").select("a", "b")
+    several = written(fresh.union(old), "open-groups")
     of = lambda c: classed.select(F.col("g").alias(c), F.col("u").alias(f"u_{c}"), F.col("root").alias(f"root_{c}"))
-    expanded = several.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select(F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b"))
-    rest = written(single.union(expanded).union(more).distinct(), "open-pairs")
+    expanded = several.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select(*ordered)
+    rest = written(expanded.union(more).distinct(), "open-pairs")
     if not rest.isEmpty():
         late = written(verified(rest, distinct, docs, words, at_least), "late-edges")
         if not late.isEmpty():
