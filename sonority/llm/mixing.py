@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonority.llm.common import table, text_or_empty, written
+from sonority.llm import common
+from sonority.llm.common import met, table, text_or_empty, written
 
 #: Weights of the tree that the query and the pipeline use; what is not named has the weight of "".
 WEIGHTS = {
@@ -73,18 +74,40 @@ def _share_out(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
 def budgets(leaves: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, budget: int | None = None) -> DataFrame:
     """Token budget of each leaf.
 
+    A weight of 0 excludes: its nodes and all below them get nothing, whatever their siblings leave, and can't take up a shortage of
+    theirs. Where all weights are 0, nothing is taken.
+
     :param leaves: ``_domain, _lang, _source, tokens``.
     :return: the leaves with ``take``, whole tokens.
     """
+    given = [w for own in weights.values() for w in own.values()]
+    if any(w < 0 for w in given):
+        raise ValueError("weights must not be below zero")
+    every = leaves
+    if 0 in given:
+        leaves = leaves.where((_weight("domain", weights) > 0) & (_weight("lang", weights) > 0) & (_weight("source", weights) > 0))
     cap = F.sum("tokens") * epochs
-    total = leaves.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(share)).cast("double").alias("budget")) if budget is None else leaves.agg(F.lit(float(budget)).alias("budget"))
+    total = every.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(share)).cast("double").alias("budget")) if budget is None else every.agg(F.lit(float(budget)).alias("budget"))
     at = total
     for depth, level in enumerate(("domain", "lang", "source")):
         parent, own = _LEAF[:depth], _LEAF[depth]
         nodes = leaves.groupBy(*parent, own).agg(cap.alias("cap")).withColumn("w", _weight(level, weights))
         given = nodes.join(at, parent) if parent else nodes.crossJoin(F.broadcast(at))
         at = _share_out(given, parent, own).select(*parent, own, F.col("got").alias("budget"))
-    return leaves.join(at, _LEAF).withColumn("take", F.floor(F.col("budget") + F.lit(1e-6)).cast("long")).drop("budget")
+    got = F.coalesce("budget", F.lit(0.0))
+    return every.join(at, _LEAF, "left").withColumn("take", F.floor(got + F.lit(1e-6)).cast("long")).drop("budget")
+
+
+def beside(rows: DataFrame, leaves: DataFrame, how_many: int, size: str = "docs") -> DataFrame:
+    """``rows`` with what ``leaves`` tells of their leaf.
+
+    Leaves are broadcast if they are few; of more than that, those with many rows are, and the rows of the others are shuffled.
+
+    :param leaves: a row for each leaf, with its number of rows as ``size``; ``how_many``: the number of all rows.
+    """
+    if leaves.count() <= common.BROADCAST_ROWS:
+        return rows.join(F.broadcast(leaves), _LEAF)
+    return met(rows, leaves, _LEAF, size, max(1, how_many))
 
 
 def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -92,7 +115,7 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def plan(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, slice_rows: int = SLICE_ROWS, budget: int | None = None) -> DataFrame:
-    """How each leaf is taken: ``_domain, _lang, _source, _whole, _cut``: whole epochs, and the last order key of the next
+    """How each leaf is taken: ``_domain, _lang, _source, docs, _whole, _cut``: its rows, whole epochs, and the last order key of the next
     epoch that still fits (null: none).
 
     A prefix sum over a leaf that may hold a third of all rows is made in steps: tokens of slices of the order, their
@@ -105,9 +128,10 @@ def plan(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
         F.when(F.col("tokens") > 0, F.col("take") % F.col("tokens")).otherwise(F.lit(0)).alias("rest"),
     )
     taken = written(taken, "budgets")
-    most = taken.agg(F.max("docs")).first()[0] or 1
+    most, rows = taken.agg(F.max("docs"), F.sum("docs")).first()
+    most = most or 1
     digits = max(1, math.ceil(math.log(max(most / slice_rows, 1.001), 16)))
-    keyed = sized.join(taken, _LEAF).select(*_LEAF, "n", "rest", "_whole", _order(seed, F.col("_whole"), F.col("doc_id")).alias("key"))
+    keyed = beside(sized, taken.drop("tokens"), rows or 0).select(*_LEAF, "n", "rest", "_whole", _order(seed, F.col("_whole"), F.col("doc_id")).alias("key"))
     keyed = keyed.withColumn("slice", F.substring("key", 1, digits))
     sums = keyed.groupBy(*_LEAF, "slice", "rest").agg(F.sum("n").alias("n"))
     running = F.sum("n").over(Window.partitionBy(*_LEAF).orderBy("slice"))
@@ -118,18 +142,21 @@ def plan(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs:
     cut = last.select(*_LEAF, "rest", "key", inside.alias("upto")).where("upto <= rest").groupBy(*_LEAF).agg(F.max("key").alias("cut"))
     # where not even the first of the slice fits, all slices before it are taken
     whole = taken.join(ends, _LEAF, "left").join(cut, _LEAF, "left")
-    return whole.select(*_LEAF, "_whole", F.when(F.col("slice").isNull(), F.lit("g")).otherwise(F.coalesce("cut", "slice")).alias("_cut"))
+    return whole.select(*_LEAF, "docs", "_whole", F.when(F.col("slice").isNull(), F.lit("g")).otherwise(F.coalesce("cut", "slice")).alias("_cut"))
 
 
 def mixed(docs: DataFrame, weights: dict = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, budget: int | None = None) -> DataFrame:
     """The documents that are taken, with all their columns, their ``_domain`` and ``_copies``, the epochs they are in.
 
-    Whether a row is taken depends on it and its leaf's plan alone, so texts are not shuffled. A null language or source
+    Whether a row is taken depends on it and its leaf's plan alone, so texts are not shuffled, unless there are more leaves than are
+    broadcast; then those of small leaves are. A null language or source
     is one of its own; a null or empty text has no tokens and is taken if its place in the order is. Repeated rows of
     one id share their place: all are taken or none. An empty table gives no rows.
     """
     how = written(plan(docs, weights, share, epochs, seed, budget=budget), "mix")
-    placed = with_leaf(docs).join(how, _LEAF).withColumn("_copies", (F.col("_whole") + (_order(seed, F.col("_whole"), F.col("doc_id")) <= F.col("_cut")).cast("long")))
+    rows = how.agg(F.sum("docs")).first()[0] or 0
+    how = how.withColumnRenamed("docs", "_docs")
+    placed = beside(with_leaf(docs), how, rows, "_docs").withColumn("_copies", (F.col("_whole") + (_order(seed, F.col("_whole"), F.col("doc_id")) <= F.col("_cut")).cast("long")))
     return placed.where("_copies > 0").select(*docs.columns, "_domain", "_copies")
 
 

@@ -468,6 +468,32 @@ def test_mixing_takes_prefixes_of_epochs(spark):
     assert mixing.mixed(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("weights", "want"), [
+    # a source, a language and a domain of weight 0; their siblings take what they can
+    ({"domain": {"": 1.0}, "lang": {"": 1.0}, "source": {"s0": 0.0, "": 1.0}}, {"s0": 0, "s1": 100, "s2": 100}),
+    ({"domain": {"": 1.0}, "lang": {"en": 0, "": 1.0}, "source": {"": 1.0}}, {"s0": 0, "s1": 0, "s2": 100}),
+    ({"domain": {"web": 0.0, "": 1.0}, "lang": {"": 1.0}, "source": {"": 1.0}}, {"s0": 100, "s1": 100, "s2": 0}),
+    ({"domain": {"": 0.0}, "lang": {"": 1.0}, "source": {"": 1.0}}, {"s0": 0, "s1": 0, "s2": 0}),
+])
+def test_weights_of_zero(spark, weights, want):
+    leaves = spark.createDataFrame([("books", "en", "s0", 100), ("books", "en", "s1", 100), ("web", "de", "s2", 100)], "_domain string, _lang string, _source string, tokens long")
+    assert {r["_source"]: r["take"] for r in mixing.budgets(leaves, weights, epochs=1, budget=280).collect()} == want
+    with pytest.raises(ValueError):
+        mixing.budgets(leaves, {**weights, "source": {"": -1.0}})
+
+
+def test_mixing_with_more_leaves_than_are_broadcast(spark, monkeypatch):
+    from sonority.llm import common
+
+    rows = [(i, f"text of {i}", "en", "hot" if i % 3 == 0 else f"s{i % 40}") for i in range(400)]
+    want = mixing.mixed(documents(spark, rows)).toPandas()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    same(mixing.mixed(documents(spark, rows)).toPandas(), want)
+    zero = {**mixing.WEIGHTS, "source": {"hot": 0, "": 1.0}}
+    assert not mixing.mixed(documents(spark, rows), zero).where("source = 'hot'").count()
+
+
 # -- personal data and secrets
 
 
