@@ -4,8 +4,9 @@ All shingles are put in one order, frequent ones last. Two sets that link share
 documents meet under the shingles of these prefixes. Documents with the same prefix and size are collapsed into one group,
 groups are paired and filtered, and then expanded to their members, whose whole sets are compared.
 
-Only connected classes are wanted, so not every pair is compared: a first round compares neighbours under each shingle, a second
-one the pairs whose ends the first round has left in different classes. No group is ever expanded to all its pairs.
+Only connected classes are wanted, so not every pair is compared: a first round compares neighbours under each shingle, a few more
+compare neighbours in other orders that are in different classes still, and a last one all pairs that the rounds have left in
+different classes. So a group of near copies is never expanded to all its pairs.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from sonority.llm.common import few, met, portions, table, text_or_empty, writte
 from sonority.llm.components import components
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
-#: Shingles that are put last in the order: the most frequent ones, this many at most, each in at least ``LEAST`` documents of a
-#: task and one in ``SHARE`` of its shingles. They decide how long the work takes, never its result.
-FREQUENT, LEAST, SHARE = 1 << 18, 8, 1 << 16
+#: Shingles that are put last in the order: the most frequent ones of those that are twice or more in some run of ``COUNTED`` shingles, this
+#: many at most. They decide how long the work takes, never its result.
+FREQUENT = 1 << 20
 #: Shingles counted at once; text bytes handled at once; members of a key compared at once; neighbours compared in the first round.
-COUNTED, PORTION, BLOCK, NEIGHBOURS = 1 << 21, 1 << 22, 1024, 2
+COUNTED, PORTION, BLOCK, NEIGHBOURS = 1 << 22, 1 << 22, 1024, 2
+#: Rounds that compare neighbours of different classes, at most.
+ROUNDS = 5
 #: Up to so many members of a key are all compared in the first round.
 SMALL = NEIGHBOURS + 2
 NONE = np.zeros(0, np.uint64)
@@ -69,40 +72,28 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``shingle, n``: frequent shingles of the corpus, counted over all documents.
+    """``shingle, n``: shingles of several documents, counted over all of them.
 
-    A shingle that is in one document of ``SHARE`` is so in some task too, where it is noticed; a task tells of ``SHARE`` at most.
+    A task counts runs of ``COUNTED`` shingles and tells of those that are in two documents of a run or more; what is rarer than that is not
+    worth a place in the order.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, total, held, size = NONE, np.zeros(0, np.int64), 0, [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new, often = np.unique(np.concatenate(held), return_counts=True)
-            often = often.astype(np.int64)
-            if len(key):
-                both = np.concatenate([key, new])
-                order = np.argsort(both, kind="stable")
-                both, sums = both[order], np.concatenate([n, often])[order]
-                first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-                new, often = both[first], np.add.reduceat(sums, first)
-            if len(new) > 4 * SHARE:
-                # those of few documents go; ties by the shingle
-                keep = np.sort(np.argsort(-often, kind="stable")[: 2 * SHARE])
-                new, often = new[keep], often[keep]
-            return new, often
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
         for b in _texts(batches):
             for t in b.column("text").to_pylist():
                 held.append(shingles(t, words))
-                size, total = size + len(held[-1]), total + len(held[-1])
+                size += len(held[-1])
             if size >= COUNTED:
-                key, n = merged()
+                yield told()
                 held, size = [], 0
         if size:
-            key, n = merged()
-        often = n >= max(LEAST, total // SHARE)
-        yield pa.RecordBatch.from_arrays([pa.array(key[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+            yield told()
 
     found = docs.select(text_or_empty().alias("text")).mapInArrow(count, "shingle long, n long")
     return found.groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -118,8 +109,17 @@ SETS = "n int, digest binary, grp long, prefix binary"
 
 def ordering(docs: DataFrame, words: int = WORDS):
     """The order of shingles, broadcast: the most frequent ones, ascending, and their counts. Ascending count comes first, then the hash."""
-    rows = frequent(docs, words).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle", key=lambda s: s.to_numpy(np.int64).view(np.uint64))
-    return docs.sparkSession.sparkContext.broadcast((rows["shingle"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)))
+    found = written(frequent(docs, words), "frequent")
+    # the least power of two that so many counts reach at most
+    by = {r["e"]: r["n"] for r in found.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()}
+    run, least = 0, max(by, default=0) + 1
+    while least and run + by.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        run += by.get(least, 0)
+    rows = found.where(F.col("n") >= 1 << least).toPandas()
+    keys = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return docs.sparkSession.sparkContext.broadcast((keys[order], rows["n"].to_numpy(np.int64)[order]))
 
 
 def counted(known: np.ndarray, often: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -223,6 +223,35 @@ def neighbours(filed: DataFrame, at_least: Fraction = SIMILARITY) -> DataFrame:
     return _ranges(filed).mapInArrow(meet, _MET)
 
 
+def strangers(rows: DataFrame, turn: int, at_least: Fraction = SIMILARITY) -> DataFrame:
+    """Pairs ``a, b`` of members of different classes that stand near each other under a key, in an order of the turn's own; up to twice as
+    far as in the turn before.
+
+    :param rows: ``key, n, id, at, low, high``: the least and the greatest class of a member's own members.
+    """
+
+    near = NEIGHBOURS << (turn - 1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "n", "id", "at", "low", "high"]
+        back = [np.zeros(0, np.int64) for _ in names]
+        for b in batches:
+            fresh = len(back[0])
+            key, n, id_, at, low, high = full = [np.concatenate([x, b.column(c).to_numpy().astype(np.int64)]) for x, c in zip(back, names)]
+            for gap in range(1, near + 1):
+                i = np.arange(max(gap, fresh), len(key))
+                j = i - gap
+                may = (key[i] == key[j]) & ((low[i] != low[j]) | (high[i] != high[j]) | (low[i] != high[i])) & (id_[i] != id_[j]) & compatible(n[i], n[j], at[i], at[j], at_least)
+                i, j = i[may], j[may]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[i], id_[j])), pa.array(np.maximum(id_[i], id_[j]))], ["a", "b"])
+            back = [x[-near:] for x in full]
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed_up = rows.select("key", "n", "id", "at", "low", "high", F.xxhash64("id", F.lit(turn)).alias("mix"))
+    return mixed_up.repartitionByRange(tasks, "key", "mix").sortWithinPartitions("key", "mix").drop("mix").mapInArrow(meet, "a long, b long").distinct()
+
+
 def across(rows: DataFrame, at_least: Fraction = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """Pairs ``a, b`` under a key whose classes differ, as far as sizes and places allow.
 
@@ -376,11 +405,6 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
     first = good.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered)
     pairs = written(inside.where("a is not null").select("a", "b").union(first).distinct(), "pairs")
     edges = written(verified(pairs, distinct, docs, words, at_least), "edges")
-    roots = components(edges)
-
-    # second round: what may link and is in different classes still
-    classed = written(named.join(roots, F.col("u") == F.col("node"), "left").select("u", "g", F.coalesce("root", "u").alias("root")), "classed")
-    spans = written(classed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")), "spans")
 
     def mixed(filed_rows: DataFrame, of: DataFrame) -> DataFrame:
         """Rows of keys that hold more than one class."""
@@ -388,9 +412,29 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
         keys = full.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select("key")
         return full.join(keys, "key", "left_semi")
 
-    own = classed.select(F.col("u").alias("id"), F.col("root").alias("low"), F.col("root").alias("high"))
-    more = across(mixed(inside, own), at_least).distinct()
-    fresh = across(mixed(between, spans.select(F.col("g").alias("id"), "low", "high")), at_least).distinct().join(met_groups, ["a", "b"], "left_anti")
+    for turn in range(1, ROUNDS + 1):
+        # what may link and is in different classes still
+        classed = named.join(components(edges), F.col("u") == F.col("node"), "left").select("u", "g", F.coalesce("root", "u").alias("root"))
+        classed = written(classed, "classed")
+        spans = written(classed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")), "spans")
+        own = classed.select(F.col("u").alias("id"), F.col("root").alias("low"), F.col("root").alias("high"))
+        by_group = spans.select(F.col("g").alias("id"), "low", "high")
+        inside, between = (written(mixed(rows_of, of), "mixed") for rows_of, of in ((inside, own), (between, by_group)))
+        inside, between = (x.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "key", "id", "n", "at", "low", "high") for x in (inside, between))
+        if turn == ROUNDS or inside.isEmpty() and between.isEmpty():
+            break
+        apart = written(strangers(between, turn, at_least).join(met_groups, ["a", "b"], "left_anti"), "strangers")
+        passed = written(likely(apart, groups, shared, at_least), "likely")
+        met_groups, good = written(met_groups.union(apart), "group-pairs"), written(good.union(passed), "likely")
+        pairs = passed.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered).union(strangers(inside, turn, at_least)).distinct()
+        found = written(verified(written(pairs, "pairs"), distinct, docs, words, at_least), "edges")
+        if found.isEmpty():
+            break
+        edges = written(edges.union(found), "edges")
+
+    # the last round: all pairs that are left
+    more = across(inside, at_least).distinct()
+    fresh = across(between, at_least).distinct().join(met_groups, ["a", "b"], "left_anti")
     fresh = likely(written(fresh, "fresh-pairs"), groups, shared, at_least)
     # pairs of groups of which only the first members have been compared
     span = lambda c: spans.select(F.col("g").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), F.col("members").alias(f"m_{c}"))

@@ -61,7 +61,7 @@ def test_matches_all_pairs(spark, monkeypatch, seed, words, at_least, vocabulary
     monkeypatch.setattr(jaccard_join, "BLOCK", 5)
     monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)
     monkeypatch.setattr(jaccard_join, "SMALL", 3)
-    monkeypatch.setattr(jaccard_join, "LEAST", 4)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 20)
     rows = mutated(seed, 150, 40, vocabulary, changes)
     assert got(spark, rows, words, at_least) == brute(rows, words, at_least)
 
