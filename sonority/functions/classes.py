@@ -57,6 +57,12 @@ def by_generality(spark: SparkSession, table: FeatureTable, max_features: int =
     return named.select(F.row_number().over(Window.orderBy(F.desc("size"), "mask")).alias("class_id"), "*")
 
 
+def class_frame(spark: SparkSession, table: FeatureTable, max_features: int = 3) -> DataFrame:
+    """The rows of :func:`by_generality` as a table of literals: the feature table bounds them, so nothing is joined for them again."""
+    rows = [(i, m, m.bit_count(), inverted, name) for i, (m, inverted, name) in enumerate(class_list(table, max_features), 1)]
+    return spark.createDataFrame(rows, "class_id int, mask long, size int, inverted boolean, label string").coalesce(1)
+
+
 def core(table: FeatureTable, features: list[str]) -> list[tuple[str, int]]:
     """The full class, then each listed feature's plus, then their minuses; empty and repeated sets are left out."""
     out: dict[int, str] = {}
@@ -137,7 +143,7 @@ def candidates(spark: SparkSession, table: FeatureTable, settings: Settings = Se
 
     :param classes: the classes to combine; None: all of the table.
     """
-    classes = by_generality(spark, table) if classes is None else classes
+    classes = class_frame(spark, table) if classes is None else classes
     held = [singles(classes)]
     if settings.edges:
         held.append(edge_singles(classes))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sonority.functions import segments as S
 from sonority.functions import stats, vectors
-from sonority.functions.classes import by_generality, membership, bigrams
+from sonority.functions.classes import class_frame, membership, bigrams
 from sonority.functions.features import LATIN
 from sonority.functions.globs import body, parse_glob
 from sonority.functions.violations import glob_count, of_bigrams, of_globs
@@ -163,7 +163,7 @@ def _ngram_sql(n: int) -> str:
 
 
 def _q_violations_bigram(spark, d):
-    classes = by_generality(spark, LATIN)
+    classes = class_frame(spark, LATIN)
     return of_bigrams(S.ngrams(words(spark, d), 2), membership(classes, len(SEGS)), bigrams(classes)).select("c1", "c2", "weight", "violations")
 
 

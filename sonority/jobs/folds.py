@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sonority.functions import automata, vectors
 from sonority.functions import segments as S
-from sonority.functions.classes import Settings, by_generality, candidates, membership
+from sonority.functions.classes import Settings, class_frame, candidates, membership
 from sonority.functions.features import LATIN
 from sonority.functions.globs import parse_glob
 from sonority.functions.grammar import Grammar, directional, objective, sampled_frame, unit_floats, unknown_frame
@@ -71,7 +71,7 @@ def _q_class_products(spark, d):
     """For each class, the chance that a segment of the corpus is none of its segments, each drawn by itself: a product."""
     seen = _seen(spark, d).select("seg_id", "n")
     total = seen.agg(F.sum("n").alias("total"))
-    member = membership(by_generality(spark, LATIN), len(SEGS))
+    member = membership(class_frame(spark, LATIN), len(SEGS))
     shares = seen.crossJoin(F.broadcast(total)).select("seg_id", (1 - F.col("n") / F.col("total")).alias("p"))
     return member.join(F.broadcast(shares), "seg_id").groupBy("class_id").agg(F.round(F.product("p"), 9).alias("p"))
 

@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonority.functions import automata, classes as C, features
 from sonority.functions import segments as S
-from sonority.functions.features import LATIN
+from sonority.functions.features import LATIN, FeatureTable
 from sonority.functions.globs import parse_glob
 from sonority.functions.grammar import Grammar, sampled_frame
 from sonority.functions.violations import of_globs, of_singles, reach_counts
 from sonority.jobs.corpus import _BIGRAM_COUNTS, _TOK, CELLS, CLASSES, SEG_TABLE, SEGS, WORDS, docs, words
 from sonority.jobs.learner import learn
+from sonority.sources.tables import new_path
 from sonority.streaming.collate import collate, collated
 
 _N = len(SEGS)
@@ -57,19 +56,19 @@ select l.seg, f.feat_id, f.feat, coalesce(c.state, '0') as state from letters l
 
 
 def _q_membership(spark, d):
-    member = C.membership(C.by_generality(spark, LATIN), _N)
+    member = C.membership(C.class_frame(spark, LATIN), _N)
     return member.join(F.broadcast(_seen(spark, d)), "seg_id").select("class_id", "seg", "n")
 
 
-def _counted_classes(spark, d) -> DataFrame:
+def _counted_classes(spark, d, classes=C.class_frame) -> DataFrame:
     """Classes with the corpus's number of their segments; those that it never shows are left out."""
-    held = C.by_generality(spark, LATIN)
+    held = classes(spark, LATIN)
     counts = of_singles(S.ngrams(words(spark, d), 1), C.membership(held, _N), held.select(F.col("class_id").alias("c1")))
     return held.join(counts.where("violations > 0"), held["class_id"] == F.col("c1")).select(held["*"], F.col("violations").alias("tokens"))
 
 
 def _q_classes(spark, d):
-    return _counted_classes(spark, d).select("class_id", F.col("size").cast("int").alias("size"), "inverted", "label", "tokens")
+    return _counted_classes(spark, d, C.by_generality).select("class_id", F.col("size").cast("int").alias("size"), "inverted", "label", "tokens")
 
 
 _COUNTED = f"{_BASE}, {CLASSES}, counted as (select class_id, mask, size, inverted, label, sum(n)::bigint as tokens from classes join member using (class_id) join seen using (seg_id) group by all)"
@@ -311,10 +310,6 @@ def _serialise_sql() -> str:
     return f"with {WORDS}, {ENC}, v as (select freq, {each} from enc), s as ({sums}) select name, printf('%.3f  %s', round(ln((select sum(freq * len(word)) from lex) / (violations + 1)), 6), shown) as line from s"
 
 
-#: Rules after which the query stops, as the command line's ``--rules`` does.
-_MOST_RULES = 3
-
-
 def _q_sample(spark, d):
     """As many words as the corpus has documents, sampled from its rules."""
     rules = _rules(spark, d).orderBy("name").collect()
@@ -324,19 +319,19 @@ def _q_sample(spark, d):
     return sampled_frame(spark, grammar, LATIN, n).select("row_id", F.array_join(S.named(F.col("word"), SEGS), " ").alias("segs"))
 
 
+#: The Latin table with a few features, so that a grammar is soon learnt to its end.
+_FEW = ("syllabic", "nasal", "labial")
+BROAD = FeatureTable(SEGS, _FEW, tuple(LATIN.states[LATIN.features.index(f)] for f in _FEW))
+
+
 def _q_learn(spark, d):
-    """The first rules that the corpus learns with the default sample, with their weights."""
-    return learn(words(spark, d), LATIN, most_rules=_MOST_RULES).frame(spark)
+    """The grammar that the corpus learns over the broad features with the default sample, until no candidate is left under a threshold."""
+    return learn(words(spark, d), BROAD).frame(spark)
 
 
 def _q_stream(spark, d):
     """The lexicon, collated from a stream of the documents' files."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="sonority-")
-    folder = f"{base}/collate-{uuid.uuid4().hex}"
+    folder = new_path(spark, "collate")
     # documents.parquet is a file or a folder of files: Spark tells which, for it may be the only one that reaches the path
     source = docs(spark, d)
     inside = any(f.rsplit("/", 2)[1] == "documents.parquet" for f in source.inputFiles())

@@ -1,214 +1,93 @@
 """Learning a grammar from a corpus.
 
-The corpus is read on Spark into n-gram totals, which the feature table bounds. Candidates are then scored against
-samples of the grammar so far: between two acceptances the sample doesn't change, so the next accepted candidate is the
-first in order whose score is under the threshold, found for all candidates at once.
+The corpus is read once, into a written lexicon, and that once, into n-gram totals, which the feature table bounds. Candidates
+are a table; so are their counts in the corpus, and in each round those in a sample that is drawn and counted in tasks. Between
+two acceptances the sample doesn't change, so the next accepted candidate is the first in order whose score is under the
+threshold: one row reaches the driver. Only the weights are fitted there.
+
+Each accepted rule is appended to a table, from which others may read while learning goes on, and from which a learner that was
+stopped goes on.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonority.functions.automata import counter, nothing, product
-from sonority.functions.classes import Settings, class_list, core, matrix
+from sonority.functions.classes import Settings, candidates, class_frame, class_list, core, membership
 from sonority.functions.features import FeatureTable
-from sonority.functions.globs import Glob, parse_class, Part
-from sonority.functions.grammar import Grammar, fit_weights, word_salad
-from sonority.functions.segments import edge_ngrams, length_frequencies, ngrams
-from sonority.functions.stats import upper_ratio_of
-from sonority.functions.violations import of_globs, reach_counts
+from sonority.functions.globs import Glob, Part, parse_class, parse_glob
+from sonority.functions.grammar import Grammar, fit_weights, sampled_frame
+from sonority.functions.segments import length_frequencies
+from sonority.functions.stats import upper_ratio
+from sonority.functions.violations import class_sums, family_totals, of_globs
+from sonority.sources.tables import forget, stored, written
 
 THRESHOLDS, SAMPLES = (0.01, 0.1, 0.2, 0.3), 3000
+#: A row of the table of rules: its number, the threshold and the candidate's place when it was accepted, its count in the corpus, all
+#: weights so far, and a mark of what is learnt from and how.
+RULE = "round int, threshold double, ordinal long, glob string, observed double, weights array<double>, setup string"
 
 
-@dataclass
-class Totals:
-    """What the families depend on: counts of single segments, pairs and triples, at any place and at both edges."""
-
-    one: np.ndarray
-    two: np.ndarray
-    last: np.ndarray
-    first: np.ndarray
-    last_two: np.ndarray
-    first_two: np.ndarray
-    three: np.ndarray
-    #: for each core class, classes by segments: how often a segment ends a long-distance match that starts in the class
-    reach: list[np.ndarray]
-
-    @classmethod
-    def of_frame(cls, words: DataFrame, segments: int, cores: list[int], three: bool, masks: list[int] = ()) -> Totals:
-        """From a lexicon on Spark; what reaches the driver is bounded by the numbers of segments and of classes ``masks``."""
-
-        def dense(df: DataFrame, n: int) -> np.ndarray:
-            out = np.zeros((segments,) * n)
-            for r in df.collect():
-                out[tuple(r[f"s{i + 1}"] - 1 for i in range(n))] = r["n"]
-            return out
-
-        held = []
-        classes = F.array(*[F.struct(F.lit(i).alias("class"), F.lit(m).alias("mask")) for i, m in enumerate(masks)]) if len(masks) else None
-        for mask in cores:
-            out = np.zeros((len(masks), segments))
-            if classes is not None:
-                met = F.filter(classes, lambda c: F.col("reach").bitwiseAND(c["mask"]) != 0)
-                rows = reach_counts(words, mask).select("seg", "n", F.explode(met).alias("c")).groupBy("c.class", "seg").agg(F.sum("n").alias("n"))
-                for r in rows.collect():
-                    out[r["class"], r["seg"] - 1] = r["n"]
-            held.append(out)
-        return cls(
-            dense(ngrams(words, 1), 1), dense(ngrams(words, 2), 2), dense(edge_ngrams(words, 1, True), 1), dense(edge_ngrams(words, 1, False), 1),
-            dense(edge_ngrams(words, 2, True), 2), dense(edge_ngrams(words, 2, False), 2), dense(ngrams(words, 3), 3) if three else np.zeros((segments,) * 3), held,
-        )
-
-    @classmethod
-    def of_words(cls, words: list[np.ndarray], segments: int, cores: list[int], three: bool, masks: list[int] = ()) -> Totals:
-        """From sampled words, segment indices from 0."""
-
-        def add(rows: list[np.ndarray], n: int) -> np.ndarray:
-            out = np.zeros((segments,) * n)
-            if rows:
-                np.add.at(out, tuple(np.concatenate(rows).T), 1)
-            return out
-
-        def grams(w: np.ndarray, n: int) -> np.ndarray:
-            return np.lib.stride_tricks.sliding_window_view(w, n) if len(w) >= n else np.zeros((0, n), np.int64)
-
-        held = []
-        for mask in cores:
-            rows: dict[tuple[int, int], int] = {}
-            for w in words:
-                reach, p, pp = 0, -1, -1
-                for x in w.tolist():
-                    reach = reach | 1 << pp if p >= 0 and pp >= 0 and mask >> p & 1 else 0
-                    if reach:
-                        rows[reach, x] = rows.get((reach, x), 0) + 1
-                    p, pp = x, p
-            reach, seg, n = np.array([r for r, _ in rows], np.int64), np.array([s for _, s in rows], np.int64), np.array(list(rows.values()), float)
-            held.append(np.array([np.bincount(seg[hit], n[hit], segments) for hit in ((reach & m) != 0 for m in masks)]).reshape(len(masks), segments))
-        return cls(
-            add([grams(w, 1) for w in words], 1), add([grams(w, 2) for w in words], 2), add([w[None, -1:] for w in words if len(w)], 1), add([w[None, :1] for w in words if len(w)], 1),
-            add([w[None, -2:] for w in words if len(w) > 1], 2), add([w[None, :2] for w in words if len(w) > 1], 2), add([grams(w, 3) for w in words], 3) if three else np.zeros((segments,) * 3), held,
-        )
+class Families:
+    """All candidates of ``settings``, numbered from 1 in the order in which they are tried."""
 
-
-class Candidates:
-    """All candidates in the order in which they are tried, with their counts under any totals."""
-
-    def __init__(self, table: FeatureTable, settings: Settings) -> None:
-        self.table, self.settings = table, settings
-        self.classes = class_list(table)
-        self.m = matrix([c[0] for c in self.classes], len(table.segments)).astype(float)
-        self.size = self.m.sum(1).astype(int)
-        inverted = np.array([c[1] for c in self.classes])
-        labels = [c[2] for c in self.classes]
-        self.tri = core(table, list(settings.trigrams)) if settings.trigrams is not None else []
+    def __init__(self, spark: SparkSession, table: FeatureTable, settings: Settings) -> None:
+        self.table, self.settings, self.classes = table, settings, class_list(table)
         self.far = core(table, list(settings.broken)) if settings.broken is not None else []
-        single = np.flatnonzero(~inverted)
-        a, b = np.nonzero(~(inverted[:, None] & inverted[None, :]))
-        self.families: list[tuple[str, np.ndarray]] = []
-
-        def put(name: str, weight: np.ndarray, columns: np.ndarray) -> None:
-            self.families.append((name, columns[np.argsort(weight, kind="stable")]))
-
-        put("single", -self.size[single], single[:, None])
-        if settings.edges:
-            put("edge", -np.repeat(self.size[single], 2), np.stack([np.repeat(single, 2), np.tile([1, 0], len(single))], 1))
-        put("bigram", -(self.size[a] + self.size[b]), np.stack([a, b], 1))
-        if settings.edges:
-            put("edge_bigram", -np.repeat(self.size[a] + self.size[b], 2), np.stack([np.repeat(a, 2), np.repeat(b, 2), np.tile([1, 0], len(a))], 1))
-        if self.tri:
-            names = {n for n, _ in self.tri}
-            is_core = np.array([x in names for x in labels])
-            rows, weight = [], []
-            for i in range(len(labels)):
-                for j in range(len(labels)):
-                    if inverted[i] and inverted[j]:
-                        continue
-                    third = np.arange(len(labels)) if is_core[i] or is_core[j] else np.flatnonzero(is_core)
-                    third = third[~inverted[third]] if inverted[i] or inverted[j] else third
-                    rows.append(np.stack([np.full(len(third), i), np.full(len(third), j), third], 1))
-                    z = self.size
-                    weight.append(-(z[j] + z[third]) if is_core[i] else -(z[i] + z[third]) if is_core[j] else np.full(len(third), -(z[i] + z[j])))
-            put("trigram", np.concatenate(weight), np.concatenate(rows))
-        if self.far:
-            k = len(labels)
-            first, core_id, last = (x.ravel() for x in np.meshgrid(np.arange(k), np.arange(len(self.far)), np.arange(k), indexing="ij"))
-            put("long_distance", -(self.size[first] + self.size[last]), np.stack([first, core_id, last], 1))
-        self.count = sum(len(c) for _, c in self.families)
-        self._needs = (len(table.segments), [m for _, m in self.far], bool(self.tri), [c[0] for c in self.classes])
-
-    def observed(self, words: DataFrame) -> np.ndarray:
-        return self.counts(Totals.of_frame(words, *self._needs))
-
-    def expected(self, salad: list[np.ndarray]) -> np.ndarray:
-        return self.counts(Totals.of_words(salad, *self._needs))
-
-    def counts(self, t: Totals) -> np.ndarray:
-        m, out = self.m, []
-        for name, c in self.families:
-            if name == "single":
-                out.append((m @ t.one)[c[:, 0]])
-            elif name == "edge":
-                out.append(np.where(c[:, 1], (m @ t.last)[c[:, 0]], (m @ t.first)[c[:, 0]]))
-            elif name == "bigram":
-                out.append((m @ t.two @ m.T)[c[:, 0], c[:, 1]])
-            elif name == "edge_bigram":
-                out.append(np.where(c[:, 2], (m @ t.last_two @ m.T)[c[:, 0], c[:, 1]], (m @ t.first_two @ m.T)[c[:, 0], c[:, 1]]))
-            elif name == "trigram":
-                sums = np.zeros(len(c))
-                for i in np.unique(c[:, 0]):
-                    own = c[:, 0] == i
-                    sums[own] = (m @ np.tensordot(m[i], t.three, 1) @ m.T)[c[own, 1], c[own, 2]]
-                out.append(sums)
-            else:
-                sums = np.zeros(len(c))
-                for k, by in enumerate(t.reach):
-                    own = c[:, 1] == k
-                    sums[own] = (by @ m.T)[c[own, 0], c[own, 2]]
-                out.append(sums)
-        return np.concatenate(out)
+        self.member = membership(class_frame(spark, table), len(table.segments))
+        place = {name: i for i, (name, _) in enumerate(self.far)}
+        between = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col("l2")] if place else F.lit(None).cast("int")
+        edge = F.when(F.col("final"), "f").otherwise("i")
+        kind = F.create_map(*map(F.lit, ("single", "1", "edge", "1", "bigram", "2", "edge_bigram", "2", "trigram", "3", "long_distance", "far")))[F.col("family")]
+        key = F.when(F.col("final").isNotNull(), F.concat(kind, edge)).otherwise(kind)
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+        far = F.col("family") == "long_distance"
+        found = candidates(spark, table, settings).select(F.col("ordinal").cast("long").alias("ordinal"), key.alias("kind"), "c1", zero(F.when(far, between).otherwise(F.col("c2"))).alias("c2"), zero(F.col("c3")).alias("c3"))
+        self.rows = written(found, "candidates")
+        self.count = self.rows.count()
+
+    def counts(self, words: DataFrame) -> DataFrame:
+        """``ordinal, n`` of all candidates in a lexicon ``word, freq``."""
+        totals = family_totals(words, self.settings.edges, self.settings.trigrams is not None, [m for _, m in self.far])
+        sums = class_sums(totals, self.member, class_frame(words.sparkSession, self.table) if self.far else None)
+        return self.rows.join(sums, ["kind", "c1", "c2", "c3"], "left").select("ordinal", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
     def glob(self, ordinal: int) -> Glob:
-        for name, c in self.families:
-            if ordinal >= len(c):
-                ordinal -= len(c)
-                continue
-            row = c[ordinal].tolist()
-            parts = [self.classes[i][2] for i in (row if name in ("bigram", "trigram") else row[:2] if name == "edge_bigram" else row[:1])]
+        r = self.rows.where(F.col("ordinal") == ordinal).first()
+        name = lambda c: self.classes[c - 1][2]
+        if r["kind"] == "far":
+            parts, repeat = [name(r["c1"]), self.far[r["c2"]][0], name(r["c3"])], ["", "+", ""]
+        else:
+            parts = [name(c) for c in (r["c1"], r["c2"], r["c3"]) if c]
             repeat = [""] * len(parts)
-            if name == "long_distance":
-                parts, repeat = [self.classes[row[0]][2], self.far[row[1]][0], self.classes[row[2]][2]], ["", "+", ""]
-            final = name in ("edge", "edge_bigram") and bool(row[-1])
-            initial = name in ("edge", "edge_bigram") and not row[-1]
-            return Glob(initial, final, tuple(Part(r, *parse_class(p)) for r, p in zip(repeat, parts)))
-        raise IndexError(ordinal)
+        return Glob(r["kind"].endswith("i"), r["kind"].endswith("f"), tuple(Part(x, *parse_class(p)) for x, p in zip(repeat, parts)))
 
 
 class Listed:
-    """Any list of globs as candidates, tried in its order."""
+    """Any list of globs as candidates, numbered from 1 and tried in its order; of equal ones the first."""
 
     def __init__(self, table: FeatureTable, globs: Iterable[Glob]) -> None:
         self.table, self.globs = table, list(globs)
         self.count = len(self.globs)
 
-    def observed(self, words: DataFrame) -> np.ndarray:
+    def counts(self, words: DataFrame) -> DataFrame:
         """All in one pass over the lexicon."""
-        if not self.globs:
-            return np.zeros(0)
-        rows = {r["name"]: r["violations"] for r in of_globs(words, {f"g{i}": g for i, g in enumerate(self.globs)}, self.table).collect()}
-        return np.array([rows[f"g{i}"] for i in range(self.count)], float)
-
-    def expected(self, salad: list[np.ndarray]) -> np.ndarray:
-        machines = [counter(g.initial, g.final, g.sets(self.table), len(self.table.segments)) for g in self.globs]
-        return np.array([sum(int(m.count(w.tolist())[0]) for w in salad) for m in machines], float)
+        first = {}
+        for i, g in enumerate(self.globs, 1):
+            first.setdefault(str(g), (f"g{i}", g))
+        if not first:
+            return words.sparkSession.createDataFrame([], "ordinal long, n double")
+        found = of_globs(words, dict(first.values()), self.table)
+        return found.select(F.substring("name", 2, 9).cast("long").alias("ordinal"), F.col("violations").cast("double").alias("n"))
 
     def glob(self, ordinal: int) -> Glob:
-        return self.globs[ordinal]
+        return self.globs[ordinal - 1]
 
 
 def check_thresholds(thresholds: Iterable[float]) -> list[float]:
@@ -218,9 +97,21 @@ def check_thresholds(thresholds: Iterable[float]) -> list[float]:
     return out
 
 
+def salad_lexicon(words: DataFrame) -> DataFrame:
+    """Sampled words as a lexicon."""
+    return words.groupBy("word").agg(F.count("*").alias("freq"))
+
+
+def published(spark: SparkSession, state: str) -> DataFrame:
+    """The rules that a learner has appended to ``state`` so far, each with its newest weight: ``round, threshold, glob, observed, weight``."""
+    rows = stored(spark, state, RULE)
+    newest = rows.agg(F.max_by("weights", "round").alias("newest"))
+    return rows.crossJoin(F.broadcast(newest)).select("round", "threshold", "glob", "observed", F.get("newest", F.col("round") - 1).alias("weight"))
+
+
 def learn(
     words: DataFrame, table: FeatureTable, settings: Settings = Settings(), thresholds: Iterable[float] = THRESHOLDS, samples: int = SAMPLES, most_rules: int | None = None, seed: int = 1,
-    on_rule: Callable[[Grammar], None] | None = None, candidates: Iterable[Glob] | None = None, on_progress: Callable[[float, int, int], None] | None = None,
+    on_rule: Callable[[Grammar], None] | None = None, candidates: Iterable[Glob] | None = None, on_progress: Callable[[float, int, int], None] | None = None, state: str | None = None,
 ) -> Grammar:
     """Learn a grammar from a lexicon ``word, freq``.
 
@@ -229,52 +120,69 @@ def learn(
     :param candidates: the globs to try, in order; None: the families of ``settings``.
     :param on_progress: told the threshold, how many candidates have been passed under it, and how many there are: after each
         rule and at the end of each pass.
+    :param state: a folder to which each accepted rule is appended. Rules that are there already are taken up and learning goes on
+        after the last one; those of another corpus, table, sample or list of candidates are refused.
     """
-    limits = check_thresholds(thresholds)
-    lengths = {r["len"]: r["n"] for r in length_frequencies(words).collect()}
+    limits, spark = check_thresholds(thresholds), words.sparkSession
+    held = written(words.select("word", "freq"), "lexicon")
+    lengths = {r["len"]: r["n"] for r in length_frequencies(held).collect()}
     total = sum(lengths.values())
     if not total:
         raise ValueError("the lexicon is empty")
-    found = Candidates(table, settings) if candidates is None else Listed(table, candidates)
+    tried = None if candidates is None else list(candidates)
+    found = Families(spark, table, settings) if tried is None else Listed(table, tried)
     size, tell = len(table.segments), on_progress or (lambda *_: None)
-    observed = found.observed(words)
     number = np.array([lengths.get(k, 0) for k in range(max(lengths) + 1)], float)
     number[0] = 0
+    told = repr((table.csv(), settings, limits, samples, seed, sorted(lengths.items()), None if tried is None else list(map(str, tried))))
+    setup = hashlib.sha256(told.encode()).hexdigest()
+    observed = written(found.counts(held).withColumnRenamed("n", "observed"), "observed")
     machine, weights, counts = nothing(size), np.zeros(0), np.zeros(0)
-    grammar, chosen = Grammar({k: n for k, n in lengths.items() if k > 0}), set()
-
-    def expected(round_: int) -> np.ndarray:
-        salad = word_salad(machine, weights, grammar.lengths, samples, seed + round_)
-        return found.expected(salad) * total / samples
-
+    grammar, chosen, limit, cursor = Grammar({k: n for k, n in lengths.items() if k > 0}), [], limits[0] if limits else 0.0, 0
+
+    def take(rule: Glob, ordinal: int, n: float) -> None:
+        nonlocal machine, counts
+        machine = product(machine, counter(rule.initial, rule.final, rule.sets(table), size))
+        counts = np.append(counts, n)
+        grammar.rules.append(rule)
+        chosen.append(ordinal)
+
+    for r in stored(spark, state, RULE).orderBy("round").collect() if state else []:
+        if r["setup"] != setup:
+            raise ValueError("the rules in the state's folder were learnt from something else, or in another way")
+        take(parse_glob(r["glob"]), r["ordinal"], r["observed"])
+        weights, limit, cursor = np.array(r["weights"]), r["threshold"], r["ordinal"]
+        grammar.weights = weights.tolist()
+
+    scores, of = None, -1
     try:
-        score = upper_ratio_of(observed, expected(0))
-        for limit in limits:
-            cursor = 0
-            while True:
-                ahead = np.flatnonzero(score[cursor:] < limit) + cursor
-                at = next((i for i in ahead.tolist() if str(found.glob(i)) not in chosen), None)
-                if at is None:
+        for limit in [x for x in limits if x >= limit]:
+            while most_rules is None or len(grammar.rules) < most_rules:
+                if of != len(grammar.rules):
+                    # a sample belongs to a number of rules, so a learner that goes on draws the same one
+                    drawn = salad_lexicon(sampled_frame(spark, grammar, table, samples, seed + len(grammar.rules)))
+                    expected = found.counts(drawn).select("ordinal", (F.col("n") * total / samples).alias("expected"))
+                    if scores is not None:
+                        forget(scores)
+                    scored = observed.join(expected, "ordinal").select("ordinal", "observed", upper_ratio(F.col("observed"), F.col("expected")).alias("score"))
+                    scores, of = written(scored, "scores"), len(grammar.rules)
+                ahead = scores.where((F.col("score") < limit) & (F.col("ordinal") > cursor) & ~F.col("ordinal").isin(chosen))
+                best = ahead.agg(F.min("ordinal").alias("ordinal"), F.min_by("observed", "ordinal").alias("observed")).first()
+                if best["ordinal"] is None:
                     tell(limit, found.count, found.count)
                     break
-                tell(limit, at, found.count)
-                rule = found.glob(at)
-                chosen.add(str(rule))
-                machine = product(machine, counter(rule.initial, rule.final, rule.sets(table), size))
-                counts = np.append(counts, observed[at])
+                cursor = best["ordinal"]
+                tell(limit, cursor - 1, found.count)
+                take(found.glob(cursor), cursor, best["observed"])
                 weights = fit_weights(machine, number, counts, np.append(weights, 0.0))
-                grammar.rules.append(rule)
                 grammar.weights = weights.tolist()
+                if state:
+                    row = (len(chosen), limit, cursor, str(grammar.rules[-1]), float(best["observed"]), grammar.weights, setup)
+                    spark.createDataFrame([row], RULE).coalesce(1).write.mode("append").parquet(state)
                 if on_rule:
                     on_rule(grammar)
-                if most_rules is not None and len(grammar.rules) >= most_rules:
-                    return grammar
-                score, cursor = upper_ratio_of(observed, expected(len(grammar.rules))), at + 1
+            cursor = 0
     except KeyboardInterrupt:
-        pass
+        # a rule whose weight was not fitted yet doesn't count
+        grammar.rules = grammar.rules[: len(grammar.weights)]
     return grammar
-
-
-def salad_lexicon(words: DataFrame) -> DataFrame:
-    """Sampled words as a lexicon."""
-    return words.groupBy("word").agg(F.count("*").alias("freq"))

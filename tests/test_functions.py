@@ -50,20 +50,6 @@ def test_classes_of_the_small_table(spark):
     assert kinds["trigram"] == sum(inv[a] + inv[b] + inv[c] <= 1 and bool({names[a], names[b], names[c]} & core) for a, b, c in words_of(range(7), repeat=3))
 
 
-def test_driver_candidates_follow_the_frame(spark):
-    setting = classes.Settings(True, ("vowel",), ("vowel",))
-    found = learner.Candidates(SMALL, setting)
-    assert found.count == classes.candidates(spark, SMALL, setting).count()
-    assert str(found.glob(0)) == "[]"
-    rows = classes.candidates(spark, SMALL, setting).orderBy("ordinal").collect()
-    names = [c[2] for c in found.classes]
-    assert [r.ordinal for r in rows] == list(range(1, found.count + 1))
-    for r in rows:
-        parts = [names[i - 1] if isinstance(i, int) else i for i in (r.c1, r.l2, r.c2, r.c3) if i is not None]
-        assert [classes.label(p.inverted, p.literals) for p in found.glob(r.ordinal - 1).parts] == parts, r
-
-
-
 def greedy(text, segs):
     usable, out, i = sorted((s for s in segs if s and s[0] != "'"), key=len, reverse=True), [], 0
     while i < len(text):
@@ -264,19 +250,6 @@ def test_learner_finds_what_the_corpus_avoids(spark):
     assert [str(r) for r in h.rules][:1] == ["[−vowel][−vowel]"] and told[-1] == (0.3, 3, 3)
 
 
-def test_totals_agree_between_spark_and_driver(spark):
-    rng = random.Random(8)
-    words = [np.array([rng.randint(0, 2) for _ in range(rng.randint(1, 7))]) for _ in range(60)]
-    df = spark.createDataFrame([([int(x) + 1 for x in w], 1) for w in words], "word array<int>, freq int")
-    found = learner.Candidates(SMALL, classes.Settings(True, ("vowel",), ("vowel",)))
-    a, b = found.observed(df), found.expected(words)
-    assert (a == b).all()
-    for i in random.Random(2).sample(range(found.count), 120):
-        g = found.glob(i)
-        m = automata.counter(g.initial, g.final, g.sets(SMALL), 3)
-        assert a[i] == sum(m.count(w.tolist())[0] for w in words), str(g)
-
-
 def test_command_line(spark, tmp_path):
     (tmp_path / "words.txt").write_text("ana\t5\ntan\t7\nnat\t3\nata\t9\n", encoding="utf-8")
     (tmp_path / "table.csv").write_text(SMALL.csv(), encoding="utf-8")
