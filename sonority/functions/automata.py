@@ -10,10 +10,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonority.functions.segments import dot
+from sonority.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -206,3 +207,90 @@ def advanced(mass: DataFrame, edges: DataFrame) -> DataFrame:
     """One step of a distribution ``q, p, v`` over weighted edges ``q, q2, p, c``: chance and expected count."""
     moved = mass.select("q", F.col("p").alias("p0"), F.col("v").alias("v0")).join(edges, "q")
     return moved.groupBy(F.col("q2").alias("q")).agg(F.sum(F.col("p0") * F.col("p")).alias("p"), F.sum(F.col("v0") * F.col("p") + F.col("p0") * F.col("p") * F.col("c")).alias("v"))
+
+
+def edge_frame(spark: SparkSession, m: Automaton) -> DataFrame:
+    """``q, seg_id, q2, c``: an automaton's edges with their counts. It is as large as a grammar makes it, not the corpus."""
+    rows = [(q, s + 1, int(m.to[q, s]), m.out[q, s].tolist()) for q in range(m.states) for s in range(m.to.shape[1])]
+    return spark.createDataFrame(rows, "q int, seg_id int, q2 int, c array<long>").coalesce(1)
+
+
+def end_frame(spark: SparkSession, m: Automaton) -> DataFrame:
+    """``q, c``: the counts at a word's end in each state."""
+    return spark.createDataFrame([(q, m.end[q].tolist()) for q in range(m.states)], "q int, c array<long>").coalesce(1)
+
+
+def masses(edges: DataFrame, ends: DataFrame, weights: Sequence[float], longest: int, scale: float = 1.0) -> DataFrame:
+    """``len, z, v0, v1, ..``: for each length up to ``longest``, the sum of exp(-weights . counts) over all words from state 0, and the
+    same with each count.
+
+    States of all lengths below a power of two are moved on by that many segments at once, and the matrix that moves them is
+    squared: as many rounds as the greatest length has bits, each a join and a sum, written before the next.
+
+    :param scale: each segment's weight is divided by it, so that long words' sums stay in range.
+    """
+    names = range(len(weights))
+    vs = [f"v{i}" for i in names]
+    weight = F.exp(-dot(F.array(*map(F.lit, weights)).cast("array<double>"), F.col("c")))
+    sums = [F.sum("p").alias("p"), *[F.sum(v).alias(v) for v in vs]]
+
+    def counted(df: DataFrame, *keys: str, by: float = 1.0) -> DataFrame:
+        held = df.withColumn("p", weight / F.lit(by))
+        return held.withColumns({v: F.col("p") * F.get("c", F.lit(i)) for i, v in enumerate(vs)}).groupBy(*keys).agg(*sums)
+
+    def times(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        """Products of chances with their sums of counts: what ends in a state goes on from it."""
+        a = left.select(*keys, F.col("q2").alias("_at"), F.col("p").alias("_p"), *[F.col(v).alias(f"_{v}") for v in vs])
+        moved = a.join(right.withColumnRenamed("q", "_q"), F.col("_at") == F.col("_q")).select(*keys, "q2", (F.col("_p") * F.col("p")).alias("p"), *[(F.col("_p") * F.col(v) + F.col(f"_{v}") * F.col("p")).alias(v) for v in vs])
+        return moved.groupBy(*keys, "q2").agg(*sums)
+
+    spark = edges.sparkSession
+    power, step = written(counted(edges, "q", "q2", by=scale), "power", 1), 1
+    zero = [F.lit(0.0).alias(v) for v in vs]
+    held = written(spark.range(1).select(F.lit(0).alias("len"), F.lit(0).alias("q2"), F.lit(1.0).alias("p"), *zero), "masses", 1)
+    while step <= longest:
+        more = times(held, power, "len").withColumn("len", F.col("len") + step)
+        held = written(held.unionByName(more).where(F.col("len") <= longest), "masses", 1)
+        step *= 2
+        if step <= longest:
+            power = written(times(power, power, "q"), "power", 1)
+    stop = counted(ends, "q").select(F.col("q").alias("q2"), F.col("p").alias("_p"), *[F.col(v).alias(f"_{v}") for v in vs])
+    full = held.join(F.broadcast(stop), "q2").select("len", (F.col("p") * F.col("_p")).alias("z"), *[(F.col(v) * F.col("_p") + F.col("p") * F.col(f"_{v}")).alias(v) for v in vs])
+    return full.groupBy("len").agg(F.sum("z").alias("z"), *[F.sum(v).alias(v) for v in vs])
+
+
+def renumbered(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``old, new``: the states that ``start(q)`` reaches, numbered from 0 by the least number of steps and then by the old number."""
+    by = Window.orderBy("steps", "q")  # an automaton's states, which the grammar bounds
+    return reachable(edges, start).select(F.col("q").alias("old"), (F.row_number().over(by) - 1).alias("new"))
+
+
+def piecewise(words: DataFrame, m: Automaton, piece: int = 1024, fan: int = 64) -> DataFrame:
+    """``id, count`` of the first count of an automaton over words ``id, word`` of any length, each word dealt over tasks.
+
+    What a piece does is a function from the state before it to the state after it and the count in between. Such functions are
+    composed, ``fan`` neighbours at a time, until one is left for each word; no row holds more than a piece or so many functions.
+    """
+    n, states = m.to.shape[1], m.states
+    to, out, end = (F.array(*[F.lit(int(x)) for x in t.ravel()]) for t in (m.to, m.out[:, :, 0], m.end[:, 0]))
+    every = F.sequence(F.lit(0), F.lit(states - 1))
+
+    def step(held: Column, s: Column) -> Column:
+        at = held["q"] * n + s - 1
+        return F.struct(F.get(to, at).alias("q"), (held["k"] + F.get(out, at)).alias("k"))
+
+    start = lambda q: F.struct(q.cast("int").alias("q"), F.lit(0).alias("k"))
+    top = words.agg(F.max(F.size("word"))).first()[0] or 0
+    cut = words.where(F.size("word") > 0).select("id", "word", F.posexplode(F.sequence(F.lit(1), F.size("word"), F.lit(piece))).alias("at", "i"))
+    parts = cut.select("id", "at", F.slice("word", F.col("i"), F.lit(piece)).alias("part"))
+    # pieces are dealt anew, so that those of one word are not worked out where the word lies
+    dealt = parts.repartition("id", "at") if top > piece else parts
+    held = dealt.select("id", "at", F.transform(every, lambda q: F.aggregate("part", start(q), step)).alias("f"))
+    left = -(-top // piece)
+    while left > 1:
+        grouped = held.groupBy("id", F.floor(F.col("at") / fan).cast("int").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "f"))).alias("run"))
+        after = lambda h, x: F.transform(h, lambda y: F.struct(F.get(x["f"], y["q"])["q"].alias("q"), (y["k"] + F.get(x["f"], y["q"])["k"]).alias("k")))
+        held = grouped.select("id", "at", F.aggregate("run", F.transform(every, start), after).alias("f"))
+        left = -(-left // fan)
+    of = F.get("f", F.lit(0))
+    return held.select("id", (of["k"] + F.get(end, of["q"])).alias("count"))

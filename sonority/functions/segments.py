@@ -79,8 +79,8 @@ def lexicon(docs: DataFrame, segments: tuple[str, ...], *keys: str, read: Callab
     return of_tokens(tokens(docs, *keys), segments, *keys, read=read)
 
 
-def word_list(lines: DataFrame, segments: tuple[str, ...], strict: bool = False) -> DataFrame:
-    """Lines ``value`` of a word list: ``segs, freq``, in no order.
+def word_list(lines: DataFrame, segments: tuple[str, ...], strict: bool = False, extra: list[str] = ()) -> DataFrame:
+    """Lines ``value`` of a word list: ``segs, freq`` and the columns ``extra``, in no order.
 
     A line is a word and tab-separated fields; the fields must hold a single token that reads as a whole number, or
     the frequency is 1. With ``strict``, such lines are dropped. Lines without segments are dropped.
@@ -89,10 +89,10 @@ def word_list(lines: DataFrame, segments: tuple[str, ...], strict: bool = False)
     rest = F.filter(F.split(F.concat_ws(" ", F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(1)))), SPACE), lambda x: x != "")
     only = F.when(F.size(rest) == 1, rest[0])
     number = F.when(only.rlike("^-?[0-9]+$"), only.try_cast("int"))
-    found = lines.select(segmented(fields[0], segments).alias("segs"), number.alias("freq"), (F.size(rest) > 0).alias("told")).where(F.size("segs") > 0)
+    found = lines.select(segmented(fields[0], segments).alias("segs"), number.alias("freq"), (F.size(rest) > 0).alias("told"), *extra).where(F.size("segs") > 0)
     if strict:
-        return found.where("freq is not null or not told").select("segs", F.coalesce("freq", F.lit(1)).alias("freq"))
-    return found.select("segs", F.coalesce("freq", F.lit(1)).alias("freq"))
+        return found.where("freq is not null or not told").select("segs", F.coalesce("freq", F.lit(1)).alias("freq"), *extra)
+    return found.select("segs", F.coalesce("freq", F.lit(1)).alias("freq"), *extra)
 
 
 def serialised(rows: DataFrame, segments: tuple[str, ...], spaced: bool = False, write: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -145,12 +145,14 @@ def triples(words: DataFrame) -> DataFrame:
     """
 
     def counted(side: Column) -> Column:
-        return F.transform(F.array_distinct(side), lambda s: F.struct(s.alias("s"), F.size(F.filter(side, lambda x: x == s)).cast("long").alias("k")))
+        return F.transform(F.array_distinct(side), lambda s: F.struct(s.alias("s"), F.size(F.filter(side, lambda x: x == s)).alias("k")))
 
     middle = words.where(F.size("word") > 2).select("word", "freq", F.explode(F.sequence(F.lit(2), F.size("word") - 1)).alias("i"))
     sides = middle.select("freq", F.element_at("word", F.col("i")).alias("s2"), counted(F.slice("word", F.lit(1), F.col("i") - 1)).alias("before"), counted(F.slice("word", F.col("i") + 1, F.size("word") - F.col("i"))).alias("after"))
-    left = sides.select("freq", "s2", "after", F.explode("before").alias("b")).groupBy("s2", "after", F.col("b.s").alias("s1")).agg(F.sum(F.col("freq") * F.col("b.k")).alias("k"))
-    return left.select("s1", "s2", "k", F.explode("after").alias("a")).groupBy("s1", "s2", F.col("a.s").alias("s3")).agg(F.sum(F.col("k") * F.col("a.k")).alias("n"))
+    # tasks sum by three segments, whose combinations are bounded, before anything is shuffled
+    left = sides.select("freq", "s2", "after", F.explode("before").alias("b")).select("freq", "s2", "after", F.col("b.s").alias("s1"), F.col("b.k").alias("k"))
+    full = left.select("s1", "s2", (F.col("freq") * F.col("k")).alias("m"), F.explode("after").alias("a"))
+    return full.groupBy("s1", "s2", F.col("a.s").alias("s3")).agg(F.sum(F.col("m") * F.col("a.k")).alias("n"))
 
 
 def padded_sum(a: Column, b: Column) -> Column:

@@ -33,9 +33,9 @@ CELLS = "cells(seg_id, seg, feat_id, feat, state) as (values " + ", ".join(f"({s
 SEG_TABLE = "segtab(seg_id, seg) as (values " + ", ".join(f"({i + 1}, '{s}')" for i, s in enumerate(SEGS)) + ")"
 
 
-def _classes_sql() -> str:
-    full, known = (1 << len(SEGS)) - 1, LATIN.known()
-    rows = ", ".join(f"({2 * f + (s == '-')}, '{'−' if s == '-' else s}{name}', {LATIN.mask(name, s)}::bigint)" for name, f in known.items() for s in "+-")
+def classes_sql(table) -> str:
+    full, known = (1 << len(SEGS)) - 1, table.known()
+    rows = ", ".join(f"({2 * f + (s == '-')}, '{'−' if s == '-' else s}{name}', {table.mask(name, s)}::bigint)" for name, f in known.items() for s in "+-")
     return f"""lit(o, t, m) as (values {rows}),
 c0 as (select {full}::bigint as mask, []::int[] as ords, []::varchar[] as parts),
 c1 as (select m as mask, [o] as ords, [t] as parts from lit),
@@ -49,7 +49,7 @@ classes as (select row_number() over (order by bit_count(mask) desc, mask) as cl
 member as (select class_id, i::int as seg_id from classes, range(1, {len(SEGS) + 1}) t(i) where (mask >> (i - 1)) & 1 = 1)"""
 
 
-CLASSES = _classes_sql()
+CLASSES = classes_sql(LATIN)
 
 
 def ends_sql(name: str, text: str) -> str:

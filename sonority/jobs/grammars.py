@@ -169,35 +169,6 @@ edges as (select q::int as q, seg_id, q2::int as q2, n, n / sum(n) over (partiti
 ab as (select q, q2, sum(p * exp(-(case when q = 0 and q2 = 0 then 1 else 0 end))) as p, max(case when q = 0 and q2 = 0 then 1 else 0 end) as c from edges group by q, q2)"""
 
 
-def _steps(spark, d, n: int = 5) -> DataFrame:
-    """Mass and expected consonant pairs of each length under a weight of one on such pairs."""
-    pair = (F.col("q") == 0) & (F.col("q2") == 0)
-    hops = _edges(spark, d).groupBy("q", "q2").agg(F.sum(F.col("p") * F.exp(-pair.cast("double"))).alias("p")).withColumn("c", ((F.col("q") == 0) & (F.col("q2") == 0)).cast("int"))
-    # an edge for each pair of states: the corpus is read once, not once a step
-    hops = spark.createDataFrame(hops.collect(), hops.schema).coalesce(1)
-    mass = spark.createDataFrame([(0, 1.0, 0.0)], "q int, p double, v double").coalesce(1)
-    out = []
-    for k in range(1, n + 1):
-        mass = automata.advanced(mass, F.broadcast(hops))
-        out.append(mass.select(F.lit(k).alias("len"), "q", "p", "v"))
-    return S.union_all(out)
-
-
-def _steps_sql(n: int = 5) -> str:
-    parts = ["m0 as (select 0 as q, 1.0::double as p, 0.0::double as v)"]
-    for k in range(1, n + 1):
-        parts.append(f"m{k} as (select ab.q2 as q, sum(m.p * ab.p) as p, sum(m.v * ab.p + m.p * ab.p * ab.c) as v from m{k - 1} m join ab on ab.q = m.q group by ab.q2)")
-    return f"{_EDGES}, {', '.join(parts)}, ms as ({' union all '.join(f'select {k} as len, * from m{k}' for k in range(1, n + 1))})"
-
-
-def _q_partition(spark, d):
-    return _steps(spark, d).groupBy("len").agg(F.round(F.sum("p"), 8).alias("z"))
-
-
-def _q_expected(spark, d):
-    return _steps(spark, d).groupBy("len").agg(F.round(F.sum("v") / F.sum("p"), 8).alias("expected"))
-
-
 def _q_product(spark, d):
     """The automaton of vowels run beside that of nasals; weights are the corpus's counts."""
     pairs = S.ngrams(words(spark, d), 2)
@@ -275,17 +246,6 @@ walk(len, p0, p1, v0, v1) as (select 0, 1.0::double, 0.0::double, 0.0::double, 0
   union all select len + 1, p0 * aa + p1 * ba, p0 * ab + p1 * bb, (v0 + p0) * aa + v1 * ba, v0 * ab + v1 * bb from walk, a where len < (select max(len) from lf))
 select round(sum(n * ln(p0 + p1)), 4) as log_partition, round(sum(n * (v0 + v1) / (p0 + p1)), 4) as expected from walk join lf using (len)"""
 
-#: The same letters without digraphs.
-_SINGLE = LATIN.resegmented([s for s in SEGS if len(s) == 1])
-
-
-def _q_resegmented(spark, d):
-    """The lexicon under another table, from the tokens that are kept and not from the text."""
-    kept = S.tokens(docs(spark, d))
-    return S.of_tokens(kept, _SINGLE.segments).select(F.array_join(S.named(F.col("word"), _SINGLE.segments), " ").alias("segs"), "freq")
-
-
-_RESEGMENTED = f"with {_TOK}, tw as (select token, count(*) as n from tok where token <> '' group by all), sw as (select regexp_extract_all(token, '{S.alternation(_SINGLE.segments)}') as segs, n from tw) select array_to_string(segs, ' ') as segs, sum(n)::bigint as freq from sw where len(segs) > 0 group by segs"
 _RULES = {"r1": "CC", "r2": "VV", "r3": "#[+nasal]", "r4": "[−sonorant][+nasal]"}
 
 
@@ -310,15 +270,6 @@ def _serialise_sql() -> str:
     return f"with {WORDS}, {ENC}, v as (select freq, {each} from enc), s as ({sums}) select name, printf('%.3f  %s', round(ln((select sum(freq * len(word)) from lex) / (violations + 1)), 6), shown) as line from s"
 
 
-def _q_sample(spark, d):
-    """As many words as the corpus has documents, sampled from its rules."""
-    rules = _rules(spark, d).orderBy("name").collect()
-    lengths = {r["len"]: r["n"] for r in S.length_frequencies(words(spark, d)).where("len > 0").collect()}
-    grammar = Grammar(lengths, [parse_glob(_RULES[r["name"]]) for r in rules], [r["weight"] for r in rules])
-    n = docs(spark, d).count()
-    return sampled_frame(spark, grammar, LATIN, n).select("row_id", F.array_join(S.named(F.col("word"), SEGS), " ").alias("segs"))
-
-
 #: The Latin table with a few features, so that a grammar is soon learnt to its end.
 _FEW = ("syllabic", "nasal", "labial")
 BROAD = FeatureTable(SEGS, _FEW, tuple(LATIN.states[LATIN.features.index(f)] for f in _FEW))
@@ -357,14 +308,10 @@ QUERIES = {
     "candidate_rows": _q_candidate_rows,
     "reach_counts": _q_reach,
     "partition_total": _q_partition_total,
-    "resegmented_lexicon": _q_resegmented,
-    "partition_by_length": _q_partition,
-    "expected_violations": _q_expected,
     "automaton_product": _q_product,
     "reachable_states": _q_reachable,
     "reverse_edges": _q_reverse,
     "grammar_serialise": _q_serialise,
-    "sample_words": _q_sample,
     "learn_small": _q_learn,
     "collate_stream": _q_stream,
 }
@@ -380,9 +327,6 @@ SQL = {
     "candidate_rows": f"{_COUNTED} {_CANDIDATE_ROWS}",
     "reach_counts": _REACH,
     "partition_total": _PARTITION_TOTAL,
-    "resegmented_lexicon": _RESEGMENTED,
-    "partition_by_length": f"{_steps_sql()} select len, round(sum(p), 8) as z from ms group by len",
-    "expected_violations": f"{_steps_sql()} select len, round(sum(v) / sum(p), 8) as expected from ms group by len",
     "automaton_product": _PRODUCT,
     "reachable_states": _REACHABLE,
     "reverse_edges": _REVERSE,
