@@ -283,12 +283,13 @@ def with_counts(rows: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     spark = rows.sparkSession
     counts = written(pair_counts(rows), "pair-counts")
     limit = _hot_limit(counts, hot_pairs)
-    hot = counts.where(F.col("docs") >= limit).toPandas().sort_values("key")
+    hot = counts.where(F.col("docs") >= limit).toArrow().sort_by("key")
     best = counts.groupBy(F.shiftright("key", LOW).alias("a")).agg(F.max("docs").alias("best"))
-    highest = best.toPandas()
-    top = np.zeros(int(highest["a"].max()) + 1 if len(highest) else 1, np.int64)
-    top[highest["a"].to_numpy(np.int64)] = highest["best"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast((hot["key"].to_numpy(np.uint32), hot["docs"].to_numpy(np.int64), top))
+    highest = best.toArrow()
+    ids = highest.column("a").to_numpy().astype(np.int64)
+    top = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+    top[ids] = highest.column("best").to_numpy()
+    shared = spark.sparkContext.broadcast((hot.column("key").to_numpy().astype(np.uint32), hot.column("docs").to_numpy(), top))
 
     def looked_up(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         known, docs, _ = shared.value

@@ -33,24 +33,39 @@ FREQUENT = 1 << 20
 COUNTED, PORTION, BLOCK, NEIGHBOURS = 1 << 22, 1 << 22, 1024, 2
 #: Rounds that compare neighbours of different classes, at most.
 ROUNDS = 5
+#: They end when fewer than one in so many pairs links: the pairs that are left are mostly of what doesn't.
+YIELD = 20
 #: Up to so many members of a key are all compared in the first round.
 SMALL = NEIGHBOURS + 2
 NONE = np.zeros(0, np.uint64)
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Odd multipliers of the words of a shingle, and of its last mixing.
+_ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(64)], np.uint64)
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Distinct hashes of the runs of ``words`` words, ascending; of fewer words, the hash of all; of none, nothing."""
+    """Distinct hashes of the runs of ``words`` words, ascending; of fewer words, the hash of all; of none, nothing.
+
+    Words are hashed to 64 bits each, and a run's hash takes in one after another, multiplied and mixed.
+    """
     parts = (text or "").encode("utf-8", "replace").translate(_UPPER).split()
     if not parts:
         return NONE
-    joined = b" ".join(parts)
     digest = xxhash.xxh3_64_intdigest
-    if len(parts) <= words:
-        return np.array([digest(joined)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())), np.uint64, len(parts) - words + 1))
+    if len(parts) < words:
+        return np.array([digest(b" ".join(parts), 1)], np.uint64)
+    of = np.fromiter(map(digest, parts), np.uint64, len(parts))
+    n = len(parts) - words + 1
+    out = of[:n] * _ODD[0]
+    for k in range(1, words):
+        # multipliers of another place, so that the order of words counts
+        out ^= out >> np.uint64(29)
+        out += of[k : n + k] * _ODD[k % len(_ODD)]
+        out *= _ODD[-1]
+    out ^= out >> np.uint64(32)
+    return np.unique(out)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -116,10 +131,10 @@ def ordering(docs: DataFrame, words: int = WORDS):
     while least and run + by.get(least - 1, 0) <= FREQUENT:
         least -= 1
         run += by.get(least, 0)
-    rows = found.where(F.col("n") >= 1 << least).toPandas()
-    keys = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return docs.sparkSession.sparkContext.broadcast((keys[order], rows["n"].to_numpy(np.int64)[order]))
+    rows = found.where(F.col("n") >= 1 << least).toArrow()
+    keys, often = (rows.column(c).to_numpy() for c in ("shingle", "n"))
+    order = np.argsort(keys.view(np.uint64))
+    return docs.sparkSession.sparkContext.broadcast((keys.view(np.uint64)[order], often[order]))
 
 
 def counted(known: np.ndarray, often: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -333,16 +348,9 @@ def likely(pairs: DataFrame, groups: DataFrame, shared, at_least: Fraction = SIM
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int = WORDS, at_least: Fraction = SIMILARITY) -> DataFrame:
-    """Pairs ``a, b`` of numbers of sets whose whole sets link.
-
-    The sets are made anew from the texts of the documents that are wanted.
-
-    :param distinct: ``u, digest, first_id``: number and digest of each set, and a document that has it.
-    """
-    wanted = pairs.select(F.col("a").alias("u")).union(pairs.select(F.col("b").alias("u"))).distinct()
-    wanted = written(distinct.select("u", "digest", "first_id").join(wanted, "u", "left_semi"), "wanted")
-    ids = wanted.select(F.col("first_id").alias("_id"), F.lit(True).alias("_has")).distinct()
+def held_sets(wanted: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``u, held``: the whole sets that ``wanted(u, digest, first_id)`` names, made anew from the texts of the documents that have them."""
+    ids = wanted.select(F.col("first_id").alias("_id")).distinct()
     some = docs.select("doc_id", "text").join(few(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).select(text_or_empty().alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +360,12 @@ def verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int
 
     # of rows that share an id, only those with the wanted digest stay; where copies share an id too, one stays
     made = written(some.mapInArrow(each, "digest binary, held binary").join(wanted.select("digest", "u"), "digest").select("u", "held"), "held")
-    if made.count() > wanted.count():
-        made = written(made.dropDuplicates(["u"]), "held")
-    left, right = (made.select(F.col("u").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
+    return written(made.dropDuplicates(["u"]), "held") if made.count() > wanted.count() else made
+
+
+def verified(pairs: DataFrame, held: DataFrame, at_least: Fraction = SIMILARITY) -> DataFrame:
+    """Pairs ``a, b`` of numbers of sets whose whole sets, as ``held(u, held)``, link."""
+    left, right = (held.select(F.col("u").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -404,7 +415,18 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
     ordered = (F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b"))
     first = good.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered)
     pairs = written(inside.where("a is not null").select("a", "b").union(first).distinct(), "pairs")
-    edges = written(verified(pairs, distinct, docs, words, at_least), "edges")
+    of_sets = distinct.select("u", "digest", "first_id")
+    wanted = written(of_sets.join(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi"), "wanted")
+    held = held_sets(wanted, docs, words)
+    found = written(verified(pairs, held, at_least), "edges")
+    classed = named.select("u", "g", F.col("u").alias("root"))
+
+    def joined(classed: DataFrame, found: DataFrame) -> DataFrame:
+        """Classes after more links: only the classes that these link are put together."""
+        of = lambda c: classed.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
+        edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        roots = components(edges).select("node", F.col("root").alias("_new"))
+        return written(classed.join(few(roots), F.col("root") == F.col("node"), "left").select("u", "g", F.coalesce("_new", "root").alias("root")), "classed")
 
     def mixed(filed_rows: DataFrame, of: DataFrame) -> DataFrame:
         """Rows of keys that hold more than one class."""
@@ -412,25 +434,32 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
         keys = full.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select("key")
         return full.join(keys, "key", "left_semi")
 
+    tried = linked_now = 0
     for turn in range(1, ROUNDS + 1):
         # what may link and is in different classes still
-        classed = named.join(components(edges), F.col("u") == F.col("node"), "left").select("u", "g", F.coalesce("root", "u").alias("root"))
-        classed = written(classed, "classed")
+        classed = joined(classed, found)
         spans = written(classed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")), "spans")
         own = classed.select(F.col("u").alias("id"), F.col("root").alias("low"), F.col("root").alias("high"))
         by_group = spans.select(F.col("g").alias("id"), "low", "high")
         inside, between = (written(mixed(rows_of, of), "mixed") for rows_of, of in ((inside, own), (between, by_group)))
         inside, between = (x.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "key", "id", "n", "at", "low", "high") for x in (inside, between))
-        if turn == ROUNDS or inside.isEmpty() and between.isEmpty():
+        if turn == 1:
+            # whatever is compared from now on is under these keys or in groups that have met: the texts are read once more for all of it
+            several = good.select(F.explode(F.array("a", "b")).alias("g")).join(firsts.where("members > 1").select("g"), "g")
+            of_groups = between.select(F.col("id").alias("g")).union(several).distinct().join(named.select("g", "u"), "g").select("u")
+            more = of_groups.union(inside.select(F.col("id").alias("u"))).distinct().join(held.select("u"), "u", "left_anti")
+            wanted = written(of_sets.join(more, "u", "left_semi"), "wanted")
+            if not wanted.isEmpty():
+                held = written(held.union(held_sets(wanted, docs, words)), "held")
+        if turn == ROUNDS or turn > 1 and linked_now * YIELD < max(tried, 1) or inside.isEmpty() and between.isEmpty():
             break
         apart = written(strangers(between, turn, at_least).join(met_groups, ["a", "b"], "left_anti"), "strangers")
         passed = written(likely(apart, groups, shared, at_least), "likely")
         met_groups, good = written(met_groups.union(apart), "group-pairs"), written(good.union(passed), "likely")
         pairs = passed.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered).union(strangers(inside, turn, at_least)).distinct()
-        found = written(verified(written(pairs, "pairs"), distinct, docs, words, at_least), "edges")
-        if found.isEmpty():
-            break
-        edges = written(edges.union(found), "edges")
+        pairs = written(pairs, "pairs")
+        found = written(verified(pairs, held, at_least), "edges")
+        tried, linked_now = pairs.count(), found.count()
 
     # the last round: all pairs that are left
     more = across(inside, at_least).distinct()
@@ -444,10 +473,9 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
     expanded = several.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select(*ordered)
     rest = written(expanded.union(more).distinct(), "open-pairs")
     if not rest.isEmpty():
-        late = written(verified(rest, distinct, docs, words, at_least), "late-edges")
+        late = written(verified(rest, held, at_least), "late-edges")
         if not late.isEmpty():
-            roots = components(edges.union(late))
-            classed = distinct.select("u").join(roots, F.col("u") == F.col("node"), "left").select("u", F.coalesce("root", "u").alias("root"))
+            classed = joined(classed, late)
 
     rooted = written(distinct.select("u", "digest", "first_id", "copies").join(classed.select("u", "root"), "u"), "rooted")
     total = rooted.count()
