@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import portions, table, text_or_empty, written
+from sonority.llm.common import finished, portions, table, text_or_empty, written
 from sonority.llm.token_store import MISSING, Encoder
 
 #: Bits of the second tokenizer's id in a pair's key.
@@ -335,6 +335,10 @@ def cross_alignment(docs: DataFrame, path_a: str, path_b: str, hot_pairs: int =
     :param path_a: a byte-level vocabulary of the tokenizers library; ``path_b``: a sentencepiece model that adds a space.
     :return: ``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256``.
     """
+    return finished(docs.sparkSession, "alignment", lambda: _cross_alignment(docs, path_a, path_b, hot_pairs))
+
+
+def _cross_alignment(docs: DataFrame, path_a: str, path_b: str, hot_pairs: int) -> DataFrame:
     rows = aligned(docs, path_a, path_b)
     sums = with_counts(rows, hot_pairs)
     slim = rows.select("row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")

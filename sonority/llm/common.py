@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -88,6 +88,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         remove(spark, *_OPEN.pop())
 
 
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; all tables that it wrote on the way are deleted."""
+    path = new_path(spark, name)
+    with scratch(spark):
+        found = make()
+        found.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def met(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """Join many ``rows`` to their one row of ``groups`` by ``key``, whatever one key's share of the rows is.
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import few, met, portions, table, text_or_empty, written
+from sonority.llm.common import few, finished, met, portions, table, text_or_empty, written
 from sonority.llm.components import components
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
@@ -386,6 +386,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SI
         set; null if nothing else is in it. Repeated rows are all returned; an empty table gives none.
     :return: ``doc_id, n_shingles, component_id``.
     """
+    return finished(docs.sparkSession, "classes", lambda: _jaccard_classes(docs, words, at_least))
+
+
+def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFrame:
     shared = ordering(docs, words)
     rows = written(sets(docs, shared, words, at_least), "sets")
     some = rows.where("n > 0")

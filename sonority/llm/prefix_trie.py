@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonority.llm.common import met, table, written
+from sonority.llm.common import finished, met, table, written
 
 #: Levels of a band, and bytes of a node's digest.
 HEIGHT, WIDE = 8, 16
@@ -192,6 +192,10 @@ def prefix_trie(turns: DataFrame, height: int = HEIGHT) -> DataFrame:
         ``conv_id`` are in no conversation. An empty table has no node, not even a root.
     :return: ``conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256``, a row for each node.
     """
+    return finished(turns.sparkSession, "trie", lambda: _prefix_trie(turns, height))
+
+
+def _prefix_trie(turns: DataFrame, height: int) -> DataFrame:
     rows = ordered(turns)
     slim = written(rows, "turns")
     plan = rebuilt(slim)
