@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sonority.llm import decontaminate, mixing, quality, simhash, token_store
-from sonority.llm.common import table, written
+from sonority.llm.common import finished, forget, table
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -23,8 +23,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; what each keeps is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``; what each keeps is written to the shared folder and read again.
+
+    A stage's own tables are deleted once its result is written, and that once the next stage's is. The last stage's stay, for the
+    result reads them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = finished(spark, name.replace(" ", "-"), lambda: stage(spark, docs, sf_dir))  # noqa: B023
+        if before is not None:
+            forget(before)
+        docs = before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
