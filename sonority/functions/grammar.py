@@ -144,7 +144,7 @@ def line_search(slope: Callable[[float], float], tolerance: float = 0.005, first
     return (low + high) / 2
 
 
-def descended(at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, onto: Callable[[np.ndarray], tuple[np.ndarray, bool]] = project, step: float = 0.01, most: int = 200) -> np.ndarray:
+def descended(at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, onto: Callable[[np.ndarray], tuple[np.ndarray, bool]] = project, step: float = 0.01, most: int = 200, tolerance: float = 0.005) -> np.ndarray:
     """Where a function is least, by conjugate gradients with restarts; stops when a step is shorter than ``step``.
 
     :param at: value and gradient at a place; ``onto``: the allowed place next to one, and whether it was clearly outside.
@@ -159,7 +159,7 @@ def descended(at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nd
         if norm < 1e-9:
             break
         unit = direction / norm
-        length = line_search(lambda t: float(at(w + t * unit)[1] @ unit))
+        length = line_search(lambda t: float(at(w + t * unit)[1] @ unit), tolerance)
         new, corrected = onto(w + length * unit)
         moved = np.linalg.norm(new - w)
         _, fresh = at(new)
@@ -174,9 +174,26 @@ def descended(at: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nd
     return w
 
 
-def fit_weights(m: Automaton, lengths: np.ndarray, observed: np.ndarray, start: np.ndarray, step: float = 0.01, most: int = 200) -> np.ndarray:
+def fit_weights(m: Automaton, lengths: np.ndarray, observed: np.ndarray, start: np.ndarray, step: float = 0.01, most: int = 200, tolerance: float = 0.005) -> np.ndarray:
     """Weights of the greatest likelihood."""
-    return descended(objective(m, lengths, observed), start, project, step, most)
+    return descended(objective(m, lengths, observed), start, project, step, most, tolerance)
+
+
+def certificate(masses: DataFrame, lengths: DataFrame, observed: DataFrame, weights: dict[str, float], within: float = 0.01) -> DataFrame:
+    """Whether weights are the best ones: ``name, weight, observed, expected, slope, optimal``.
+
+    The slope of the objective is the observed count less the expected one, and one for the prior. It must be zero where a weight is
+    positive, and not below zero where it is zero: there, less weight isn't allowed and more makes it worse.
+
+    :param masses: ``len, z, v0, v1, ..`` under the weights, in their order; ``lengths``: ``len, n``; ``observed``: ``name, violations``.
+    :param within: how far a slope may be off, as a share of the observed count and one.
+    """
+    sums = masses.join(lengths.where("n > 0"), "len").agg(*[F.sum(F.col("n") * F.col(f"v{i}") / F.col("z")).alias(k) for i, k in enumerate(weights)])
+    held = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    full = sums.unpivot([], list(weights), "name", "expected").join(observed, "name").withColumn("weight", held[F.col("name")])
+    slope, off = F.col("violations") - F.col("expected") + 1, F.lit(within) * (F.col("violations") + 1)
+    optimal = F.when(F.col("weight") > 0, F.abs(slope) <= off).otherwise(slope >= -off)
+    return full.select("name", "weight", F.col("violations").alias("observed"), "expected", slope.alias("slope"), optimal.alias("optimal"))
 
 
 def unit_floats(spark_seed: int, row: np.ndarray, step: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from sonority.functions import automata, classes as C
 from sonority.functions import segments as S
 from sonority.functions.features import LATIN
 from sonority.functions.globs import parse_glob
-from sonority.functions.grammar import sampled_frame
+from sonority.functions.grammar import certificate, fit_weights, Grammar, sampled_frame
+from sonority.functions.violations import of_globs
 from sonority.jobs.corpus import _LIST, ENC, SEGS, WORDS, classes_sql, docs, ends_sql, words
 from sonority.jobs.folds import _corpus_grammar
 from sonority.jobs.grammars import _REACHABLE, _RULES, _strong, BROAD
@@ -131,7 +133,41 @@ f as (select 0 as rank, 'single' as family, class_id as c1, 0 as c2, 0 as place,
   union all select 5, 'long_distance', a.class_id, 0, place, c.class_id, -a.size - c.size, a.label || l || '₁' || c.label from k a, mid, k c)
 select row_number() over (order by rank, weight, c1, c2, place, c3)::int as ordinal, family, "glob", weight from f"""
 
+#: Rules of single, disjoint classes: two that words have less of than they might, one that they have more of.
+_PLAIN = {"p1": "[+round]", "p2": "[+voice −sonorant]", "p3": "[+nasal]"}
+
+
+def _q_certificate(spark, d):
+    """The best weights of rules of single classes, and that they are the best."""
+    held = words(spark, d)
+    rules = {k: parse_glob(g) for k, g in _PLAIN.items()}
+    observed = written(of_globs(held, rules, LATIN), "observed", 1)
+    lengths = written(S.length_frequencies(held).where("len > 0"), "lengths", 1)
+    number = {r["len"]: r["n"] for r in lengths.collect()}
+    if not number:
+        return spark.createDataFrame([], "name string, weight double, observed long, share double, optimal boolean")
+    counts = {r["name"]: float(r["violations"]) for r in observed.collect()}
+    m = Grammar(number, list(rules.values()), [0.0] * len(rules)).automaton(LATIN)
+    best = fit_weights(m, np.array([number.get(k, 0) for k in range(max(number) + 1)], float), np.array([counts[k] for k in rules]), np.zeros(len(rules)), 1e-7, 500, 1e-8)
+    masses = automata.masses(automata.edge_frame(spark, m), automata.end_frame(spark, m), best.tolist(), max(number), _N)
+    told = certificate(masses, lengths, observed, dict(zip(rules, best.tolist())))
+    return told.select("name", F.round("weight", 4).alias("weight"), "observed", F.round(F.col("expected") / (F.col("observed") + 1), 4).alias("share"), "optimal")
+
+
+def _certificate_sql() -> str:
+    """In closed form: with weights for the first two, the expected counts of these are the observed ones and one."""
+    size = [parse_glob(g).sets(LATIN)[0][1].bit_count() for g in _PLAIN.values()]
+    sums = ", ".join(f"sum(freq * {k})::bigint as o{i}" for i, k in enumerate(_PLAIN))
+    r0, r1 = "(o0 + 1) / t", "(o1 + 1) / t"
+    return f"""with {WORDS}, {ENC}, v as (select freq, len(word) as n, {', '.join(ends_sql(k, g) for k, g in _PLAIN.items())} from enc),
+s as (select {sums}, sum(freq * n)::double as t from v), x as (select *, {_N - size[0] - size[1]} / (1 - {r0} - {r1}) as whole from s)
+select 'p1' as name, round(-ln({r0} * whole / {size[0]}), 4) as weight, o0 as observed, 1.0 as share, true as optimal from x
+union all select 'p2', round(-ln({r1} * whole / {size[1]}), 4), o1, 1.0, true from x
+union all select 'p3', 0.0, o2, round({size[2]} * t / whole / (o2 + 1), 4), true from x"""
+
+
 QUERIES = {
+    "weights_certificate": _q_certificate,
     "partition_by_length": _q_partition,
     "expected_violations": _q_expected,
     "sample_words": _q_sample,
@@ -140,6 +176,7 @@ QUERIES = {
     "candidate_rows_wide": _q_wide_candidates,
 }
 SQL = {
+    "weights_certificate": _certificate_sql(),
     "partition_by_length": _PARTITION,
     "expected_violations": _EXPECTED,
     "sample_words": _SAMPLE,

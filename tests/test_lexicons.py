@@ -107,3 +107,25 @@ def test_triples_are_all_choices(spark):
                 for k in range(j + 1, len(w)):
                     want[w[i], w[j], w[k]] = want.get((w[i], w[j], w[k]), 0) + n
     assert got == want
+
+
+def test_certificate_tells_best_weights_from_others(spark):
+    from sonority.functions import grammar
+
+    rules = {"a": parse_glob("[−vowel][−vowel]"), "b": parse_glob("[+nasal]#"), "c": parse_glob("[+vowel]")}
+    words = [([1, 2, 1], 30), ([2, 1], 25), ([3, 1, 2], 8), ([2, 3], 2), ([1, 1, 3, 1], 12)]
+    m = Grammar({1: 1}, list(rules.values()), [0.0] * 3).automaton(SMALL)
+    number = np.zeros(5)
+    for w, n in words:
+        number[len(w)] += n
+    counts = sum(m.count([s - 1 for s in w]) * n for w, n in words).astype(float)
+    lengths = spark.createDataFrame([(k, int(n)) for k, n in enumerate(number)], "len int, n long")
+    observed = spark.createDataFrame([(k, int(c)) for k, c in zip(rules, counts)], "name string, violations long")
+
+    def told(weights):
+        masses = automata.masses(automata.edge_frame(spark, m), automata.end_frame(spark, m), weights, 4, 3.0)
+        return {r["name"]: r["optimal"] for r in grammar.certificate(masses, lengths, observed, dict(zip(rules, weights))).collect()}
+
+    best = grammar.fit_weights(m, number, counts, np.zeros(3), 1e-6, 400, 1e-7).tolist()
+    assert all(told(best).values()) and min(best) == 0.0 < max(best)
+    assert not all(told([w + 0.5 for w in best]).values()) and not all(told([0.0, 0.0, 0.0]).values())
