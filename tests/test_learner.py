@@ -52,8 +52,21 @@ def listed(table, settings):
 
 
 def counted(globs, table, words):
-    machines = [automata.counter(g.initial, g.final, g.sets(table), len(table.segments)) for g in globs]
-    return np.array([sum(int(m.count([s - 1 for s in w])[0]) * n for w, n in words) for m in machines], float)
+    """Globs of plain parts by looking at each different run of segments once, others by running their automata over each word."""
+    runs, out = {}, []
+    for w, n in words:
+        for size in (1, 2, 3):
+            for i in range(len(w) - size + 1):
+                key = tuple(w[i : i + size])
+                runs[key] = runs.get(key, 0) + n
+    for g in globs:
+        sets = g.sets(table)
+        if g.initial or g.final or any(rep for rep, _ in sets) or len(sets) > 3:
+            m = automata.counter(g.initial, g.final, sets, len(table.segments))
+            out.append(sum(int(m.count([s - 1 for s in w])[0]) * n for w, n in words))
+        else:
+            out.append(sum(n for key, n in runs.items() if len(key) == len(sets) and all(mask >> s - 1 & 1 for s, (_, mask) in zip(key, sets))))
+    return np.array(out, float)
 
 
 def brute(words, table, settings, thresholds, samples, seed, most_rules=None, candidates=None):
