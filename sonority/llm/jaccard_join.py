@@ -12,7 +12,7 @@ different classes. So a group of near copies is never expanded to all its pairs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -31,10 +31,10 @@ WORDS, SIMILARITY = 5, Fraction(4, 5)
 FREQUENT = 1 << 20
 #: Shingles counted at once; text bytes handled at once; members of a key compared at once; neighbours compared in the first round.
 COUNTED, PORTION, BLOCK, NEIGHBOURS = 1 << 22, 1 << 22, 1024, 2
-#: Rounds that compare neighbours of different classes, at most.
-ROUNDS = 5
-#: They end when fewer than one in so many pairs links: the pairs that are left are mostly of what doesn't.
-YIELD = 20
+#: Rounds, at most, that compare neighbours of different classes; they end when one finds no link.
+ROUNDS = 7
+#: Items of a tile's side, as a power of two.
+TILE_BITS = 8
 #: Up to so many members of a key are all compared in the first round.
 SMALL = NEIGHBOURS + 2
 NONE = np.zeros(0, np.uint64)
@@ -328,24 +328,47 @@ def most_common(p: np.ndarray, q: np.ndarray, n: int, m: int, known: np.ndarray,
     return common + min(n - n_known, m - m_known)
 
 
+def tiled(pairs: DataFrame, items: DataFrame, payload: str, alike: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """The ``pairs`` ``a, b`` of which ``alike`` holds, given each item's ``payload`` and ``n``.
+
+    Items are put in the order of their payload's beginning, which similar ones mostly share, and cut into runs of two to the ``TILE_BITS``. Pairs of
+    the same two runs are compared in one task, to which each of their items comes once, however many pairs it is in.
+
+    :param items: ``id, n`` and ``payload``, bytes.
+    """
+    spark = pairs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "tile-ids")
+    near = items.select("id", F.substring(payload, 1, 8).alias("near")).join(few(ids), "id", "left_semi")
+    runs = near.repartitionByRange(tasks, "near", "id").sortWithinPartitions("near", "id").select("id", F.shiftright(F.monotonically_increasing_id(), TILE_BITS).alias("run"))
+    runs = written(runs, "tile-runs")
+    of = lambda c: runs.select(F.col("id").alias(c), F.col("run").alias(f"run_{c}"))
+    placed = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("run_a", "run_b").alias("i"), F.greatest("run_a", "run_b").alias("j"))
+    placed = written(placed, "tiles")
+    needed = placed.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.explode(F.array("a", "b")).alias("id")).distinct().join(items.select("id", "n", payload), "id")
+
+    def compare(of_tile: pa.Table, with_items: pa.Table) -> pa.Table:
+        known = {}
+        for id_, n, raw in zip(*(with_items.column(c).to_pylist() for c in ("id", "n", payload))):
+            known[id_] = (n, np.frombuffer(raw, "<u8"))
+        a, b = of_tile.column("a").to_pylist(), of_tile.column("b").to_pylist()
+        hit = [alike(known[x], known[y]) for x, y in zip(a, b)]
+        return of_tile.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return placed.groupBy("i", "j").cogroup(needed.groupBy("_i", "_j")).applyInArrow(compare, "a long, b long")
+
+
 def likely(pairs: DataFrame, groups: DataFrame, shared, at_least: Fraction = SIMILARITY) -> DataFrame:
     """Pairs ``a, b`` of groups that may link by what their prefixes tell.
 
     :param groups: ``g, n, prefix``.
     """
-    wanted = written(pairs.select(F.col("a").alias("g")).union(pairs.select(F.col("b").alias("g"))).distinct(), "wanted-groups")
-    some = groups.select("g", "n", "prefix").join(few(wanted), "g", "left_semi")
-    left, right = (some.select(F.col("g").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"p_{c}")) for c in "ab")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
-        for b in batches:
-            p, q = ([np.frombuffer(v.as_buffer(), "<u8") for v in b.column(f"p_{c}")] for c in "ab")
-            n, m = (b.column(f"n_{c}").to_pylist() for c in "ab")
-            hit = [most_common(*x, known, often) * (at_least.numerator + at_least.denominator) >= at_least.numerator * (x[2] + x[3]) for x in zip(p, q, n, m)]
-            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+    def alike(x: tuple, y: tuple) -> bool:
+        most = most_common(x[1], y[1], x[0], y[0], *shared.value)
+        return most * (at_least.numerator + at_least.denominator) >= at_least.numerator * (x[0] + y[0])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(keep, "a long, b long")
+    return tiled(pairs, groups.select(F.col("g").alias("id"), "n", "prefix"), "prefix", alike)
 
 
 def held_sets(wanted: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -365,15 +388,8 @@ def held_sets(wanted: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFra
 
 def verified(pairs: DataFrame, held: DataFrame, at_least: Fraction = SIMILARITY) -> DataFrame:
     """Pairs ``a, b`` of numbers of sets whose whole sets, as ``held(u, held)``, link."""
-    left, right = (held.select(F.col("u").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), "<u8") for v in b.column(f"held_{c}")] for c in "ab")
-            hit = [linked(p, q, at_least) for p, q in zip(x, y)]
-            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "held_a", "held_b").mapInArrow(compare, "a long, b long")
+    items = held.select(F.col("u").alias("id"), F.lit(0).alias("n"), "held")
+    return tiled(pairs, items, "held", lambda x, y: linked(x[1], y[1], at_least))
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, at_least: Fraction = SIMILARITY) -> DataFrame:
@@ -438,7 +454,7 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
         keys = full.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select("key")
         return full.join(keys, "key", "left_semi")
 
-    tried = linked_now = 0
+    linked_now = 0
     for turn in range(1, ROUNDS + 1):
         # what may link and is in different classes still
         classed = joined(classed, found)
@@ -455,7 +471,7 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
             wanted = written(of_sets.join(more, "u", "left_semi"), "wanted")
             if not wanted.isEmpty():
                 held = written(held.union(held_sets(wanted, docs, words)), "held")
-        if turn == ROUNDS or turn > 1 and linked_now * YIELD < max(tried, 1) or inside.isEmpty() and between.isEmpty():
+        if turn == ROUNDS or turn > 1 and not linked_now or inside.isEmpty() and between.isEmpty():
             break
         apart = written(strangers(between, turn, at_least).join(met_groups, ["a", "b"], "left_anti"), "strangers")
         passed = written(likely(apart, groups, shared, at_least), "likely")
@@ -463,7 +479,7 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
         pairs = passed.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered).union(strangers(inside, turn, at_least)).distinct()
         pairs = written(pairs, "pairs")
         found = written(verified(pairs, held, at_least), "edges")
-        tried, linked_now = pairs.count(), found.count()
+        linked_now = found.count()
 
     # the last round: all pairs that are left
     more = across(inside, at_least).distinct()
