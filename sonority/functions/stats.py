@@ -41,11 +41,22 @@ def stratified(cdf: DataFrame, outcome: str, n: int, *keys: str) -> DataFrame:
 def looked_up(values: DataFrame, value: str, cdf: DataFrame, outcome: str) -> DataFrame:
     """The outcome of each value in [0, 1): the last with a lower bound that is not above it.
 
-    The table is one sorted array in a single row, looked up in place: values are not shuffled.
+    The table is one sorted array in a single row, looked up in place by halving: values are not shuffled. A value below all bounds
+    has no outcome.
     """
     table = cdf.agg(F.array_sort(F.collect_list(F.struct("lo", F.col(outcome).alias("outcome")))).alias("_table"))
-    held = F.filter("_table", lambda x: x["lo"] <= F.col(value))
-    return values.crossJoin(F.broadcast(table)).select(*values.columns, F.element_at(held, -1)["outcome"].alias(outcome))
+    start = F.struct(F.lit(-1).alias("low"), F.size("_table").alias("high"))
+
+    def halve(held: Column, _: Column) -> Column:
+        # the place wanted is at or above low and below high
+        middle = F.floor((held["low"] + held["high"]) / 2).cast("int")
+        under = F.get("_table", middle)["lo"] <= F.col(value)
+        inside = held["high"] - held["low"] > 1
+        return F.struct(F.when(inside & under, middle).otherwise(held["low"]).alias("low"), F.when(inside & ~F.coalesce(under, F.lit(False)), middle).otherwise(held["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("_table") + F.lit(2))).cast("int"))
+    place = F.aggregate(steps, start, halve)["low"]
+    return values.crossJoin(F.broadcast(table)).select(*values.columns, F.get("_table", F.when(place >= 0, place))["outcome"].alias(outcome))
 
 
 def half_even(x: float) -> int:

@@ -11,7 +11,7 @@ from sonority.functions import stats, vectors
 from sonority.functions.classes import class_frame, membership, bigrams
 from sonority.functions.features import LATIN
 from sonority.functions.globs import body, parse_glob
-from sonority.functions.violations import glob_count, of_bigrams, of_globs
+from sonority.functions.violations import family_totals, glob_count, of_bigrams, of_globs
 
 SEGS = LATIN.segments
 
@@ -152,8 +152,9 @@ def _q_ngrams(n):
 
 
 def _q_edges(spark, d):
-    held = words(spark, d)
-    return S.edge_ngrams(held, 2, True).withColumn("final", F.lit(True)).union(S.edge_ngrams(held, 2, False).withColumn("final", F.lit(False)))
+    """First and last pairs of words, from one pass over the lexicon."""
+    totals = family_totals(words(spark, d), True, False, []).where(F.col("kind").isin("2i", "2f"))
+    return totals.select("s1", "s2", "n", (F.col("kind") == "2f").alias("final"))
 
 
 def _ngram_sql(n: int) -> str:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sonority.functions import automata, lexicons, segments
+from sonority.functions import automata, lexicons, segments, stats
 from sonority.functions.features import FeatureTable
 from sonority.functions.globs import parse_glob
 from sonority.functions.grammar import Grammar
@@ -129,3 +129,14 @@ def test_certificate_tells_best_weights_from_others(spark):
     best = grammar.fit_weights(m, number, counts, np.zeros(3), 1e-6, 400, 1e-7).tolist()
     assert all(told(best).values()) and min(best) == 0.0 < max(best)
     assert not all(told([w + 0.5 for w in best]).values()) and not all(told([0.0, 0.0, 0.0]).values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 64])
+def test_values_are_looked_up_by_halving(spark, n):
+    chance = random.Random(n)
+    bounds = sorted({round(chance.random(), 2) for _ in range(n)})
+    cdf = spark.createDataFrame([(x, i) for i, x in enumerate(bounds)], "lo double, len int")
+    values = [round(chance.random(), 2) for _ in range(40)] + bounds + [-1.0, 0.0, 2.0, None]
+    got = stats.looked_up(spark.createDataFrame(list(enumerate(values)), "i int, u double"), "u", cdf, "len")
+    want = {i: None if u is None else max((k for k, x in enumerate(bounds) if x <= u), default=None) for i, u in enumerate(values)}
+    assert {r["i"]: r["len"] for r in got.collect()} == want
