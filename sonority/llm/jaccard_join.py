@@ -504,6 +504,8 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
     slim = rows.where("n > 0").select("doc_id", "n", "digest")
     full = met(slim, by_digest, "digest", "copies", max(1, slim.count()))
     none = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    # all that looks at the order has been written
+    shared.destroy()
     return full.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(none)
 
 
