@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonority.llm.common import few, finished, met, portions, table, text_or_empty, written
-from sonority.llm.components import components
+from sonority.llm.components import contracted_components
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: Shingles that are put last in the order: the most frequent ones of those that are twice or more in some run of ``COUNTED`` shingles, this
@@ -31,8 +31,8 @@ WORDS, SIMILARITY = 5, Fraction(4, 5)
 FREQUENT = 1 << 20
 #: Shingles counted at once; text bytes handled at once; members of a key compared at once; neighbours compared in the first round.
 COUNTED, PORTION, BLOCK, NEIGHBOURS = 1 << 22, 1 << 22, 1024, 2
-#: Rounds, at most, that compare neighbours of different classes; they end when one finds no link.
-ROUNDS = 7
+#: Rounds, at most, that compare neighbours of different classes; they end when one finds no link. Each looks so many times as far.
+ROUNDS, WIDER = 5, 4
 #: Items of a tile's side, as a power of two.
 TILE_BITS = 8
 #: Up to so many members of a key are all compared in the first round.
@@ -239,13 +239,13 @@ def neighbours(filed: DataFrame, at_least: Fraction = SIMILARITY) -> DataFrame:
 
 
 def strangers(rows: DataFrame, turn: int, at_least: Fraction = SIMILARITY) -> DataFrame:
-    """Pairs ``a, b`` of members of different classes that stand near each other under a key, in an order of the turn's own; up to twice as
-    far as in the turn before.
+    """Pairs ``a, b`` of members of different classes that stand near each other under a key, in an order of the turn's own,
+    ``WIDER`` times as far as in the turn before.
 
     :param rows: ``key, n, id, at, low, high``: the least and the greatest class of a member's own members.
     """
 
-    near = NEIGHBOURS << (turn - 1)
+    near = NEIGHBOURS * WIDER ** (turn - 1)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n", "id", "at", "low", "high"]
@@ -445,7 +445,7 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
         """Classes after more links: only the classes that these link are put together."""
         of = lambda c: classed.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
         edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        roots = components(edges).select("node", F.col("root").alias("_new"))
+        roots = contracted_components(edges).select("node", F.col("root").alias("_new"))
         return written(classed.join(few(roots), F.col("root") == F.col("node"), "left").select("u", "g", F.coalesce("_new", "root").alias("root")), "classed")
 
     def mixed(filed_rows: DataFrame, of: DataFrame) -> DataFrame:
