@@ -2,7 +2,8 @@
 
 All shingles are put in one order, frequent ones last. Two sets that link share a shingle among the first few of each, so
 documents meet under the shingles of these prefixes. Documents with the same prefix and size are collapsed into one group,
-groups are paired and filtered, and then expanded to their members, whose whole sets are compared.
+groups are paired and filtered, and then expanded to their members. Two members' sketches, a bit or two for each shingle, tell
+how many shingles at least only one of them has; where that leaves a link possible, the whole sets are compared.
 
 Only connected classes are wanted, so not every pair is compared: a first round compares neighbours under each shingle, a few more
 compare neighbours in other orders that are in different classes still, and a last one all pairs that the rounds have left in
@@ -33,6 +34,8 @@ FREQUENT = 1 << 20
 COUNTED, PORTION, BLOCK, NEIGHBOURS = 1 << 22, 1 << 22, 1024, 2
 #: Rounds, at most, that compare neighbours of different classes; they end when one finds no link. Each looks so many times as far.
 ROUNDS, WIDER = 5, 4
+#: Rounds go on while one finds more than one link for so many groups.
+FEW_LINKS = 400
 #: Items of a tile's side, as a power of two.
 TILE_BITS = 8
 #: Up to so many members of a key are all compared in the first round.
@@ -81,6 +84,25 @@ def linked(a: np.ndarray, b: np.ndarray, at_least: Fraction = SIMILARITY) -> boo
     return both * at_least.denominator >= at_least.numerator * (len(a) + len(b) - both)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Bits of at least as many places as the set has shingles, a power of two: each tells whether an odd number of them falls there."""
+    places = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """So many shingles at least are in only one of two sets with these sketches: each of them turns one bit."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) != len(y):
+        # the halves put together are the sketch of half as many places
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield from portions(b, "text", PORTION)
@@ -119,7 +141,7 @@ def prefix_length(size: int, at_least: Fraction = SIMILARITY) -> int:
     return size - -(-at_least.numerator * size // at_least.denominator) + 1
 
 
-SETS = "n int, digest binary, grp long, prefix binary"
+SETS = "n int, digest binary, grp long, prefix binary, sketch binary"
 
 
 def ordering(docs: DataFrame, words: int = WORDS):
@@ -146,7 +168,7 @@ def counted(known: np.ndarray, often: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, shared, words: int = WORDS, at_least: Fraction = SIMILARITY) -> DataFrame:
-    """``doc_id`` and for each document its set's size ``n``, a digest of the set, and its group: a hash of size and ``prefix``.
+    """``doc_id`` and for each document its set's size ``n``, a digest of the set, its group: a hash of size and ``prefix``, and its sketch.
 
     :param shared: the order of :func:`ordering`.
     """
@@ -160,9 +182,9 @@ def sets(docs: DataFrame, shared, words: int = WORDS, at_least: Fraction = SIMIL
                 s = shingles(t, words)
                 first = s[np.argsort(counted(known, often, s), kind="stable")[: prefix_length(len(s), at_least)]] if len(s) else s
                 raw = first.astype("<u8").tobytes()
-                out.append((len(s), hashlib.sha256(s.astype("<u8").tobytes()).digest()[:16], xxhash.xxh64_intdigest(raw, len(s)) - (1 << 63), raw))
-            columns = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.binary())))], ["doc_id", "n", "digest", "grp", "prefix"])
+                out.append((len(s), hashlib.sha256(s.astype("<u8").tobytes()).digest()[:16], xxhash.xxh64_intdigest(raw, len(s)) - (1 << 63), raw, sketch(s)))
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary())))], ["doc_id", "n", "digest", "grp", "prefix", "sketch"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(each, f"doc_id {kind}, {SETS}")
 
@@ -371,6 +393,25 @@ def likely(pairs: DataFrame, groups: DataFrame, shared, at_least: Fraction = SIM
     return tiled(pairs, groups.select(F.col("g").alias("id"), "n", "prefix"), "prefix", alike)
 
 
+def similar(pairs: DataFrame, sketches: DataFrame, at_least: Fraction = SIMILARITY) -> DataFrame:
+    """Pairs ``a, b`` of sets that may link by what their sketches tell.
+
+    :param sketches: ``u, n, sketch`` of all sets.
+    """
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "sketch-ids")
+    known = written(sketches.select("u", "n", "sketch").join(few(ids), "u", "left_semi"), "sketches")
+    of = lambda c: known.select(F.col("u").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+            least = np.fromiter(map(apart, b.column("s_a").to_pylist(), b.column("s_b").to_pylist()), np.int64, b.num_rows)
+            may = least * (at_least.denominator + at_least.numerator) <= size * (at_least.denominator - at_least.numerator)
+            yield b.select(["a", "b"]).filter(pa.array(may))
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(each, "a long, b long")
+
+
 def held_sets(wanted: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``u, held``: the whole sets that ``wanted(u, digest, first_id)`` names, made anew from the texts of the documents that have them."""
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
@@ -382,7 +423,7 @@ def held_sets(wanted: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s).digest()[:16] for s in made], pa.binary()), pa.array(made, pa.binary())], ["digest", "held"])
 
     # of rows that share an id, only those with the wanted digest stay; where copies share an id too, one stays
-    made = written(some.mapInArrow(each, "digest binary, held binary").join(wanted.select("digest", "u"), "digest").select("u", "held"), "held")
+    made = written(some.mapInArrow(each, "digest binary, held binary").join(few(wanted.select("digest", "u")), "digest").select("u", "held"), "held")
     return written(made.dropDuplicates(["u"]), "held") if made.count() > wanted.count() else made
 
 
@@ -411,7 +452,7 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
     some = rows.where("n > 0")
     # groups of sets with the same prefix and size, and the sets themselves; both are numbered
     groups = written(some.groupBy("grp", "n", "prefix").agg(F.count("*").alias("rows")).drop("rows").withColumn("g", F.monotonically_increasing_id()), "groups")
-    distinct = some.groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    distinct = some.groupBy("digest", "grp", "n", "sketch").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     distinct = written(distinct.withColumn("u", F.monotonically_increasing_id()), "distinct")
     named = written(distinct.select("u", "grp", "n").join(groups.select("grp", "n", "g"), ["grp", "n"]).select("u", "n", "g"), "members")
     firsts = written(named.groupBy("g").agg(F.min("u").alias("first"), F.count("*").alias("members")), "firsts")
@@ -429,16 +470,37 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
 
     filed = groups.select("n", "g", "prefix").mapInArrow(postings, "key long, n int, id long, at int")
     between = written(neighbours(filed, at_least), "between")
-    met_groups = written(between.where("a is not null").select("a", "b").distinct(), "group-pairs")
-    good = written(likely(met_groups, groups, shared, at_least), "likely")
-    of_first = lambda c: firsts.select(F.col("g").alias(c), F.col("first").alias(f"u_{c}"))
+    of_sets, total_groups = distinct.select("u", "digest", "first_id"), groups.count()
+    of_first = lambda c: firsts.select(F.col("g").alias(c), F.col("first").alias(f"u_{c}"), F.col("members").alias(f"m_{c}"))
     ordered = (F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b"))
-    first = good.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered)
-    pairs = written(inside.where("a is not null").select("a", "b").union(first).distinct(), "pairs")
-    of_sets = distinct.select("u", "digest", "first_id")
-    wanted = written(of_sets.join(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "u", "left_semi"), "wanted")
-    held = held_sets(wanted, docs, words)
-    found = written(verified(pairs, held, at_least), "edges")
+    held, known = None, None
+
+    def chosen(of_groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of pairs of groups, those with more than two sets that may link; and the pairs of the first sets of these and of all other groups."""
+        both = written(of_groups.join(of_first("a"), "a").join(of_first("b"), "b"), "met")
+        several = both.where("m_a > 1 or m_b > 1")
+        if several.isEmpty():
+            return several.select("a", "b"), both.select(*ordered)
+        good = written(likely(several.select("a", "b"), groups, shared, at_least), "likely")
+        return good, both.where("m_a = 1 and m_b = 1").select(*ordered).union(several.join(good, ["a", "b"]).select(*ordered))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs of sets that link. Whole sets are made when a pair first needs them."""
+        nonlocal held, known
+        near = written(similar(pairs, distinct, at_least), "near-pairs")
+        if near.isEmpty():
+            return near
+        ids = written(near.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "near-ids")
+        wanted = of_sets.join(few(ids), "u", "left_semi")
+        wanted = written(wanted if known is None else wanted.join(few(known), "u", "left_anti"), "wanted")
+        if not wanted.isEmpty():
+            more, ids = held_sets(wanted, docs, words), wanted.select("u")
+            held, known = (more, ids) if held is None else (held.union(more), known.union(ids))
+        return written(verified(near, held, at_least), "edges")
+
+    met_groups = written(between.where("a is not null").select("a", "b").distinct(), "group-pairs")
+    good, first = chosen(met_groups)
+    found = links(written(inside.where("a is not null").select("a", "b").union(first).distinct(), "pairs"))
     classed = named.select("u", "g", F.col("u").alias("root"))
 
     def joined(classed: DataFrame, found: DataFrame) -> DataFrame:
@@ -463,37 +525,27 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
         by_group = spans.select(F.col("g").alias("id"), "low", "high")
         inside, between = (written(mixed(rows_of, of), "mixed") for rows_of, of in ((inside, own), (between, by_group)))
         inside, between = (x.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "key", "id", "n", "at", "low", "high") for x in (inside, between))
-        if turn == 1:
-            # whatever is compared from now on is under these keys or in groups that have met: the texts are read once more for all of it
-            several = good.select(F.explode(F.array("a", "b")).alias("g")).join(firsts.where("members > 1").select("g"), "g")
-            of_groups = between.select(F.col("id").alias("g")).union(several).distinct().join(named.select("g", "u"), "g").select("u")
-            more = of_groups.union(inside.select(F.col("id").alias("u"))).distinct().join(held.select("u"), "u", "left_anti")
-            wanted = written(of_sets.join(more, "u", "left_semi"), "wanted")
-            if not wanted.isEmpty():
-                held = written(held.union(held_sets(wanted, docs, words)), "held")
-        if turn == ROUNDS or turn > 1 and not linked_now or inside.isEmpty() and between.isEmpty():
+        if turn == ROUNDS or turn > 1 and linked_now * FEW_LINKS <= total_groups or inside.isEmpty() and between.isEmpty():
             break
-        apart = written(strangers(between, turn, at_least).join(met_groups, ["a", "b"], "left_anti"), "strangers")
-        passed = written(likely(apart, groups, shared, at_least), "likely")
-        met_groups, good = written(met_groups.union(apart), "group-pairs"), written(good.union(passed), "likely")
-        pairs = passed.join(of_first("a"), "a").join(of_first("b"), "b").select(*ordered).union(strangers(inside, turn, at_least)).distinct()
-        pairs = written(pairs, "pairs")
-        found = written(verified(pairs, held, at_least), "edges")
+        strange = written(strangers(between, turn, at_least).join(met_groups, ["a", "b"], "left_anti"), "strangers")
+        passed, first = chosen(strange)
+        met_groups, good = met_groups.union(strange), good.union(passed)
+        found = links(written(first.union(strangers(inside, turn, at_least)).distinct(), "pairs"))
         linked_now = found.count()
 
     # the last round: all pairs that are left
     more = across(inside, at_least).distinct()
     fresh = across(between, at_least).distinct().join(met_groups, ["a", "b"], "left_anti")
-    fresh = likely(written(fresh, "fresh-pairs"), groups, shared, at_least)
+    passed, first = chosen(fresh)
     # pairs of groups of which only the first members have been compared
     span = lambda c: spans.select(F.col("g").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), F.col("members").alias(f"m_{c}"))
     old = good.join(span("a"), "a").join(span("b"), "b").where("(low_a <> low_b or high_a <> high_b or low_a <> high_a) and (m_a > 1 or m_b > 1)").select("a", "b")
-    several = written(fresh.union(old), "open-groups")
+    several = written(passed.union(old), "open-groups")
     of = lambda c: classed.select(F.col("g").alias(c), F.col("u").alias(f"u_{c}"), F.col("root").alias(f"root_{c}"))
     expanded = several.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select(*ordered)
-    rest = written(expanded.union(more).distinct(), "open-pairs")
+    rest = written(expanded.union(more).union(first).distinct(), "open-pairs")
     if not rest.isEmpty():
-        late = written(verified(rest, held, at_least), "late-edges")
+        late = links(rest)
         if not late.isEmpty():
             classed = joined(classed, late)
 

@@ -82,6 +82,30 @@ def test_copies_and_near_copies_in_thousands(spark):
     assert set(found.values()) == {0, 5000} and found[5000] == 5000
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n, m, common in [(1, 1, 1), (1, 1, 0), (5, 4, 4), (64, 65, 60), (100, 100, 89), (100, 101, 10), (1000, 900, 850), (3000, 1, 1), (2500, 2000, 0)]:
+        all_of_them = rng.permutation(np.unique(rng.integers(0, 2**64, 9000, np.uint64, endpoint=False)))[: n + m - common]
+        a, b = np.sort(all_of_them[:n]), np.sort(all_of_them[n - common :])
+        assert len(np.intersect1d(a, b)) == common
+        least = jaccard_join.apart(jaccard_join.sketch(a), jaccard_join.sketch(b))
+        assert least <= n + m - 2 * common and least % 2 == (n + m) % 2
+        assert least > (n + m) / 9 if n == 2500 or common == 10 else True
+    assert jaccard_join.apart(jaccard_join.sketch(a), jaccard_join.sketch(a)) == 0
+
+
+def test_whole_sets_are_made_only_where_a_link_is_possible(spark, monkeypatch):
+    """Texts of one size that share a third of their words meet under many shingles; only the two that link are read again."""
+    made, whole = [], jaccard_join.held_sets
+    monkeypatch.setattr(jaccard_join, "held_sets", lambda wanted, *rest: made.append(wanted.count()) or whole(wanted, *rest))
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)
+    shared = [f"s{k}" for k in range(70)]
+    rows = [(i, " ".join([*shared, *(f"x{i}_{k}" for k in range(130))])) for i in range(40)]
+    rows.append((50, rows[7][1] + " end"))
+    assert got(spark, rows) == brute(rows)
+    assert sum(made) == 2
+
+
 def test_odd_rows(spark):
     rows = ODD + [(20, "One TWO three four five six"), (21, "ÉÈ other words in the text now"), (22, "éè other words in the text now"), (23, "a b"), (23, "A  b"), (None, "a b"), (24, "a\x1cb")]
     assert got(spark, rows) == brute(rows)
