@@ -9,6 +9,7 @@ fetches table and index from a file's end and then reads and decompresses only t
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,6 +39,11 @@ END_ID = 0
 MEMORY, MARKED, TEXTS, WORDS = 450_000, 100_000, 512, 2_000
 #: Marks that the vocabulary's pre-tokeniser parts from a word before them.
 MARKS = ".,;:!?%&$*#)|\""
+#: Letters that every edition of Unicode counts as letters: a word of these, after a space, is one pre-token.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+")
+#: The character by which byte-level vocabularies write each byte.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_NAMES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
 
 class Encoder:
@@ -51,17 +57,28 @@ class Encoder:
     def __init__(self, path: str) -> None:
         # one thread: tasks already fill the cores, and each thread would keep buffers of its own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.of = Tokenizer.from_file(path)
         self.piece: dict[str, bytes | None] = {}
         self.words = self.marked = 0
         nul = self.of.encode("\0", add_special_tokens=False).ids
         self.nul = nul[0] if len(nul) == 1 else None
+        # nothing but the merges works on a word of letters: no normaliser, and no added token that could stand in one
+        added = self.of.get_added_tokens_decoder().values()
+        self.merges_alone = isinstance(self.of.model, models.BPE) and isinstance(self.of.pre_tokenizer, pre_tokenizers.ByteLevel) and self.of.normalizer is None and not any(LATIN.fullmatch(t.content.strip()) for t in added)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _merged(self, words: list[str]) -> Iterator[bytes]:
+        """As :meth:`_words`, for words of ``LATIN`` letters: the library's merges are applied to each, without the steps that part texts."""
+        tokens = self.of.model.tokenize
+        for i in range(0, len(words), WORDS):
+            named = (" " + "\0 ".join(words[i : i + WORDS])).encode().decode("latin-1").translate(BYTE_NAMES)
+            for w in named.split(BYTE_NAMES[0]):
+                yield array("I", [t.id for t in tokens(w)]).tobytes()
+
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words of letters, each with a space before it.
 
@@ -103,7 +120,10 @@ class Encoder:
                 others.add(p)
             else:
                 out[p] = None
-        plain, rest = list(words), list(others)
+        latin = [w for w in words if LATIN.fullmatch(w)] if self.merges_alone else []
+        plain, rest = list(words.difference(latin)), list(others)
+        if latin:
+            out.update(zip(latin, self._merged(latin)))
         out.update(zip(plain, self._words(plain)))
         found = self.of.encode_batch_fast([p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p for p in rest], add_special_tokens=False)
         out.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, found))

@@ -193,6 +193,20 @@ def test_words_with_marks_and_lines(tokenizer):
         assert encode.many(texts[i : i + 300]) == [encode.whole(t) for t in texts[i : i + 300]]
 
 
+def test_latin_words_are_merged_alone(tokenizer, monkeypatch):
+    encode, rng = token_store.Encoder(tokenizer), random.Random(8)
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x180)] if token_store.LATIN.fullmatch(chr(c))]
+    assert all(c.isalpha() for c in letters) and encode.merges_alone
+    words = letters + ["the", "Straße", "façade", "ŉ", "ſ"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(5000)]
+    want = [encode.whole(" " + w) for w in words]
+    # the steps that part texts are left out
+    monkeypatch.setattr(encode, "_words", lambda words: iter([]) if not words else pytest.fail(f"parted: {words[:5]}"))
+    assert [encode._learn({w})[w] for w in words] == want
+    monkeypatch.undo()
+    other = ["ª", "µ", "ºa", "ʰ", "ǅ", "日本", "\u0250x", "don't", "×"]
+    assert [encode._learn({w})[w] for w in other] == [encode.whole(" " + w) for w in other]
+
+
 def test_full_memory_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(token_store, "MEMORY", 5)
     monkeypatch.setattr(token_store, "MARKED", 1)
