@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 2000
 #: Rows of a few numbers that are broadcast at most; beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
+#: Rows of a few numbers that one task groups or joins at most; beyond, they are shuffled.
+TASK_ROWS = 1 << 17
 #: Rows of a few numbers in a file of an intermediate table, about.
 FILE_ROWS = 500_000
 
@@ -117,6 +119,16 @@ def few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def small(rows: DataFrame) -> bool:
+    """Whether a written table of a few numbers has ``TASK_ROWS`` rows at most."""
+    return rows.count() <= TASK_ROWS
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers as one partition if it is small, so that nothing is shuffled to group it; else as it is."""
+    return rows.coalesce(1) if small(rows) else rows
+
+
 def portions(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Runs of a batch's rows whose ``column`` has about ``size`` bytes; a longer text is a run of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonority.llm.common import few, finished, met, portions, table, text_or_empty, written
+from sonority.llm.common import few, finished, met, portions, small, table, text_or_empty, together, written
 from sonority.llm.components import contracted_components
 
 WORDS, SIMILARITY = 5, Fraction(4, 5)
@@ -207,10 +207,18 @@ def _met_rows(a=None, b=None, key=None, id_=None, n=None, at=None) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in zip(full, kinds)], _NAMES)
 
 
-def _ranges(rows: DataFrame) -> DataFrame:
-    """Rows sorted by key, size and number over ranges of all three, so that a key of very many rows lies in several tasks."""
+def _ranges(rows: DataFrame, *by: str, one: bool = False) -> DataFrame:
+    """Rows sorted by key and more over ranges of all of them, so that a key of very many rows lies in several tasks.
+
+    :param one: the rows are few and make one range.
+    """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(tasks, "key", "n", "id").sortWithinPartitions("key", "n", "id")
+    return (rows.coalesce(1) if one else rows.repartitionByRange(tasks, "key", *by)).sortWithinPartitions("key", *by)
+
+
+def ends(pairs: DataFrame, name: str) -> DataFrame:
+    """``name``: what the written ``pairs`` ``a, b`` name, each once."""
+    return written(together(pairs.select("a", "b")).select(F.explode(F.array("a", "b")).alias(name)).distinct(), "ends")
 
 
 def neighbours(filed: DataFrame, at_least: Fraction = SIMILARITY) -> DataFrame:
@@ -257,14 +265,14 @@ def neighbours(filed: DataFrame, at_least: Fraction = SIMILARITY) -> DataFrame:
         if len(key) and key[0] != opened and keep + len(key) <= SMALL:
             yield _met_rows(None, None, key, id_, n, at)
 
-    return _ranges(filed).mapInArrow(meet, _MET)
+    return _ranges(filed, "n", "id").mapInArrow(meet, _MET)
 
 
 def strangers(rows: DataFrame, turn: int, at_least: Fraction = SIMILARITY) -> DataFrame:
     """Pairs ``a, b`` of members of different classes that stand near each other under a key, in an order of the turn's own,
-    ``WIDER`` times as far as in the turn before.
+    ``WIDER`` times as far as in the turn before. Pairs that meet under several keys come as often.
 
-    :param rows: ``key, n, id, at, low, high``: the least and the greatest class of a member's own members.
+    :param rows: a written table, ``key, n, id, at, low, high``: the least and the greatest class of a member's own members.
     """
 
     near = NEIGHBOURS * WIDER ** (turn - 1)
@@ -284,15 +292,14 @@ def strangers(rows: DataFrame, turn: int, at_least: Fraction = SIMILARITY) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[i], id_[j])), pa.array(np.maximum(id_[i], id_[j]))], ["a", "b"])
             back = [x[-near:] for x in full]
 
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     mixed_up = rows.select("key", "n", "id", "at", "low", "high", F.xxhash64("id", F.lit(turn)).alias("mix"))
-    return mixed_up.repartitionByRange(tasks, "key", "mix").sortWithinPartitions("key", "mix").drop("mix").mapInArrow(meet, "a long, b long").distinct()
+    return _ranges(mixed_up, "mix", one=small(rows)).drop("mix").mapInArrow(meet, "a long, b long")
 
 
 def across(rows: DataFrame, at_least: Fraction = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Pairs ``a, b`` under a key whose classes differ, as far as sizes and places allow.
+    """Pairs ``a, b`` under a key whose classes differ, as far as sizes and places allow. Pairs that meet under several keys come as often.
 
-    :param rows: ``key, n, id, at, low, high``: the least and the greatest class of a member's own members. A key's sorted members are
+    :param rows: a written table, ``key, n, id, at, low, high``: the least and the greatest class of a member's own members. A key's sorted members are
         dealt into blocks; pairs of blocks that may differ in class and agree in size are compared, each in a task of its own.
     """
 
@@ -308,15 +315,17 @@ def across(rows: DataFrame, at_least: Fraction = SIMILARITY, block: int = BLOCK)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part | rank // block)], [*b.schema.names, "blk"])
 
     kinds = "key long, n int, id long, at int, low long, high long"
-    blocks = written(_ranges(rows.select("key", "n", "id", "at", "low", "high")).mapInArrow(number, f"{kinds}, blk long"), "blocks")
-    sums = blocks.groupBy("key", "blk").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    blocks = written(_ranges(rows.select("key", "n", "id", "at", "low", "high"), "n", "id", one=small(rows)).mapInArrow(number, f"{kinds}, blk long"), "blocks")
+    sums = together(blocks).groupBy("key", "blk").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sums = written(sums, "block-sums")
     left = sums.select("key", F.col("blk").alias("i"), *[F.col(c).alias(f"{c}_i") for c in ("low", "high", "most")])
     right = sums.select("key", F.col("blk").alias("j"), *[F.col(c).alias(f"{c}_j") for c in ("low", "high", "least")])
     # blocks are in the order of size; what differs in class lies in two blocks or in a mixed one
-    wanted = left.join(right, "key").where((F.col("i") <= F.col("j")) & (F.col("most_i") * at_least.denominator >= F.col("least_j") * at_least.numerator))
-    wanted = wanted.where((F.col("low_i") != F.col("low_j")) | (F.col("high_i") != F.col("high_j")) | (F.col("low_i") != F.col("high_i"))).select("key", "i", "j")
+    wanted = left.join(few(right), "key").where((F.col("i") <= F.col("j")) & (F.col("most_i") * at_least.denominator >= F.col("least_j") * at_least.numerator))
+    wanted = wanted.where((F.col("low_i") != F.col("low_j")) | (F.col("high_i") != F.col("high_j")) | (F.col("low_i") != F.col("high_i")))
+    wanted = written(wanted.select("key", "i", "j"), "block-pairs")
     sides = wanted.select("key", "i", "j", F.col("i").alias("blk")).union(wanted.where("i < j").select("key", "i", "j", F.col("j").alias("blk")))
-    dealt = sides.join(blocks, ["key", "blk"])
+    dealt = blocks.join(few(sides), ["key", "blk"])
 
     def compare(of: pa.Table) -> pa.Table:
         n, id_, at, low, high, blk = (of.column(c).to_numpy().astype(np.int64) for c in ("n", "id", "at", "low", "high", "blk"))
@@ -336,6 +345,11 @@ def across(rows: DataFrame, at_least: Fraction = SIMILARITY, block: int = BLOCK)
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def once(pairs: DataFrame, name: str) -> DataFrame:
+    """``pairs`` ``a, b``, each once, written."""
+    return written(together(written(pairs.select("a", "b"), name)).distinct(), name)
+
+
 def most_common(p: np.ndarray, q: np.ndarray, n: int, m: int, known: np.ndarray, often: np.ndarray) -> int:
     """How many shingles two sets of sizes ``n``, ``m`` with the prefixes ``p``, ``q`` have in common at most.
 
@@ -356,18 +370,21 @@ def tiled(pairs: DataFrame, items: DataFrame, payload: str, alike: Callable[[tup
     Items are put in the order of their payload's beginning, which similar ones mostly share, and cut into runs of two to the ``TILE_BITS``. Pairs of
     the same two runs are compared in one task, to which each of their items comes once, however many pairs it is in.
 
+    :param pairs: a written table.
     :param items: ``id, n`` and ``payload``, bytes.
     """
     spark = pairs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "tile-ids")
+    ids = ends(pairs, "id")
     near = items.select("id", F.substring(payload, 1, 8).alias("near")).join(few(ids), "id", "left_semi")
-    runs = near.repartitionByRange(tasks, "near", "id").sortWithinPartitions("near", "id").select("id", F.shiftright(F.monotonically_increasing_id(), TILE_BITS).alias("run"))
+    near = written(near, "tile-beginnings").coalesce(1) if small(ids) else near.repartitionByRange(tasks, "near", "id")
+    runs = near.sortWithinPartitions("near", "id").select("id", F.shiftright(F.monotonically_increasing_id(), TILE_BITS).alias("run"))
     runs = written(runs, "tile-runs")
     of = lambda c: runs.select(F.col("id").alias(c), F.col("run").alias(f"run_{c}"))
-    placed = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("run_a", "run_b").alias("i"), F.greatest("run_a", "run_b").alias("j"))
+    placed = pairs.join(few(of("a")), "a").join(few(of("b")), "b").select("a", "b", F.least("run_a", "run_b").alias("i"), F.greatest("run_a", "run_b").alias("j"))
     placed = written(placed, "tiles")
-    needed = placed.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.explode(F.array("a", "b")).alias("id")).distinct().join(items.select("id", "n", payload), "id")
+    needed = written(together(placed).select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.explode(F.array("a", "b")).alias("id")).distinct(), "tile-needs")
+    needed = items.select("id", "n", payload).join(few(needed), "id")
 
     def compare(of_tile: pa.Table, with_items: pa.Table) -> pa.Table:
         known = {}
@@ -398,7 +415,7 @@ def similar(pairs: DataFrame, sketches: DataFrame, at_least: Fraction = SIMILARI
 
     :param sketches: ``u, n, sketch`` of all sets.
     """
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "sketch-ids")
+    ids = ends(pairs, "u")
     known = written(sketches.select("u", "n", "sketch").join(few(ids), "u", "left_semi"), "sketches")
     of = lambda c: known.select(F.col("u").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
@@ -471,12 +488,13 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
     filed = groups.select("n", "g", "prefix").mapInArrow(postings, "key long, n int, id long, at int")
     between = written(neighbours(filed, at_least), "between")
     of_sets, total_groups = distinct.select("u", "digest", "first_id"), groups.count()
-    of_first = lambda c: firsts.select(F.col("g").alias(c), F.col("first").alias(f"u_{c}"), F.col("members").alias(f"m_{c}"))
     ordered = (F.least("u_a", "u_b").alias("a"), F.greatest("u_a", "u_b").alias("b"))
     held, known = None, None
 
     def chosen(of_groups: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of pairs of groups, those with more than two sets that may link; and the pairs of the first sets of these and of all other groups."""
+        named_firsts = written(firsts.join(few(ends(of_groups, "g")), "g", "left_semi"), "met-firsts")
+        of_first = lambda c: few(named_firsts.select(F.col("g").alias(c), F.col("first").alias(f"u_{c}"), F.col("members").alias(f"m_{c}")))
         both = written(of_groups.join(of_first("a"), "a").join(of_first("b"), "b"), "met")
         several = both.where("m_a > 1 or m_b > 1")
         if several.isEmpty():
@@ -490,7 +508,7 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
         near = written(similar(pairs, distinct, at_least), "near-pairs")
         if near.isEmpty():
             return near
-        ids = written(near.select(F.explode(F.array("a", "b")).alias("u")).distinct(), "near-ids")
+        ids = ends(near, "u")
         wanted = of_sets.join(few(ids), "u", "left_semi")
         wanted = written(wanted if known is None else wanted.join(few(known), "u", "left_anti"), "wanted")
         if not wanted.isEmpty():
@@ -498,44 +516,48 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
             held, known = (more, ids) if held is None else (held.union(more), known.union(ids))
         return written(verified(near, held, at_least), "edges")
 
-    met_groups = written(between.where("a is not null").select("a", "b").distinct(), "group-pairs")
+    met_groups = once(between.where("a is not null"), "group-pairs")
     good, first = chosen(met_groups)
-    found = links(written(inside.where("a is not null").select("a", "b").union(first).distinct(), "pairs"))
+    found = links(once(inside.where("a is not null").select("a", "b").union(first), "pairs"))
     classed = named.select("u", "g", F.col("u").alias("root"))
 
     def joined(classed: DataFrame, found: DataFrame) -> DataFrame:
         """Classes after more links: only the classes that these link are put together."""
-        of = lambda c: classed.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}"))
-        edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        roots = contracted_components(edges).select("node", F.col("root").alias("_new"))
+        some = written(classed.join(few(ends(found, "u")), "u", "left_semi"), "linked-classes")
+        of = lambda c: few(some.select(F.col("u").alias(c), F.col("root").alias(f"root_{c}")))
+        edges = written(found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "class-links")
+        roots = contracted_components(together(edges)).select("node", F.col("root").alias("_new"))
         return written(classed.join(few(roots), F.col("root") == F.col("node"), "left").select("u", "g", F.coalesce("_new", "root").alias("root")), "classed")
 
     def mixed(filed_rows: DataFrame, of: DataFrame) -> DataFrame:
         """Rows of keys that hold more than one class."""
-        full = filed_rows.where("key is not null").select("key", "n", "id", "at").join(of, "id")
-        keys = full.groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select("key")
-        return full.join(keys, "key", "left_semi")
+        rows_of = filed_rows.where("key is not null").select("key", "n", "id", "at")
+        if small(rows_of) and small(of):
+            rows_of, of = rows_of.coalesce(1), of.coalesce(1)
+        full = written(rows_of.join(of, "id"), "classed-rows")
+        keys = together(full).groupBy("key").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).where("_low < _high").select("key")
+        return full.join(few(written(keys, "mixed-keys")), "key", "left_semi")
 
     linked_now = 0
     for turn in range(1, ROUNDS + 1):
         # what may link and is in different classes still
         classed = joined(classed, found)
-        spans = written(classed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")), "spans")
+        spans = written(together(classed).groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")), "spans")
         own = classed.select(F.col("u").alias("id"), F.col("root").alias("low"), F.col("root").alias("high"))
         by_group = spans.select(F.col("g").alias("id"), "low", "high")
         inside, between = (written(mixed(rows_of, of), "mixed") for rows_of, of in ((inside, own), (between, by_group)))
         inside, between = (x.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "key", "id", "n", "at", "low", "high") for x in (inside, between))
         if turn == ROUNDS or turn > 1 and linked_now * FEW_LINKS <= total_groups or inside.isEmpty() and between.isEmpty():
             break
-        strange = written(strangers(between, turn, at_least).join(met_groups, ["a", "b"], "left_anti"), "strangers")
+        strange = written(once(strangers(between, turn, at_least), "near-strangers").join(few(met_groups), ["a", "b"], "left_anti"), "strangers")
         passed, first = chosen(strange)
         met_groups, good = met_groups.union(strange), good.union(passed)
-        found = links(written(first.union(strangers(inside, turn, at_least)).distinct(), "pairs"))
+        found = links(once(first.union(strangers(inside, turn, at_least)), "pairs"))
         linked_now = found.count()
 
     # the last round: all pairs that are left
-    more = across(inside, at_least).distinct()
-    fresh = across(between, at_least).distinct().join(met_groups, ["a", "b"], "left_anti")
+    more = across(inside, at_least)
+    fresh = written(once(across(between, at_least), "unmet").join(few(met_groups), ["a", "b"], "left_anti"), "fresh")
     passed, first = chosen(fresh)
     # pairs of groups of which only the first members have been compared
     span = lambda c: spans.select(F.col("g").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), F.col("members").alias(f"m_{c}"))
@@ -543,7 +565,7 @@ def _jaccard_classes(docs: DataFrame, words: int, at_least: Fraction) -> DataFra
     several = written(passed.union(old), "open-groups")
     of = lambda c: classed.select(F.col("g").alias(c), F.col("u").alias(f"u_{c}"), F.col("root").alias(f"root_{c}"))
     expanded = several.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select(*ordered)
-    rest = written(expanded.union(more).union(first).distinct(), "open-pairs")
+    rest = once(expanded.union(more).union(first), "open-pairs")
     if not rest.isEmpty():
         late = links(rest)
         if not late.isEmpty():

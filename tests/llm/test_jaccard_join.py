@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from sonority.llm import jaccard_join
+from sonority.llm import common, jaccard_join
 from tests.llm.helpers import ODD, documents
 
 
@@ -106,6 +106,39 @@ def test_whole_sets_are_made_only_where_a_link_is_possible(spark, monkeypatch):
     assert sum(made) == 2
 
 
+def test_small_tables_are_not_shuffled(spark, monkeypatch):
+    """Rounds over few rows have no stage of as many tasks as there are shuffle partitions, but for the comparison of whole sets."""
+    conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    rows = mutated(5, 150, 40, 40, 14)
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("op13-stages", "")
+        assert got(spark, rows, 1, Fraction(3, 5)) == brute(rows, 1, Fraction(3, 5))
+        tracker = sc.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("op13-stages") for s in tracker.getJobInfo(j).stageIds]
+        wide = sum(s is not None and s.numTasks == 23 and s.numCompletedTasks > 0 for s in stages)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 0 < wide < 60
+
+
+def test_tables_that_are_not_small(spark, monkeypatch):
+    """All is shuffled and nothing is broadcast, as with many rows."""
+    monkeypatch.setattr(common, "TASK_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    rows = mutated(6, 120, 40, 40, 14)
+    assert got(spark, rows, 1, Fraction(3, 5)) == brute(rows, 1, Fraction(3, 5))
+
+
 def test_odd_rows(spark):
     rows = ODD + [(20, "One TWO three four five six"), (21, "ÉÈ other words in the text now"), (22, "éè other words in the text now"), (23, "a b"), (23, "A  b"), (None, "a b"), (24, "a\x1cb")]
     assert got(spark, rows) == brute(rows)
