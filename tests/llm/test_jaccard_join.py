@@ -107,7 +107,7 @@ def test_whole_sets_are_made_only_where_a_link_is_possible(spark, monkeypatch):
 
 
 def test_small_tables_are_not_shuffled(spark, monkeypatch):
-    """Rounds over few rows have no stage of as many tasks as there are shuffle partitions, but for the comparison of whole sets."""
+    """Rounds over few rows have few stages of as many tasks as there are shuffle partitions."""
     conf = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     old = {k: spark.conf.get(k) for k in conf}
     monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)
